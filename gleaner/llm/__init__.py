@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("language", "exact")
+MODULES = ("language", "exact", "minhash")
 
 
 def queries():

@@ -1,0 +1,38 @@
+"""Connected components of a link table, by alternating large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from gleaner.llm.common import cut
+
+
+def _large_star(links: DataFrame) -> DataFrame:
+    """Every node's larger neighbours get linked to its smallest neighbour."""
+    both = links.union(links.select("b", "a")).toDF("u", "v")
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+
+
+def _small_star(links: DataFrame) -> DataFrame:
+    """Every node's smaller neighbours, and itself, get linked to the smallest of them."""
+    down = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    moved = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    return moved.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a != b").distinct()
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``node`` and ``root`` (smallest node reachable) of every node in ``links(a, b)``; roots included.
+
+    Self links are ignored.  Each round halves path lengths, so the rounds grow with the logarithm of
+    the longest path; no group of links is ever collected.  Links to a hot node are pre-aggregated.
+    """
+    now = cut(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while True:
+        after = cut(_small_star(_large_star(now)))
+        moved = after.exceptAll(now).limit(1).count() + now.exceptAll(after).limit(1).count()
+        now = after
+        if not moved:
+            break
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
