@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("language", "exact", "minhash")
+MODULES = ("language", "exact", "minhash", "decontaminate")
 
 
 def queries():
