@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("language", "exact", "minhash", "decontaminate")
+MODULES = ("language", "exact", "minhash", "decontaminate", "bpe")
 
 
 def queries():
     found = {}
     for name in MODULES:
         found |= import_module(f"{__name__}.{name}").QUERIES
-    return found
+    return found | {"pipeline": import_module("corpus_pipeline").run}
 
 
 def oracle_sql():
