@@ -23,7 +23,12 @@ from gleaner.llm.common import cut, scratch, strip_space, table
 
 #: Arrival files that one micro-batch takes.
 FILES_PER_BATCH = 16
-STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; without space set aside ahead in each of the many small stores, and written out as changes only.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -50,9 +55,9 @@ def remembered(arrivals: DataFrame, path: str) -> DataFrame:
     """Run the stream over the arrival files at ``path``: a row per digest with ``best`` and ``group_size``."""
     spark = arrivals.sparkSession
     updates, progress = scratch(spark, "state-updates"), scratch(spark, "stream")
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, STATE_PROVIDER)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(path)
         state = stream.groupBy("digest").agg(best(), F.count("*").alias("group_size"))
@@ -66,7 +71,8 @@ def remembered(arrivals: DataFrame, path: str) -> DataFrame:
         )
         query.awaitTermination()
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     shape = spark.createDataFrame([], arrivals.schema).groupBy("digest").agg(best(), F.count("*").alias("group_size"))
     try:
         seen = spark.read.schema(shape.withColumn("batch", F.lit(0)).schema).parquet(f"{updates}/*")
