@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("language", "exact", "minhash", "decontaminate", "bpe", "tokens")
+MODULES = ("language", "exact", "minhash", "decontaminate", "bpe", "tokens", "pii")
 
 
 def queries():
