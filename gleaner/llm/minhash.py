@@ -1,6 +1,6 @@
 """Near-duplicate documents: b-bit MinHash signatures and a multi-index Hamming join.
 
-A text's set is its distinct five-word shingles.  A signature holds ``SYMBOLS`` minima of 16 bits.  Cut
+A text's set is its distinct five-word shingles.  A signature holds ``SYMBOLS`` minima of 12 bits.  Cut
 into ``CHUNKS`` chunks, two signatures that differ in fewer than ``2 * CHUNKS`` symbols have, by the
 pigeonhole principle, a chunk with at most one wrong symbol; so for every chunk and every place that the
 one error may have, the chunk without that symbol is a key, and all pairs under that signature distance
@@ -9,8 +9,11 @@ bound.  Candidates within the distance are confirmed on the full sets.
 
 Groups of copies never become all pairs.  Equal sets are one representative.  In every key, each
 representative first meets only the most central one (the one whose keys are the fullest); once these
-links have merged components, only pairs from different components are still looked at.  That is exact:
-a pair is left out only where its two ends are already in one component.
+links have merged components, only pairs from different components are still looked at, each in the first
+key that it shares.  Beside its signature a set has a parity sketch: each shingle flips one bit, so two
+sketches differ in no more bits than the sets do in shingles, and a pair whose sketches differ in more than
+a similar pair may is no candidate.  That is exact: a pair is left out only where its two ends are already
+in one component, its signatures are too far apart, or its sets can't be similar.
 
 Defined cases: NULL, empty and blank texts have an empty set, are linked with nothing and stay; a text
 of fewer than five words is its whole sequence; repeated rows of a ``doc_id`` count as that document;
@@ -22,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gleaner.llm.common import cut, small_batches, table
 from gleaner.llm.components import components
@@ -30,6 +33,8 @@ from gleaner.llm.components import components
 WORDS = 5
 CHUNKS, CHUNK = 12, 5
 SYMBOLS = CHUNKS * CHUNK
+#: Bits of a symbol; a chunk is one 64-bit number.
+BITS = 12
 #: Signatures that differ in more symbols than this are no candidates.
 DISTANCE = 2 * CHUNKS - 1
 #: 100 * intersection >= SIMILARITY * union.
@@ -40,6 +45,7 @@ _MIX = _RNG.integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint6
 _MUL = _RNG.integers(1, 2**31, SYMBOLS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _RNG.integers(0, 2**32, SYMBOLS, dtype=np.uint32)
 _PLACE = _RNG.integers(1, 2**63, (CHUNKS, CHUNK), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFT = np.arange(CHUNK, dtype=np.int64) * BITS
 _MASK = _RNG.integers(1, 2**63, (CHUNKS, CHUNK), dtype=np.uint64)
 
 
@@ -75,7 +81,7 @@ def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
 
 
 def signature(items: np.ndarray) -> np.ndarray:
-    """The low 16 bits of the minima of SYMBOLS hash functions over the items."""
+    """BITS bits of the minima of SYMBOLS hash functions over the items."""
     low = (items >> np.uint64(32)).astype(np.uint32) ^ items.astype(np.uint32)
     least = np.full(SYMBOLS, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(low), 4096):
@@ -83,7 +89,7 @@ def signature(items: np.ndarray) -> np.ndarray:
         x ^= x >> np.uint32(15)
         x *= np.uint32(0x2C1B3C6D)
         least = np.minimum(least, x.min(axis=0))
-    return ((least ^ (least >> np.uint32(16))) & np.uint32(0xFFFF)).astype(np.uint16)
+    return ((least ^ (least >> np.uint32(16))) & np.uint32((1 << BITS) - 1)).astype(np.int64)
 
 
 def chunk_keys(sig: np.ndarray) -> np.ndarray:
@@ -92,13 +98,20 @@ def chunk_keys(sig: np.ndarray) -> np.ndarray:
     return _mixed((parts.sum(axis=1, keepdims=True) - parts) * np.uint64(0x9E3779B97F4A7C15) + _MASK).astype(np.int64).ravel()
 
 
-_SIGNED = "doc_id long, n_shingles long, same long, sig binary, keys array<long>"
+def sketch(items: np.ndarray) -> np.ndarray:
+    """Parities of the items by the low bits of their hashes; at least two bits an item, in words of 64."""
+    bits = max(512, 1 << (2 * len(items) - 1).bit_length())
+    odd = np.bincount((items & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+_SIGNED = "doc_id long, n_shingles long, same long, chunks array<long>, sketch array<long>, keys array<long>"
 
 
 def _sign(batches):
-    hashes = WordHashes()
+    hashes, longs = WordHashes(), pa.list_(pa.int64())
     for batch in batches:
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[], [], [], [], [], []]
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             items = shingles(text, hashes)
             out[0].append(doc)
@@ -106,29 +119,52 @@ def _sign(batches):
             if len(items) and doc is not None:
                 sig = signature(items)
                 out[2].append(xxhash.xxh3_64_intdigest(items.tobytes()) - 2**63)
-                out[3].append(sig.tobytes())
-                out[4].append(chunk_keys(sig))
+                out[3].append((sig.reshape(CHUNKS, CHUNK) << _SHIFT).sum(axis=1))
+                out[4].append(sketch(items))
+                out[5].append(chunk_keys(sig))
             else:
                 for column in out[2:]:
                     column.append(None)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "same", "sig", "keys"],
-        )
+        kinds = [pa.int64(), pa.int64(), pa.int64(), longs, longs, longs]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["doc_id", "n_shingles", "same", "chunks", "sketch", "keys"])
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``same`` (hash of the whole set), ``sig`` and ``keys``; NULLs for empty sets."""
+    """``doc_id``, ``n_shingles``, ``same`` (hash of the whole set), ``chunks``, ``sketch`` and ``keys``; NULLs for empty sets."""
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sign, _SIGNED)
 
 
-def _near(batches):
-    """Of pairs with both signatures, those within DISTANCE."""
-    for batch in batches:
-        a = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-        b = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-        yield batch.select([0, 1]).filter(pa.array((a != b).sum(axis=1) <= DISTANCE))
+def _bits(value: int) -> Column:
+    return F.lit(value).cast("long")
+
+
+def errors(a: Column, b: Column) -> Column:
+    """An array: in how many symbols each chunk differs."""
+    low, high = (sum(x << int(i) for i in _SHIFT) for x in ((1 << (BITS - 1)) - 1, 1 << (BITS - 1)))
+
+    def wrong(x: Column) -> Column:  # a symbol that isn't zero carries into, or has, its highest bit
+        return F.bit_count((x.bitwiseAND(_bits(low)) + _bits(low)).bitwiseOR(x).bitwiseAND(_bits(high)))
+
+    return F.zip_with(a, b, lambda x, y: wrong(x.bitwiseXOR(y)))
+
+
+def _fold(sk: Column) -> Column:
+    """The sketch of half as many bits."""
+    half = (F.size(sk) / 2).cast("int")
+    return F.zip_with(F.slice(sk, F.lit(1), half), F.slice(sk, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+
+
+def can_be_similar(na: Column, nb: Column, ska: Column, skb: Column) -> Column:
+    """Whether sizes and sketches allow the similarity: sets of n and m items may differ in
+    (100 - SIMILARITY) / (100 + SIMILARITY) * (n + m) items."""
+    differ = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
+    bits = (
+        F.when(F.size(ska) == F.size(skb), differ(ska, skb)).when(F.size(ska) == 2 * F.size(skb), differ(_fold(ska), skb))
+        .when(F.size(skb) == 2 * F.size(ska), differ(ska, _fold(skb)))
+    )
+    sizes = 100 * F.least(na, nb) >= SIMILARITY * F.greatest(na, nb)
+    return sizes & (bits * (100 + SIMILARITY) <= (100 - SIMILARITY) * (na + nb))
 
 
 def _confirm(batches):
@@ -146,48 +182,51 @@ def _confirm(batches):
         yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """The distinct ``pairs(a, b)`` that are within the signature distance and similar on full sets."""
-    own = sets.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa"))
-    other = sets.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb"))
-    near = pairs.join(own, "a").join(other, "b").select("a", "b", "sa", "sb").mapInArrow(_near, "a long, b long")
-    near = cut(near)
+def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The ``pairs(a, b)`` whose full sets are similar enough."""
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return near.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long")
 
 
 def near_components(docs: DataFrame) -> DataFrame:
     """A row per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``."""
     spark = docs.sparkSession
     every = cut(signed(docs))
-    sets = every.where("sig IS NOT NULL")
+    sets = every.where("same IS NOT NULL")
     # equal sets: one representative, the others are linked to it
     rep = F.min("doc_id").alias("rep")
     reps = cut(sets.groupBy("same").agg(rep))
     copies = sets.select("same", "doc_id").join(reps, "same").where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     one = sets.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    keyed = one.select("doc_id", F.explode("keys").alias("key"))
+    keyed = one.select("doc_id", F.posexplode("keys").alias("place", "key"))
     full = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = cut(keyed.join(full, "key"))
     # the most central representative of each key is the one whose keys are the fullest
     weight = shared.groupBy("doc_id").agg(F.sum("n").alias("w"))
-    shared = cut(shared.join(weight, "doc_id").select("key", "doc_id", "w"))
+    shared = cut(shared.join(weight, "doc_id").select("key", "place", "doc_id", "w"))
     pivot = shared.groupBy("key").agg(F.max(F.struct("w", (-F.col("doc_id")).alias("i"))).alias("p")).select("key", (-F.col("p.i")).alias("b"))
     pairs = shared.join(pivot, "key").where("doc_id != b").select(F.col("doc_id").alias("a"), "b").distinct()
-    involved = shared.select("doc_id").distinct()
-    own = sets.select("doc_id", "sig").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = docs.select("doc_id", "text")
-    links = cut(confirmed(pairs, own, texts))
+    own = cut(one.select("doc_id", "n_shingles", "chunks", "sketch").join(shared.select("doc_id").distinct(), "doc_id", "left_semi"))
+    distance = F.aggregate(errors(F.col("ca"), F.col("cb")), F.lit(0), lambda s, e: s + e)
+    similar = (distance <= DISTANCE) & can_be_similar(F.col("na"), F.col("nb"), F.col("ska"), F.col("skb"))
+    near = pairs.join(own.toDF("a", "na", "ca", "ska"), "a").join(own.toDF("b", "nb", "cb", "skb"), "b").where(similar)
+    texts = docs.select("doc_id", "text").join(shared.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    links = cut(confirmed(near.select("a", "b"), texts))
     roots = cut(components(links))
     # keys whose representatives are not all in one component: the pairs across components remain
-    rooted = shared.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    rooted = shared.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "place", "doc_id", F.coalesce("root", "doc_id").alias("root"))
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-    left = cut(rooted.join(open_keys, "key"))
-    x, y = left.toDF("key", "a", "ra"), left.toDF("key", "b", "rb")
-    more = x.join(y, "key").where("ra < rb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = more.join(pairs.toDF("b", "a"), ["a", "b"], "left_anti")
-    links = links.union(cut(confirmed(more, own, texts))).union(copies)
+    left = cut(rooted.join(open_keys, "key").join(own, "doc_id").select("key", "place", "doc_id", "root", "n_shingles", "chunks", "sketch"))
+    x, y = left.toDF("key", "place", "a", "ra", "na", "ca", "ska"), left.drop("place").toDF("key", "b", "rb", "nb", "cb", "skb")
+    # the first key that a pair shares: of the first chunk with at most one error, the place of the error or else the first
+    wrong = errors(F.col("ca"), F.col("cb"))
+    chunk, place = F.floor(F.col("place") / CHUNK).cast("int"), F.col("place") % CHUNK
+    few = F.array_position(F.transform(wrong, lambda e: e <= 1), True) == chunk + 1
+    first_key = few & ((F.get(wrong, chunk) == 1) | (place == 0))
+    more = x.join(y, (x["key"] == y["key"]) & (F.col("ra") < F.col("rb")) & (100 * F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb")) & first_key & similar)
+    more = more.select("a", "b").distinct()
+    links = links.union(cut(confirmed(more, texts))).union(copies)
     roots = components(links).withColumnRenamed("node", "doc_id")
     return every.select("doc_id", "n_shingles").join(roots, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"),
