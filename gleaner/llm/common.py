@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from gleaner.plans.shared import cut, scratch, shared_dir  # noqa: F401
+
 #: The white space that every contract of this subpackage means by ``[\x20\x09-\x0D]``.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
@@ -15,27 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where that is unset
-    (tests on one machine) a fresh temporary folder set as checkpoint folder for the session."""
-    sc = spark.sparkContext
-    known = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_gleaner_dir", None)
-    if known is None:
-        known = "file://" + tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(known)
-        sc._gleaner_dir = known
-    return known.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; nothing else writes there."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept, without lineage, as reliable checkpoint files in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def free(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
 
 
 def small_batches(spark: SparkSession, rows: int = 512, mb: int = 16) -> None:

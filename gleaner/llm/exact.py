@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gleaner.llm.common import cut, scratch, strip_space, table
+from gleaner.llm.common import cut, free, scratch, strip_space, table
 
 #: Arrival files that one micro-batch takes.
 FILES_PER_BATCH = 16
@@ -121,16 +121,17 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, without the rows that an equal text makes superfluous."""
-    names = docs.columns
+    names, at = docs.columns, free(docs, "__at")
+    locator = F.struct("_metadata.file_path", "_metadata.row_index").alias(at)
     try:
-        placed = docs.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("__at"))
+        placed = docs.select("*", locator)
     except AnalysisException:
         path = scratch(docs.sparkSession, "documents")
         docs.write.parquet(path)
         docs = docs.sparkSession.read.schema(docs.schema).parquet(path)
-        placed = docs.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("__at"))
-    out = exact_groups(docs).where("NOT kept").select("__at")
-    return placed.join(out, "__at", "left_anti").select(*names)
+        placed = docs.select("*", locator)
+    out = exact_groups(docs).where("NOT kept").select(F.col("__at").alias(at))
+    return placed.join(out, at, "left_anti").select(*names)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

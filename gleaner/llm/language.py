@@ -19,7 +19,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from gleaner.llm.common import small_batches, table
+from gleaner.llm.common import free, small_batches, table
 
 #: Bytes of one language's dictionary, and training rows read per language to fill it (bounded sample).
 DICT_BYTES = 64 << 10
@@ -41,7 +41,7 @@ def letters(text: str) -> bytes:
 
 
 def held_out(doc_id) -> "F.Column":
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def learn(training: DataFrame) -> dict[str, bytes]:
@@ -106,11 +106,18 @@ def predictor(spark: SparkSession, dictionaries: dict[str, bytes]):
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` (0 to 1) and ``rejected``, from nothing but ``text``."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    names = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    found = docs.select(*names, predictor(spark, dictionaries)(F.col("text").cast("string")).alias("_p"))
-    return found.select(*names, "_p.lang_pred", "_p.score", (F.col("_p.score") < MIN_SCORE).alias("rejected"))
+    small_batches(docs.sparkSession)
+    names, own = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")], free(docs, "__found")
+    found = docs.select(*names, predictor(docs.sparkSession, dictionaries)(F.col("text").cast("string")).alias(own))
+    return found.select(*names, f"{own}.lang_pred", f"{own}.score", (F.col(f"{own}.score") < MIN_SCORE).alias("rejected"))
+
+
+def drop_rejected(docs: DataFrame) -> DataFrame:
+    """``docs``, all columns, without those whose language isn't told apart clearly enough."""
+    small_batches(docs.sparkSession)
+    learned, own = learn(docs.where(~held_out(F.col("doc_id")))), free(docs, "__found")
+    found = docs.select("*", predictor(docs.sparkSession, learned)(F.col("text").cast("string")).alias(own))
+    return found.where(F.col(f"{own}.score") >= MIN_SCORE).select(*docs.columns)
 
 
 def language_id(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gleaner.llm.common import cut, table
-from gleaner.llm.components import components
+from gleaner.operators.components import components
 
 EDITS = 2
 SEGMENTS = EDITS + 1
@@ -182,12 +182,12 @@ def line_report(docs: DataFrame) -> DataFrame:
 
 def drop_lines(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, with the superfluous lines taken out of ``text``."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     gone = decisions(docs).groupBy("doc", "th").agg(F.collect_list("n").alias("__gone"))
-    met = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("doc")) & (F.xxhash64(text) == F.col("th")), "left")
+    met = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["doc"]) & (F.xxhash64(text) == gone["th"]), "left")
     lines = F.split(text, "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    left = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone["__gone"])
+    left = F.when(gone["__gone"].isNull(), docs["text"]).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
     return met.select(*[left.alias(c) if c == "text" else docs[c] for c in docs.columns])
 
 

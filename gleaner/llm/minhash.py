@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gleaner.llm.common import cut, small_batches, table
-from gleaner.llm.components import components
+from gleaner.operators.components import components
 
 WORDS = 5
 CHUNKS, CHUNK = 12, 5
