@@ -1,0 +1,240 @@
+"""BPE, token files, personal data, URL rules, secrets and the pipeline, on edge cases and against brute force."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from gleaner.llm import bpe, decontaminate, exact, language, minhash, pii, secrets, tokens, urls
+from gleaner.llm.common import scratch
+from gleaner.llm.pretokens import vocabulary_path
+
+LETTERS = "ab cdeTHE 's't  \n\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0 ñçéß²¼½ªµ1234 .,!?-_'\"<|>̀ 　漢字かな🎉​İǅɐ٣Ⅷ"
+
+
+def texts_of(seed, n, most=40):
+    rng = random.Random(seed)
+    out = ["".join(rng.choice(LETTERS) for _ in range(rng.randint(0, most))) for _ in range(n)]
+    return out + [None, "", "<|endoftext|>", "a<|endoftext|>b", "x" * 5000, "ab" * 3000, " " * 300]
+
+
+def docs(spark, texts, ids=None):
+    ids = range(len(texts)) if ids is None else ids
+    return spark.createDataFrame([(i, t, "s", 1, "m") for i, t in zip(ids, texts)], "doc_id long, text string, source string, row int, m string").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(vocabulary_path())
+
+
+# -- BPE and token files -----------------------------------------------------------------------------------------------
+
+
+def test_bpe_is_the_library(spark, library):
+    texts = texts_of(1, 600)
+    got = {r["doc_id"]: r for r in bpe.round_trips(docs(spark, texts), keep_ids=True).collect()}
+    for i, t in enumerate(texts):
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        assert got[i]["ids"] == ids and got[i]["n_tokens"] == len(ids)
+        assert got[i]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[i]["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_bpe_round_trip_and_nulls(spark):
+    texts = texts_of(2, 50)
+    back = bpe.decoded(bpe.encoded(docs(spark, texts, [None] + list(range(1, len(texts))))))
+    assert sorted(r["text"] for r in back.collect()) == sorted(t or "" for t in texts)
+    assert bpe.encoded(docs(spark, texts).where("false")).collect() == []
+
+
+def test_small_tree_merges():
+    ranks = {97 << 20 | 98: 0, 98 << 20 | 98: 1, 256 << 20 | 98: 2}
+    assert bpe.merge([97, 98, 98, 98], ranks, [256, 257, 258]) == [256, 257]
+    assert bpe.merge([97], ranks, [256, 257, 258]) == [97] and bpe.merge([], ranks, []) == []
+
+
+@pytest.mark.parametrize("n", [1, 7, 8, 511, 512, 513, 5000])
+def test_token_files_give_random_access(n):
+    rng = random.Random(n)
+    ids = np.array([rng.choice([0, 5, 255, 256, 4095, 4096, 50256, 2**20, 2**31]) for _ in range(n)], np.uint32)
+    file = tokens.TokenFile(pa.BufferReader(tokens.dump([3, None], [n - 1, 1], ids)))
+    assert file.slice(0, n).tolist() == ids.tolist()
+    for _ in range(50):
+        a, b = sorted((rng.randrange(n + 1), rng.randrange(n + 1)))
+        assert file.slice(a, b).tolist() == ids[a:b].tolist()
+        i = rng.randrange(n)
+        assert file.token(i) == ids[i]
+    assert file.documents()[0] == [3, None]
+
+
+def test_token_output(spark, library, monkeypatch):
+    texts = texts_of(3, 200)
+    order = list(range(len(texts)))
+    random.Random(1).shuffle(order)
+    folder = scratch(spark, "tokens-test")
+    got = {r["doc_id"]: r for r in tokens.read_tokens(tokens.write_tokens(docs(spark, [texts[i] for i in order], order), folder), folder).collect()}
+    start = 0
+    for i, t in enumerate(texts):
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
+        assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+def test_token_output_nulls(spark):
+    folder = scratch(spark, "tokens-test")
+    got = tokens.read_tokens(tokens.write_tokens(docs(spark, ["a", None, "b"], [None, 2, 2]), folder), folder)
+    assert [(r["doc_id"], r["start"], r["n_tokens"]) for r in sorted(got.collect(), key=lambda r: r["start"])] == [(None, 0, 2), (2, 2, 1), (2, 3, 2)]
+    folder = scratch(spark, "tokens-test")
+    assert tokens.read_tokens(tokens.write_tokens(docs(spark, ["a"]).where("false"), folder), folder).collect() == []
+
+
+# -- personal data -----------------------------------------------------------------------------------------------------
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        x = int(c) * (1 + i % 2)
+        total += x - 9 * (x > 9)
+    return total % 10 == 0
+
+
+def base_spans(text):
+    out = []
+    for rank, (kind, pattern) in enumerate(BASE.items()):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            good = {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m.group().split(".")), "card": 14 <= len(digits) <= 19 and luhn(digits), "phone": 10 <= len(digits) <= 15}
+            if good[kind]:
+                out.append((m.start(), rank, f"{kind}:{m.start()}:{m.end()}", kind))
+    return sorted(out)
+
+
+def test_personal_data(spark):
+    rng = random.Random(8)
+    alphabet = "0123456789999..--  ++()@aZé🎉_x"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    texts += [
+        "4111 1111 1111 1111", "4111-1111-1111-1111 4111111111111112", "a@b.c@d.e", "a@b.com.x_y@d.e", "x..@a-.b", "1.2.3.4.5.6.7.8", "000255.1.1.1 256.1.1.1", "+1 (988) 555-2485.", "+1 5",
+        "1 2" * 20_000, "1" * 100_000, "a" * 100_000 + "@", "a." * 50_000, "+1" + " (" * 30_000, None, "", "1-1 - 1", "é" * 10 + "q@w.de",
+    ]
+    got = {r["doc_id"]: r for r in pii.personal_data(docs(spark, texts)).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        want = base_spans(t or "")
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(x[2] for x in want).encode()).hexdigest(), t
+        assert [got[i][f"n_{k}"] for k in BASE] == [sum(x[3] == k for x in want) for k in BASE]
+        spans = got[i]["spans"].split(",") if got[i]["spans"] else []
+        assert [s for s in spans if s.split(":")[0] in BASE] == [x[2] for x in want] and len(got[i]["scores"]) == len(spans)
+
+
+def test_added_kinds_and_context(spark):
+    texts = ["IBAN DE89 3704 0044 0532 0130 00", "DE88 3704 0044 0532 0130 00", "social security 219-09-9999", "part 219-09-9999", "mail me: a@b.de", "zz a@b.de"]
+    got = {r["doc_id"]: r for r in pii.personal_data(docs(spark, texts)).collect()}
+    assert [got[i]["spans"] for i in range(4)] == ["iban:5:32", "", "ssn:16:27", ""]
+    assert got[4]["scores"][0] > got[5]["scores"][0]
+    assert len(pii.personal_data(docs(spark, ["a@b.c"] * 3, [1, 1, None])).collect()) == 3
+    assert pii.personal_data(docs(spark, texts).where("false")).collect() == []
+
+
+# -- URLs --------------------------------------------------------------------------------------------------------------
+
+
+def test_urls(spark):
+    cases = [
+        "http://a.net/x", "https://EXAMPLE.net/en/1", "https://m.example.net/de/1?x=/en/", "http://notexample.com/de/", "http://example.com/de/a", "http://x.org/fr/", "http://x.org/en/", "http://net", "net/",
+        None, "", "://net/", "http://a.b?q=http://c.net/", "http://a.com/?ref=abc", "http://adult-x.example.com/en/1?page=2", "http://adult-x.example.com/en/1", "http://a.com/ads/1", "http://a.com#net/", "http://a.com/\nx.net/",
+    ]
+    pages = spark.createDataFrame([(i, u, 1, "t") for i, u in enumerate(cases)] + [(0, cases[0], 1, "t")], "page_id long, url string, row int, tokens string")
+    got = [tuple(r) for r in urls.filtered(pages, urls.rule_table(spark)).select("page_id", "host", "path", "rule", "verdict").collect()]
+    con = duckdb.connect()
+    con.sql("create table pages(page_id bigint, url varchar)")
+    con.executemany("insert into pages values (?, ?)", [(i, u) for i, u in enumerate(cases)] + [(0, cases[0])])
+    want = con.sql(f"select page_id, host, path, rule, coalesce(verdict, 'allow') from ({urls.ORACLE_SQL['op8_url_filter']})").fetchall()
+    key = lambda r: tuple(map(str, r))
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert urls.filtered(pages.where("false"), urls.rule_table(spark)).collect() == []
+    assert {r["verdict"] for r in urls.filtered(pages, urls.rule_table(spark, [], [])).collect()} == {"allow"}
+
+
+def test_rule_without_token(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/!!"), (2, "http://a.com/")], "page_id long, url string")
+    got = urls.filtered(pages, urls.rule_table(spark, [], [("!!", "", "block")]))
+    assert {r["page_id"]: r["verdict"] for r in got.collect()} == {1: "block", 2: "allow"}
+
+
+# -- secrets -----------------------------------------------------------------------------------------------------------
+
+
+def test_secrets(spark):
+    rng = random.Random(1)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    good = [f'the token = "{hexes(40)}" here' for _ in range(20)] + [f"password={hexes(18)}" for _ in range(20)] + ["x AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)) + " y" for _ in range(20)]
+    bad = ["no " + "".join(rng.choice("0123456789") for _ in range(16)) + " more" for _ in range(20)] + ["the report-total-with-2023-page note"] * 5
+    texts = good + bad + [None, "", "a" * 100_000, "1" * 50_000, "plain words only"]
+    found = {(r["doc_id"], r["start"]): r for r in secrets.scanned(docs(spark, texts), secrets.made_findings(spark, 3000)).collect()}
+    flagged = {d for (d, _), r in found.items() if r["is_secret"]}
+    assert len(flagged & set(range(len(good)))) >= len(good) - 2
+    assert len(flagged & set(range(len(good), len(good) + len(bad)))) <= 2
+    for (d, start), r in found.items():
+        assert r["candidate_sha256"] == hashlib.sha256(texts[d][start : r["stop"]].encode()).hexdigest()
+
+
+def test_secrets_without_findings(spark):
+    table = docs(spark, ["password=abcdef123456"])
+    assert [r["is_secret"] for r in secrets.scanned(table, secrets.made_findings(spark, 10).where("false")).collect()] == [None]
+    assert secrets.scanned(table.where("false"), secrets.made_findings(spark, 400)).collect() == []
+
+
+def test_forest_on_held_out_findings(spark):
+    words = secrets.dictionary(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    likely = secrets.transitions(words)
+    rows = secrets.made_findings(spark, 4000).withColumn("fold", F.pmod(F.xxhash64("candidate"), F.lit(4)))
+    model = secrets.trained(rows.where("fold != 0").drop("fold"), words, likely)
+    held = secrets.assembler().transform(secrets.featured(rows.where("fold = 0"), words, likely))
+    assert model.transform(held).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0] > 0.95
+
+
+# -- the pipeline ------------------------------------------------------------------------------------------------------
+
+
+def test_pipeline(spark, tmp_path, library):
+    """Every stage against what its operator decides on the same input; the last against the library."""
+    source = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{source}/documents.parquet").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{source}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(f"{source}/documents.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "decontamination", "encoding"]
+    ids = lambda df: {r["doc_id"] for r in df.collect()}
+    columns = docs.columns
+    bench = spark.read.parquet(f"{source}/benchmark.parquet")
+    want = [
+        lambda d: ids(language.language_id(d).where("NOT rejected")), lambda d: ids(exact.exact_groups(d).where("kept")),
+        lambda d: ids(minhash.near_components(d).where("kept")), lambda d: ids(d) - ids(decontaminate.contaminated(d, bench)),
+    ]
+    for (name, stage), decides in zip(corpus_pipeline.STAGES, want):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == columns, name
+        path = str(tmp_path / name)
+        out.write.parquet(path)
+        assert ids(spark.read.parquet(path)) == decides(docs), name
+        docs = spark.read.parquet(path)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert set(got) == set(texts) and len(got) > 100
+    assert all(got[i]["ids"] == library.encode(t, add_special_tokens=False).ids for i, t in texts.items())
