@@ -15,9 +15,9 @@ Defined cases: NULL and empty texts have only the end id; a NULL ``doc_id`` sort
 
 from __future__ import annotations
 
-import os
 import uuid
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleaner.llm.common import cut, scratch, small_batches, table
-from gleaner.llm.pretokens import load, pretokens, splitter, vocabulary_path
+from gleaner.llm.pretokens import byte_letters, load, pretokens, splitter, vocabulary_path
 
 #: A file is closed when it holds this many ids; a document is never split.
 FILE_TOKENS = 4 << 20
@@ -36,7 +36,7 @@ RUN = 512
 FIRST, NEXT = 8, 4
 MAGIC = b"GLNDAC01"
 #: Words whose tokens a worker remembers.
-MEMORY = 250_000
+MEMORY = 600_000
 END_ID = 0
 
 
@@ -139,31 +139,30 @@ class Library(dict):
     """The tokenizers library's ids, as little-endian 32-bit bytes, of words met lately.
 
     The library splits text into words before it merges, and merges never cross words, so a text's ids are
-    its words' ids one after another; only words that aren't remembered go to the library.
+    its words' ids one after another; only words that aren't remembered go to the library's model.
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_padding()
-        self.library.no_truncation()
-        self.special = load(path)[4]
+        self.library = Tokenizer.from_file(path)  # kept, as the model is a part of it
+        self.model = self.library.model
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.special = {k: np.array([i], "<u4").tobytes() for k, i in load(path)[4].items()}
         self.cut = splitter(self.special)
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [[part for part in self.cut.split(t or "") if part] if self.cut else [t or ""] for t in texts]
-        words = [[[part] if part in self.special else pretokens(part) for part in parts] for parts in split]
-        new = list({w for text in words for part in text for w in part if w not in self})
-        if len(self) + len(new) > MEMORY:
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= MEMORY:
             self.clear()
-            new = list({w for text in words for part in text for w in part})
-        for i in range(0, len(new), 10_000):
-            some = new[i : i + 10_000]
-            for w, e in zip(some, self.library.encode_batch(some, add_special_tokens=False)):
-                self[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(b"".join(map(self.__getitem__, part)) for part in text) for text in words]
+        found = self.model.tokenize(word.encode("utf-8", "replace").decode("latin-1").translate(self.letters))
+        self[word] = ids = array("I", [t.id for t in found]).tobytes()
+        return ids
+
+    def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        parts = self.cut.split(text) if self.cut else [text]
+        return b"".join(self.special[p] if p in self.special else b"".join(map(self.__getitem__, pretokens(p))) for p in parts)
 
 
 _WRITTEN = "path string, part int, before long, n_tokens long"
@@ -200,7 +199,8 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str = "byte_bpe_50k.j
             return row
 
         for batch in batches:
-            for doc, data in zip(batch.column(0).to_pylist(), codec.encode(batch.column(1).to_pylist())):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                data = codec.encode(text)
                 names.append(doc)
                 ids.append(data + end)
                 held += len(data) // 4 + 1
