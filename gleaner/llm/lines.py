@@ -28,6 +28,8 @@ EDITS = 2
 SEGMENTS = EDITS + 1
 #: Lines of fewer characters are only compared exactly.
 LEAST = 20
+#: Columns after which a verification first looks whether to go on.
+FEW = 16
 #: Shared keys are broadcast up to this many (eight bytes each); more are joined in a shuffle.
 BROADCAST_KEYS = 2_000_000
 #: Letters whose counts' parities make a line's sketch; an edit changes two of them at most.
@@ -113,15 +115,33 @@ def within(a: Column, b: Column, edits: int = EDITS) -> Column:
         return F.when(d > 2 * edits, state).otherwise(let(same, deltas))
 
     start = F.struct(F.lit((ones >> edits) << edits).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.lit(0).cast("long").alias("d"))
-    walked = F.aggregate(F.sequence(F.lit(1), n), start, column, lambda s: s["d"])
-    return F.when(n - m > edits, False).when(m == 0, n <= edits).otherwise(walked <= edits)
+    walked = lambda columns: F.aggregate(F.sequence(F.lit(1), columns), start, column, lambda s: s["d"])
+    # a diagonal beyond twice the bound after a few columns settles most pairs
+    hopeless = F.when(m >= FEW, walked(F.lit(FEW)) > 2 * edits).otherwise(False)
+    return F.when(n - m > edits, False).when(m == 0, n <= edits).when(hopeless, False).otherwise(walked(n) <= edits)
+
+
+def without_common_start(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """``pairs`` with the characters that two columns both start with taken off, up to 65,535 of them."""
+    least = F.least(F.length(a), F.length(b))
+
+    def further(n: Column, step: Column) -> Column:
+        part = lambda c: F.col(c).substr(n + 1, step)
+        return F.when((n + step <= least) & (part(a) == part(b)), n + step).otherwise(n)
+
+    rows = pairs.withColumn("__n", F.aggregate(F.array(*[F.lit(1 << i) for i in range(15, -1, -1)]), F.lit(0), further))
+    rest = lambda c: F.col(c).substr(F.col("__n") + 1, F.length(c))
+    return rows.withColumns({a: rest(a), b: rest(b)}).drop("__n")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs within EDITS edits.  What two lines have in common at either end doesn't change their distance."""
     left, right = texts.toDF("a", "ta"), texts.toDF("b", "tb")
-    met = pairs.join(left, "a").join(right, "b")
-    # spread long verifications evenly before they run
-    return met.repartition("a", "b").where(within(F.col("ta"), F.col("tb"))).select("a", "b")
+    met = without_common_start(pairs.join(left, "a").join(right, "b"), "ta", "tb")
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    turned = met.withColumns({"ta": F.reverse("ta"), "tb": F.reverse("tb")}).repartition(parts, "a", "b")
+    spread = without_common_start(turned, "ta", "tb").repartition(parts, "b", "a")
+    return spread.where(within(F.col("ta"), F.col("tb"))).select("a", "b")
 
 
 def line_links(lines: DataFrame) -> DataFrame:
