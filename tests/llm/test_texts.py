@@ -168,6 +168,38 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs(spark, texts).where("false"), bench).collect() == []
 
 
+def test_many_edited_copies_and_few_verbatim_ones(spark):
+    rng = random.Random(4)
+    item = [f"i{i}" for i in range(38)]
+    noise = lambda n: [f"v{rng.randrange(500)}" for _ in range(n)]
+    edited = [w if i % 6 else "changed" for i, w in enumerate(item)]
+    cases = [noise(9) + item for _ in range(3)] + [noise(5) + edited + noise(5) for _ in range(200)] + [noise(7) + item[:25] for _ in range(200)] + [noise(60) for _ in range(1500)]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    found = decontaminate.contaminated(docs(spark, [" ".join(w) for w in cases]), bench).collect()
+    assert {r["doc_id"] for r in found} == set(range(403))
+
+
+def test_contaminated_is_alignment_with_every_document(spark):
+    rng = random.Random(12)
+    noise = lambda n: [f"v{int(rng.expovariate(0.05))}" for _ in range(n)]
+    items = [noise(n) for n in (4, 5, 9, 15, 20, 38, 60)]
+    cases = [noise(rng.randrange(1, 200)) for _ in range(100)]
+    for _ in range(300):
+        copy = [w for w in rng.choice(items)]
+        for _ in range(rng.randrange(len(copy))):
+            i = rng.randrange(len(copy))
+            copy[i : i + rng.choice([0, 1, 1])] = noise(rng.choice([0, 1, 1]))
+            copy = copy or ["x"]
+        cases.append(noise(rng.randrange(40)) + copy + noise(rng.randrange(40)))
+    cases += [[x for w in item for x in (w, "added")] for item in items]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): round(r["score"], 9) for r in decontaminate.contaminated(docs(spark, [" ".join(w) for w in cases]), bench).collect()}
+    want = {}
+    for i, item in enumerate(items):
+        want |= {(d, i): round(x, 9) for d, x in enumerate(decontaminate.align([(item, w) for w in cases]).tolist()) if x >= decontaminate.SCORE}
+    assert got == want
+
+
 def test_alignment_is_smith_waterman():
     def slow(a, b):
         h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
