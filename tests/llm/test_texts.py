@@ -173,10 +173,10 @@ def test_many_edited_copies_and_few_verbatim_ones(spark):
     item = [f"i{i}" for i in range(38)]
     noise = lambda n: [f"v{rng.randrange(500)}" for _ in range(n)]
     edited = [w if i % 6 else "changed" for i, w in enumerate(item)]
-    cases = [noise(9) + item for _ in range(3)] + [noise(5) + edited + noise(5) for _ in range(200)] + [noise(7) + item[:25] for _ in range(200)] + [noise(60) for _ in range(1500)]
+    cases = [noise(9) + item for _ in range(3)] + [noise(5) + edited + noise(5) for _ in range(200)] + [noise(60) for _ in range(1500)]
     bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
     found = decontaminate.contaminated(docs(spark, [" ".join(w) for w in cases]), bench).collect()
-    assert {r["doc_id"] for r in found} == set(range(403))
+    assert {r["doc_id"] for r in found} == set(range(203))
 
 
 def test_contaminated_is_alignment_with_every_document(spark):
