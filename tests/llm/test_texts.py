@@ -179,6 +179,14 @@ def test_many_edited_copies_and_few_verbatim_ones(spark):
     assert {r["doc_id"] for r in found} == set(range(203))
 
 
+def test_short_items(spark):
+    item = [f"i{i}" for i in range(15)]
+    texts = [" ".join(f"c{i}" if i % 4 == 3 else w for i, w in enumerate(item)), "so Two Words it is", "two of them, words", "one", "two"]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "two words"), (3, "one"), (4, "-")], "item_id long, text string")
+    found = decontaminate.contaminated(docs(spark, texts), bench).collect()
+    assert {(r["doc_id"], r["item_id"], round(r["score"], 2)) for r in found} == {(0, 1, 0.7), (1, 2, 1.0), (3, 3, 1.0)}
+
+
 def test_contaminated_is_alignment_with_every_document(spark):
     rng = random.Random(12)
     noise = lambda n: [f"v{int(rng.expovariate(0.05))}" for _ in range(n)]
