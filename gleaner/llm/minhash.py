@@ -4,7 +4,8 @@ A text's set is its distinct five-word shingles.  A signature holds ``SYMBOLS``
 into ``CHUNKS`` chunks, two signatures that differ in fewer than ``2 * CHUNKS`` symbols have, by the
 pigeonhole principle, a chunk with at most one wrong symbol; so for every chunk and every place that the
 one error may have, the chunk without that symbol is a key, and all pairs under that signature distance
-share a key.  At a similarity of 0.85 the expected distance is 9 of 60 symbols, 5 deviations under the
+share a key.  ``similarity`` and ``chunk`` (symbols of a chunk, a divisor of ``SYMBOLS``) are parameters: shorter chunks
+are more chunks and a larger distance, as lower similarities need.  At a similarity of 0.85 the expected distance is 9 of 60 symbols, 5 deviations under the
 bound.  Candidates within the distance are confirmed on the full sets.
 
 Groups of copies never become all pairs.  Equal sets are one representative.  In every key, each
@@ -22,6 +23,8 @@ a NULL ``doc_id`` is linked with nothing and stays; an empty table gives no rows
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,9 +38,7 @@ CHUNKS, CHUNK = 12, 5
 SYMBOLS = CHUNKS * CHUNK
 #: Bits of a symbol; a chunk is one 64-bit number.
 BITS = 12
-#: Signatures that differ in more symbols than this are no candidates.
-DISTANCE = 2 * CHUNKS - 1
-#: 100 * intersection >= SIMILARITY * union.
+#: Op4's contract: 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 85
 
 _RNG = np.random.default_rng(20240229)
@@ -92,10 +93,15 @@ def signature(items: np.ndarray) -> np.ndarray:
     return ((least ^ (least >> np.uint32(16))) & np.uint32((1 << BITS) - 1)).astype(np.int64)
 
 
-def chunk_keys(sig: np.ndarray) -> np.ndarray:
+def most_distance(chunk: int) -> int:
+    """Signatures that differ in more symbols than this are no candidates."""
+    return 2 * (SYMBOLS // chunk) - 1
+
+
+def chunk_keys(sig: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
     """A key for every chunk and every symbol that may be wrong: the chunk without that symbol."""
-    parts = sig.reshape(CHUNKS, CHUNK).astype(np.uint64) * _PLACE
-    return _mixed((parts.sum(axis=1, keepdims=True) - parts) * np.uint64(0x9E3779B97F4A7C15) + _MASK).astype(np.int64).ravel()
+    parts = (sig.astype(np.uint64) * _PLACE.ravel()).reshape(-1, chunk)
+    return _mixed((parts.sum(axis=1, keepdims=True) - parts) * np.uint64(0x9E3779B97F4A7C15) + _MASK.reshape(-1, chunk)).astype(np.int64).ravel()
 
 
 def sketch(items: np.ndarray) -> np.ndarray:
@@ -108,7 +114,7 @@ def sketch(items: np.ndarray) -> np.ndarray:
 _SIGNED = "doc_id long, n_shingles long, same long, chunks array<long>, sketch array<long>, keys array<long>"
 
 
-def _sign(batches):
+def _sign(batches, chunk: int):
     hashes, longs = WordHashes(), pa.list_(pa.int64())
     for batch in batches:
         out: list[list] = [[], [], [], [], [], []]
@@ -119,9 +125,9 @@ def _sign(batches):
             if len(items) and doc is not None:
                 sig = signature(items)
                 out[2].append(xxhash.xxh3_64_intdigest(items.tobytes()) - 2**63)
-                out[3].append((sig.reshape(CHUNKS, CHUNK) << _SHIFT).sum(axis=1))
+                out[3].append((sig.reshape(-1, chunk) << _SHIFT[:chunk]).sum(axis=1))
                 out[4].append(sketch(items))
-                out[5].append(chunk_keys(sig))
+                out[5].append(chunk_keys(sig, chunk))
             else:
                 for column in out[2:]:
                     column.append(None)
@@ -129,10 +135,10 @@ def _sign(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["doc_id", "n_shingles", "same", "chunks", "sketch", "keys"])
 
 
-def signed(docs: DataFrame) -> DataFrame:
+def signed(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``same`` (hash of the whole set), ``chunks``, ``sketch`` and ``keys``; NULLs for empty sets."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sign, _SIGNED)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(partial(_sign, chunk=chunk), _SIGNED)
 
 
 def _bits(value: int) -> Column:
@@ -155,19 +161,19 @@ def _fold(sk: Column) -> Column:
     return F.zip_with(F.slice(sk, F.lit(1), half), F.slice(sk, half + 1, half), lambda x, y: x.bitwiseXOR(y))
 
 
-def can_be_similar(na: Column, nb: Column, ska: Column, skb: Column) -> Column:
+def can_be_similar(na: Column, nb: Column, ska: Column, skb: Column, similarity: int = SIMILARITY) -> Column:
     """Whether sizes and sketches allow the similarity: sets of n and m items may differ in
-    (100 - SIMILARITY) / (100 + SIMILARITY) * (n + m) items."""
+    (100 - similarity) / (100 + similarity) * (n + m) items."""
     differ = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
     bits = (
         F.when(F.size(ska) == F.size(skb), differ(ska, skb)).when(F.size(ska) == 2 * F.size(skb), differ(_fold(ska), skb))
         .when(F.size(skb) == 2 * F.size(ska), differ(ska, _fold(skb)))
     )
-    sizes = 100 * F.least(na, nb) >= SIMILARITY * F.greatest(na, nb)
-    return sizes & (bits * (100 + SIMILARITY) <= (100 - SIMILARITY) * (na + nb))
+    sizes = 100 * F.least(na, nb) >= similarity * F.greatest(na, nb)
+    return sizes & (bits * (100 + similarity) <= (100 - similarity) * (na + nb))
 
 
-def _confirm(batches):
+def _confirm(batches, similarity: int):
     """Of pairs with both texts, those whose full sets are similar enough."""
     hashes, last = WordHashes(), (None, None)
     for batch in batches:
@@ -178,21 +184,21 @@ def _confirm(batches):
                 last = (x, shingles(two, hashes))
             one = shingles(one, hashes)
             both = len(np.intersect1d(one, last[1], assume_unique=True))
-            good.append(100 * both >= SIMILARITY * (len(one) + len(last[1]) - both))
+            good.append(100 * both >= similarity * (len(one) + len(last[1]) - both))
         yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """The ``pairs(a, b)`` whose full sets are similar enough."""
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(partial(_confirm, similarity=similarity), "a long, b long")
 
 
-def near_components(docs: DataFrame) -> DataFrame:
+def near_components(docs: DataFrame, similarity: int = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
     """A row per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``."""
     spark = docs.sparkSession
-    every = cut(signed(docs))
+    every = cut(signed(docs, chunk))
     sets = every.where("same IS NOT NULL")
     # equal sets: one representative, the others are linked to it
     rep = F.min("doc_id").alias("rep")
@@ -209,10 +215,10 @@ def near_components(docs: DataFrame) -> DataFrame:
     pairs = shared.join(pivot, "key").where("doc_id != b").select(F.col("doc_id").alias("a"), "b").distinct()
     own = cut(one.select("doc_id", "n_shingles", "chunks", "sketch").join(shared.select("doc_id").distinct(), "doc_id", "left_semi"))
     distance = F.aggregate(errors(F.col("ca"), F.col("cb")), F.lit(0), lambda s, e: s + e)
-    similar = (distance <= DISTANCE) & can_be_similar(F.col("na"), F.col("nb"), F.col("ska"), F.col("skb"))
+    similar = (distance <= most_distance(chunk)) & can_be_similar(F.col("na"), F.col("nb"), F.col("ska"), F.col("skb"), similarity)
     near = pairs.join(own.toDF("a", "na", "ca", "ska"), "a").join(own.toDF("b", "nb", "cb", "skb"), "b").where(similar)
     texts = docs.select("doc_id", "text").join(shared.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    links = cut(confirmed(near.select("a", "b"), texts))
+    links = cut(confirmed(near.select("a", "b"), texts, similarity))
     roots = cut(components(links))
     # keys whose representatives are not all in one component: the pairs across components remain
     rooted = shared.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "place", "doc_id", F.coalesce("root", "doc_id").alias("root"))
@@ -221,12 +227,12 @@ def near_components(docs: DataFrame) -> DataFrame:
     x, y = left.toDF("key", "place", "a", "ra", "na", "ca", "ska"), left.drop("place").toDF("key", "b", "rb", "nb", "cb", "skb")
     # the first key that a pair shares: of the first chunk with at most one error, the place of the error or else the first
     wrong = errors(F.col("ca"), F.col("cb"))
-    chunk, place = F.floor(F.col("place") / CHUNK).cast("int"), F.col("place") % CHUNK
-    few = F.array_position(F.transform(wrong, lambda e: e <= 1), True) == chunk + 1
-    first_key = few & ((F.get(wrong, chunk) == 1) | (place == 0))
-    more = x.join(y, (x["key"] == y["key"]) & (F.col("ra") < F.col("rb")) & (100 * F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb")) & first_key & similar)
+    at, place = F.floor(F.col("place") / chunk).cast("int"), F.col("place") % chunk
+    few = F.array_position(F.transform(wrong, lambda e: e <= 1), True) == at + 1
+    first_key = few & ((F.get(wrong, at) == 1) | (place == 0))
+    more = x.join(y, (x["key"] == y["key"]) & (F.col("ra") < F.col("rb")) & (100 * F.least("na", "nb") >= similarity * F.greatest("na", "nb")) & first_key & similar)
     more = more.select("a", "b").distinct()
-    links = links.union(cut(confirmed(more, texts))).union(copies)
+    links = links.union(cut(confirmed(more, texts, similarity))).union(copies)
     roots = components(links).withColumnRenamed("node", "doc_id")
     return every.select("doc_id", "n_shingles").join(roots, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"),
@@ -234,9 +240,9 @@ def near_components(docs: DataFrame) -> DataFrame:
     )
 
 
-def drop_near(docs: DataFrame) -> DataFrame:
+def drop_near(docs: DataFrame, similarity: int = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
     """``docs``, all columns, with one document of each group of near duplicates."""
-    out = near_components(docs).where("NOT kept").select("doc_id").distinct()
+    out = near_components(docs, similarity, chunk).where("NOT kept").select("doc_id").distinct()
     return docs.join(out, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from gleaner.llm import decontaminate, exact, language, lines, minhash
 
 EXTRA = "doc_id long, text string, lang string, source string, n_chars long, row int, key string, h long, __at string, doc string, __found string"
@@ -128,6 +129,19 @@ def test_near(spark):
     assert all(r["kept"] == (r["component_id"] == i) for i, r in got.items())
 
 
+def test_near_stage_links_pairs_from_80_percent(spark):
+    rng = random.Random(8)
+    texts = []
+    for i in range(60):
+        one = [f"w{rng.randrange(10**6)}" for _ in range(104)]  # 100 shingles; 10 new ones leave 90 of 110, 11 leave 89 of 111, 12 leave 88 of 112
+        n = (10, 11, 12)[i % 3]
+        texts += [" ".join(one), " ".join(one[:-n] + [f"x{i}-{j}" for j in range(n)])]
+    table = docs(spark, texts)
+    left = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, table, "").collect()}
+    assert left == {i for i in range(120) if i % 2 == 0 or i % 6 == 5}
+    assert minhash.near_components(table).where("NOT kept").count() == 0
+
+
 def test_near_repeated_rows_and_nulls(spark):
     table = docs(spark, ["a b c d e f"] * 4 + [None], [3, 3, 5, None, None])
     left = minhash.drop_near(table)
