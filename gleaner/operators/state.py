@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def latest(rows: DataFrame, keys: list[str], order: list, n: int = 1) -> DataFrame:
@@ -58,17 +60,38 @@ def previous(rows: DataFrame, keys: list[str], at: str) -> Column:
 def versions(events: DataFrame, subject: list[str], order: list, expected: str) -> DataFrame:
     """Append-only outcomes: an event whose expected version isn't the subject's number of accepted events so far is refused.
 
-    Accepting is a fold, so it runs as an aggregation over each subject's ordered events.
+    Accepting is a fold: each subject's sorted rows stream through two counters, and none are collected.
     """
-    listed = events.groupBy(*subject).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(expected).alias("expected")))).alias("all"))
-    zero = F.struct(F.lit(0).cast("long").alias("v"), F.array().cast("array<boolean>").alias("ok"))
-
-    def step(s: Column, e: Column) -> Column:
-        good = e["expected"] == s["v"]
-        return F.struct((s["v"] + F.when(good, 1).otherwise(0)).alias("v"), F.array_append(s["ok"], good).alias("ok"))
-
-    folded = listed.withColumn("f", F.aggregate("all", zero, step))
-    return folded.select(*subject, F.col("f.v").alias("version"), F.size("all").cast("long").alias("events"), F.size(F.filter("f.ok", lambda x: ~x)).cast("long").alias("refused"))
+    kinds = events.select(*subject).schema
+    schema = StructType([*kinds.fields, *(StructField(c, LongType()) for c in ("version", "events", "refused"))])
+    turn = events.repartition(*subject).sortWithinPartitions(*subject, *order, expected)
+
+    def fold(batches):
+        last, version, seen = None, 0, 0
+        done: list[tuple] = []
+
+        def rows(like):
+            columns = list(zip(*done)) or [()] * len(schema)
+            types = [*(like.field(i).type for i in range(len(subject))), *[pa.int64()] * 3]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], schema.names)
+
+        for batch in batches:
+            like = batch.schema
+            *keys, wanted = (batch.column(i).to_pylist() for i in range(len(subject) + 1))
+            for key, want in zip(zip(*keys), wanted):
+                if key != last:
+                    if seen:
+                        done.append((*last, version, seen, seen - version))
+                    last, version, seen = key, 0, 0
+                seen += 1
+                version += want == version
+            yield rows(like)
+            done.clear()
+        if seen:
+            done.append((*last, version, seen, seen - version))
+            yield rows(like)
+
+    return turn.select(*subject, F.col(expected)).mapInArrow(fold, schema)
 
 
 def streaks(rows: DataFrame, keys: list[str], order: list, failed: Column) -> DataFrame:

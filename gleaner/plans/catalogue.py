@@ -161,9 +161,9 @@ def failure_streak(spark, sf):
 WITH r AS (SELECT user_id, CAST(date_trunc('day', ts) AS DATE) AS day, list(value) AS v FROM events GROUP BY 1, 2)
 SELECT user_id, day, len(v) AS jobs, len(list_filter(v, lambda x: x > 50)) AS trusted, len(list_filter(v, lambda x: x BETWEEN 10 AND 20)) AS fresh FROM r""")
 def nested_observation_rows(spark, sf):
-    r = events(spark, sf).groupBy("user_id", F.to_date("ts").alias("day")).agg(F.collect_list("value").alias("v"))
-    size = lambda c: F.size(c).cast("long")
-    return r.select("user_id", "day", size("v").alias("jobs"), size(F.filter("v", lambda x: x > 50)).alias("trusted"), size(F.filter("v", lambda x: x.between(10, 20))).alias("fresh"))
+    v = F.col("value")
+    return events(spark, sf).groupBy("user_id", F.to_date("ts").alias("day")).agg(
+        F.count("*").alias("jobs"), F.count_if(v > 50).alias("trusted"), F.count_if(v.between(10, 20)).alias("fresh"))
 
 
 _SHARE = "CASE WHEN present = total THEN 'reliable' WHEN present > 0 THEN 'conditional' ELSE 'unavailable' END"

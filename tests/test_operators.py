@@ -103,3 +103,15 @@ def test_streams(spark, tmp_path):
     assert sum(r["n"] for r in run(changes.hourly_counts(source(), "at", "target"), "complete")) == 7
     assert {r["target"]: r["n"] for r in run(changes.coverage(source(), "target", "at", "status"), "complete")} == {"t0": 2, "t1": 2}
     assert len(run(changes.once(source(), ["id"], "at"), "append")) == 6
+
+
+def test_versions_of_a_hot_subject(spark):
+    hot = spark.range(100_000).select(F.lit("hot").alias("s"), F.col("id").alias("i"), (F.col("id") - F.floor(F.col("id") / 10)).alias("expected"))
+    rest = spark.createDataFrame([("a", 1, 0), ("a", 2, 0), ("a", 3, 1), (None, 1, None), (None, 2, 0)], "s string, i long, expected long")
+    found = state.versions(hot.union(rest).repartition(5), ["s"], ["i"], "expected")
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    got = {r["s"]: (r["version"], r["events"], r["refused"]) for r in found.collect()}
+    version = 0
+    for i in range(100_000):
+        version += i - i // 10 == version
+    assert got == {"hot": (version, 100_000, 100_000 - version), "a": (2, 3, 1), None: (1, 2, 1)}
