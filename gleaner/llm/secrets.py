@@ -1,7 +1,7 @@
 """Secret scans: patterns propose candidates, a random forest removes the false positives.
 
-A candidate is a run of token characters that is long and holds a digit, or anything assigned to a word like
-``password``.  Its features are its length, how its characters change (classes, letters that follow each other,
+A candidate is a run of token characters that is long and holds a digit, a key with an issuer's prefix, or any value of
+four characters or more, quoted or without spaces, that is assigned to a word like ``password``.  Its features are its length, how its characters change (classes, letters that follow each other,
 distinct ones, vowels), how much of it dictionary words cover, where the document comes from, and the words around it.
 The forest is trained on labelled findings: rows of the same features with a label.  All of it is DataFrame functions
 and the JVM's own forest.
@@ -23,8 +23,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from gleaner.llm.common import cut, table
 
 _NAMES = r"(?:pass(?:word|wd|phrase)|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?"
-#: A candidate: what is assigned to one of the names, or a run of 16 token characters or more with a digit.
-CANDIDATE = rf"(?i)(?<![A-Za-z0-9+/_-])(?<=\b{_NAMES} ?[=:] ?[\"']?)[A-Za-z0-9+/_-]{{8,}}+|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{16,}}+"
+_TOKEN = r"A-Za-z0-9+/_-"
+#: What is assigned to one of the names: a quoted value up to its quote, or what has no space or quote, less the punctuation that ends it.
+_QUOTED = "|".join(rf"(?<=\b{_NAMES}[\"']? ?[=:] ?{q})[^{q}\r\n]{{4,512}}+(?={q})" for q in "\"'")
+_ASSIGNED = rf"(?<=\b{_NAMES}[\"']? ?[=:] ?[\"']?)[^\s\"']{{3,}}[^\s\"'.,;:)\]}}>]"
+#: What the issuer's prefix tells, with or without a digit.
+_PREFIXED = rf"(?<![{_TOKEN}])(?-i:A[KS]IA[A-Z0-9]{{16}}|(?:gh[opsu]_|glpat-|xox[abprs]-|sk_live_|sk-)[{_TOKEN}]{{16,}}+)(?![{_TOKEN}])"
+#: A candidate: one of these, or a run of 16 token characters or more with a digit.
+CANDIDATE = rf"(?i){_QUOTED}|{_ASSIGNED}|{_PREFIXED}|(?<![{_TOKEN}])(?=[A-Za-z+/_-]*+[0-9])[{_TOKEN}]{{16,}}+"
 #: Characters kept around a candidate, and their words that hint at a secret or at a harmless id.
 NEAR = 40
 SECRET_WORDS = r"pass(word|wd|phrase)|pwd|secret|token|api[_-]?key|access|auth|credential|private|bearer|aws|key"
@@ -45,7 +51,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     pieces, matches = F.split(text, CANDIDATE, -1), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
     path = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
     rows = docs.select("doc_id", path.alias("path"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
-    rows = rows.where(F.col("text").rlike("[0-9=:]"))  # every candidate holds a digit or follows one of = :
+    rows = rows.where(F.col("text").rlike("[0-9=:]|A[KS]IA|gh[opsu]_|glpat-|xox|sk[-_]"))  # every candidate holds a digit, follows one of = : or has a prefix
 
     def one(match: Column, i: Column) -> Column:
         before, after = F.get(pieces, i), F.get(pieces, i + 1)
@@ -121,6 +127,9 @@ def made_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         one(F.substring(hexes, 1, 18), gives, name), one(hexes, gives, name),
         one(F.substring(base64, 1, 40), gives, name), one(F.concat(F.lit("ghp_"), F.substring(base64, 1, 36)), F.lit(" "), F.lit("")),
         one(F.substring(base64, 1, 16), gives, name),
+        one(F.concat(F.initcap(word("s1")), F.lit("@"), F.substring(digits, 1, 3), pick("s2", "!", "#", "$%", "?!"), F.substring(base64, 1, 3)), gives, name),
+        one(F.concat(F.substring(base64, 3, 3), pick("s3", "!", "#", "", "$"), F.substring(digits, 1, 2)), gives, name),
+        one(F.concat(F.lit("AKIA"), F.translate(letters, "0123456789", "QRSTUVWXYZ")), F.lit(" "), F.lit("")),
     )
     harmless = F.array(
         one(F.substring(digits, 1, 16), F.lit(" "), pick("n1", "card", "order", "invoice", "", "", "")),
@@ -128,8 +137,11 @@ def made_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         one(F.concat_ws("-", F.substring(hexes, 1, 8), F.substring(hexes, 9, 4), F.substring(hexes, 13, 4), F.substring(hexes, 17, 4), F.substring(hexes, 21, 12)), F.lit(": "), F.lit("uuid")),
         one(F.concat_ws("/", word("w4"), word("w5"), F.concat(word("w6"), F.substring(digits, 1, 4))), F.lit(" "), F.lit("")),
         one(F.concat_ws("_", word("w7"), word("w8"), word("w9")), gives, pick("n3", "token", "password", "auth")),
+        one(word("v1"), gives, pick("n4", "token", "password", "auth", "secret")),
+        one(F.concat_ws(".", word("v2"), F.concat(word("v3"), F.lit("()"))), gives, pick("n5", "token", "password", "auth")),
+        one(F.concat(F.lit("${"), F.upper(word("v4")), F.lit("_"), F.upper(word("v5")), F.lit("}")), gives, pick("n6", "token", "password", "api_key")),
     )
-    at = lambda a: F.element_at(a, (F.pmod(F.xxhash64("id", F.lit("kind")), F.lit(6)) + 1).cast("int"))
+    at = lambda a: F.element_at(a, (F.pmod(F.xxhash64("id", F.lit("kind")), F.lit(9)) + 1).cast("int"))
     label = F.col("id") % 2
     found = F.when(label == 1, at(secret)).otherwise(at(harmless))
     return spark.range(0, rows, 1, 4).select(
