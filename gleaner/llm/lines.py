@@ -3,22 +3,28 @@
 Two lines within ``EDITS`` edits share, if one is cut into ``EDITS + 1`` segments, an unchanged segment.  So every
 line is filed under its segments, with its length and the segment's number, and looks for shorter or equally
 long lines with those of its substrings that such a segment could have become (a substring whose place would
-need more edits before or after it than are left isn't one).  Pairs that meet are verified by banded
-bit-parallel edit distance: a window of ``2 * EDITS + 1`` bits moves down the main diagonal.
+need more edits before or after it than are left isn't one).  Pairs that meet are compared by how often they have
+each letter, lose what they have in common at both ends, and are verified by banded bit-parallel edit distance: a window
+of ``2 * EDITS + 1`` bits moves down the main diagonal.
 
-All in DataFrame functions.  Equal lines are one line throughout.  In every key all lines first meet only the smallest
-one; once these links have merged classes, only pairs from different classes are still looked at, which leaves out
-nothing but pairs that are in one class already.
+All in DataFrame functions.  Equal lines are one line throughout: the whole line is one more key, whose members are its
+places.  In every key all lines first meet only the smallest one; once these links have merged classes, only pairs from
+different classes are still looked at, which leaves out nothing but pairs that are in one class already.  A key of more
+than ``HOT`` lines is split: what two linked lines have beside the shared segment is within the same edits, so it is cut
+into segments again, and a segment of that is added to the key; this is repeated while keys are hot.
 
 Of each class of linked lines, the first occurrence in the order of documents and lines stays.
 
 Defined cases: NULL and empty texts have one empty line; blank lines always stay; lines under ``LEAST`` characters are
-only compared exactly; rows that repeat ``doc_id`` and text count as one document; a NULL ``doc_id`` sorts first; an
-empty table gives no rows.
+only compared exactly; lines and texts of any length are compared whole; rows that repeat ``doc_id`` and text count as one
+document; a NULL ``doc_id`` is a document like others and sorts first; other columns don't matter, whatever their names;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gleaner.llm.common import cut, table
@@ -28,12 +34,21 @@ EDITS = 2
 SEGMENTS = EDITS + 1
 #: Lines of fewer characters are only compared exactly.
 LEAST = 20
-#: Columns after which a verification first looks whether to go on.
-FEW = 16
+#: Keys of more lines are split, while what is left of the lines has LEAST_REST characters.
+HOT, LEAST_REST = 1000, 2 * SEGMENTS
 #: Shared keys are broadcast up to this many (eight bytes each); more are joined in a shuffle.
 BROADCAST_KEYS = 2_000_000
-#: Letters whose counts' parities make a line's sketch; an edit changes two of them at most.
+#: A line with more than this fraction of all repeated occurrences is handled apart.
+HOT_SHARE = 10_000
+#: Letters whose counts are compared; an edit changes two of them by one at most.
 LETTERS = "etaoinshrdlucmfwypvbgkéçñüö,"
+#: Where a line looks for a segment: its number, by how much the other line is shorter, and the shift of its place.
+#: The first ones are the line's own segments, under which it is filed.
+PLACES = [(i, 0, 0) for i in range(SEGMENTS)] + [
+    (i, shorter, shift)
+    for i in range(SEGMENTS) for shorter in range(EDITS + 1)
+    for shift in range(max(-i, shorter - (EDITS - i)), min(i, shorter + (EDITS - i)) + 1) if shorter or shift
+]
 
 
 def let(value: Column, use) -> Column:
@@ -42,57 +57,73 @@ def let(value: Column, use) -> Column:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """A row per line that isn't blank: document key (``doc``, ``th``), number ``n``, ``line`` and its 64-bit hash ``h``."""
+    """A row per line that isn't blank: document key (``doc``, ``th``), number ``n``, ``line`` and its length ``len``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     named = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n", -1)).alias("n", "line"))
-    return named.where(F.trim(F.translate("line", "\t\x0b\x0c\r", "")) != "").withColumn("h", F.xxhash64("line"))
+    return named.where(F.trim(F.translate("line", "\t\x0b\x0c\r", "")) != "").withColumn("len", F.length("line"))
+
+
+def line_id() -> Column:
+    return F.unhex(F.md5(F.col("line").cast("binary")))
+
+
+def segment(n: Column, i: int, shorter: int, shift: int) -> tuple[Column, Column]:
+    """Where segment i of a line that is ``shorter`` begins, from 0 and with the shift, and its length; longer segments come last."""
+    size = n - shorter
+    base, over = F.call_function("div", size, F.lit(SEGMENTS)).cast("int"), size % SEGMENTS
+    return base * i + F.greatest(F.lit(0), over - (SEGMENTS - i)) + shift, base + F.when(over >= SEGMENTS - i, 1).otherwise(0)
+
+
+def keys(wide: Column, n: Column, *more: Column) -> list[Column]:
+    """The keys of a line of ``n`` characters in four bytes each (``wide``), one for each of PLACES."""
+    out = []
+    for i, shorter, shift in PLACES:
+        start, length = segment(n, i, shorter, shift)
+        out.append(F.xxhash64(*more, F.lit(i), n - shorter, F.substring(wide, 4 * start + 1, 4 * length)))
+    return out
 
 
-def keys(line: Column) -> Column:
-    """An array of keys: first those that the line is filed under, which also are probes, then the other probes."""
-    n = F.length(line)
+def keyed(lines: DataFrame) -> DataFrame:
+    """``lines`` by key: key 0 is that of the whole line, key ``i`` from 1 on that of PLACES[i - 1]."""
+    wide = lines.withColumn("wide", F.encode("line", "UTF-32"))
+    whole = F.xxhash64(F.lit(-1), F.col("line"))
+    every = F.when(F.col("len") >= LEAST, F.array(whole, *keys(F.col("wide"), F.col("len")))).otherwise(F.array(whole))
+    return wide.withColumn("keys", every).drop("wide").select("*", F.posexplode("keys").alias("i", "key")).drop("keys")
 
-    def segment(size: Column, i: int) -> tuple[Column, Column]:
-        """First character and length of segment i of a line of that size; longer segments come last."""
-        base, over = F.floor(size / SEGMENTS).cast("int"), (size % SEGMENTS).cast("int")
-        return base * i + F.greatest(F.lit(0), F.lit(i) - (SEGMENTS - over)) + 1, base + F.when(F.lit(i) >= SEGMENTS - over, 1).otherwise(0)
 
-    def key(size: Column, i: int, start: Column, length: Column) -> Column:
-        fits = (start >= 1) & (start + length - 1 <= n) & (size >= LEAST)
-        return F.when(fits, F.xxhash64(F.lit(i), size, line.substr(start, length)))
+def letter_counts(line: Column) -> Column:
+    return F.array(*[F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))) for c in LETTERS])
 
-    filed, probes = [], []
-    for i in range(SEGMENTS):
-        for shorter in range(EDITS + 1):
-            size = n - shorter
-            start, length = segment(size, i)
-            for shift in range(max(-i, shorter - (EDITS - i)), min(i, shorter + (EDITS - i)) + 1):
-                (probes if shorter or shift else filed).append(key(size, i, start + shift, length))
-    return F.array(*filed, *probes)
 
+def sketch(counts: Column) -> Column:
+    """The parities of the letter counts; within EDITS edits they differ in ``2 * EDITS`` bits at most."""
+    return F.aggregate(counts, F.lit(0), lambda bits, x: F.shiftleft(bits, 1).bitwiseOR(x.bitwiseAND(1)))
 
-def sketch(line: Column) -> Column:
-    bits = F.lit(0)
-    for i, c in enumerate(LETTERS):
-        bits = bits.bitwiseXOR(F.shiftleft((F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(1), i))
-    return bits
+
+def alike(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= 2 * EDITS
 
 
 def within(a: Column, b: Column, edits: int = EDITS) -> Column:
     """Whether the edit distance of two strings is at most ``edits`` (up to 31)."""
-    short, long = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
-    p, t = F.array_remove(F.split(short, ""), ""), F.array_remove(F.split(long, ""), "")
-    m, n = F.length(short), F.length(long)
+    longer = F.length(a) > F.length(b)
+    letters = lambda c: F.array_remove(F.split(c, ""), "")
+    pair = F.struct(letters(F.when(longer, b).otherwise(a)).alias("p"), letters(F.when(longer, a).otherwise(b)).alias("t"))
+    return let(pair, lambda s: _walk(s["p"], s["t"], edits))
+
+
+def _walk(p: Column, t: Column, edits: int) -> Column:
+    """Whether two arrays of characters, the second one not the shorter, are within ``edits``."""
+    m, n = F.size(p), F.size(t)
     ones = (1 << (2 * edits + 1)) - 1
     bit = lambda x, i: F.call_function("shiftright", x, i).bitwiseAND(F.lit(1).cast("long"))
 
     def column(state: Column, j: Column) -> Column:
         vp, vn, d = state["vp"], state["vn"], state["d"]
-        c = F.get(t, j - 1)
         same = F.lit(0).cast("long")
         for i in range(2 * edits + 1):  # bit i is row j - edits + i
             at = j - 1 - edits + i
-            same = same.bitwiseOR(F.when((at >= 0) & (F.get(p, F.greatest(at, F.lit(0))) == c), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
+            same = same.bitwiseOR(F.when((at >= 0) & (F.get(p, F.greatest(at, F.lit(0))) == F.get(t, j - 1)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
 
         def deltas(x: Column) -> Column:
             d0 = ((x.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(x).bitwiseOR(vn).bitwiseAND(F.lit(ones).cast("long"))
@@ -115,80 +146,126 @@ def within(a: Column, b: Column, edits: int = EDITS) -> Column:
         return F.when(d > 2 * edits, state).otherwise(let(same, deltas))
 
     start = F.struct(F.lit((ones >> edits) << edits).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.lit(0).cast("long").alias("d"))
-    walked = lambda columns: F.aggregate(F.sequence(F.lit(1), columns), start, column, lambda s: s["d"])
-    # a diagonal beyond twice the bound after a few columns settles most pairs
-    hopeless = F.when(m >= FEW, walked(F.lit(FEW)) > 2 * edits).otherwise(False)
-    return F.when(n - m > edits, False).when(m == 0, n <= edits).when(hopeless, False).otherwise(walked(n) <= edits)
+    walked = F.aggregate(F.sequence(F.lit(1), n), start, column, lambda s: s["d"])
+    return F.when(n - m > edits, False).when(m == 0, n <= edits).otherwise(walked <= edits)
+
+
+def without_common_start(pair: Column) -> Column:
+    """A struct of two strings ``p`` and ``t`` without the characters that both start with, up to 65,535 of them."""
+
+    def cut_off(s: Column) -> Column:
+        least = F.least(F.length(s["p"]), F.length(s["t"]))
+
+        def further(n: Column, step: Column) -> Column:
+            part = lambda c: s[c].substr(n + 1, step)
+            return F.when((n + step <= least) & (part("p") == part("t")), n + step).otherwise(n)
 
+        common = F.aggregate(F.array(*[F.lit(1 << i) for i in range(15, -1, -1)]), F.lit(0), further)
+        return let(common, lambda n: F.struct(*[s[c].substr(n + 1, F.length(s[c])).alias(c) for c in "pt"]))
 
-def without_common_start(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """``pairs`` with the characters that two columns both start with taken off, up to 65,535 of them."""
-    least = F.least(F.length(a), F.length(b))
+    return let(pair, cut_off)
 
-    def further(n: Column, step: Column) -> Column:
-        part = lambda c: F.col(c).substr(n + 1, step)
-        return F.when((n + step <= least) & (part(a) == part(b)), n + step).otherwise(n)
 
-    rows = pairs.withColumn("__n", F.aggregate(F.array(*[F.lit(1 << i) for i in range(15, -1, -1)]), F.lit(0), further))
-    rest = lambda c: F.col(c).substr(F.col("__n") + 1, F.length(c))
-    return rows.withColumns({a: rest(a), b: rest(b)}).drop("__n")
+def close(a: Column, b: Column) -> Column:
+    """Whether two strings are within EDITS edits; what they have in common at either end doesn't change their distance."""
+    left = without_common_start(F.struct(a.alias("p"), b.alias("t")))
+    turned = let(left, lambda s: F.struct(F.reverse(s["p"]).alias("p"), F.reverse(s["t"]).alias("t")))
+    return let(without_common_start(turned), lambda s: within(s["p"], s["t"]))
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs within EDITS edits.  What two lines have in common at either end doesn't change their distance."""
-    left, right = texts.toDF("a", "ta"), texts.toDF("b", "tb")
-    met = without_common_start(pairs.join(left, "a").join(right, "b"), "ta", "tb")
+def verified(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """The ``pairs(a, b)`` within EDITS edits, of lines ``own(id, line, counts)``."""
+    left, right = own.select(F.col("id").alias("a"), F.col("line").alias("ta"), F.col("counts").alias("ca")), own.select(F.col("id").alias("b"), F.col("line").alias("tb"), F.col("counts").alias("cb"))
+    differ = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    met = pairs.join(left, "a").join(right, "b").where((differ <= 2 * EDITS) & (F.abs(F.length("ta") - F.length("tb")) <= EDITS))
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    turned = met.withColumns({"ta": F.reverse("ta"), "tb": F.reverse("tb")}).repartition(parts, "a", "b")
-    spread = without_common_start(turned, "ta", "tb").repartition(parts, "b", "a")
-    return spread.where(within(F.col("ta"), F.col("tb"))).select("a", "b")
-
-
-def line_links(lines: DataFrame) -> DataFrame:
-    """Links ``a``, ``b`` (digests) between different lines within EDITS edits: enough of them to connect every class."""
-    long_enough = lines.where(F.length("line") >= LEAST)
-    keyed = long_enough.select("line", "h", F.posexplode(keys(F.col("line"))).alias("i", "key")).where("key IS NOT NULL")
-    open_keys = cut(keyed.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo != hi").select("key"))
-    small = F.broadcast if open_keys.count() <= BROADCAST_KEYS else (lambda x: x)
-    line = F.col("line")
-    shared = keyed.join(small(open_keys), "key").select("key", (F.col("i") < SEGMENTS).alias("filed"), F.unhex(F.md5(line.cast("binary"))).alias("id"), sketch(line).alias("sketch"), F.length(line).alias("len"))
-    shared = cut(shared.distinct())
-    filed = shared.where("filed")
-    first = filed.groupBy("key").agg(F.min(F.struct("id", "sketch")).alias("f")).select("key", F.col("f.id").alias("b"), F.col("f.sketch").alias("sb"))
-    alike = F.bit_count(F.col("sketch").bitwiseXOR(F.col("sb"))) <= 2 * EDITS
-    star = shared.join(first, "key").where((F.col("id") != F.col("b")) & alike).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-    star = cut(star)
-    involved = shared.select("id").distinct()
-    digest = F.unhex(F.md5(line.cast("binary")))
-    texts = cut(long_enough.select(digest.alias("id"), "line").join(involved, "id", "left_semi").dropDuplicates(["id"]))
-    links = cut(verified(star, texts))
-    roots = cut(components(links).toDF("id", "root"))
-    rooted = shared.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    split_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-    left = cut(rooted.join(split_keys, "key").select("key", "filed", "id", "root", "sketch"))
-    x, y = left.toDF("key", "fa", "ida", "ra", "sketch"), left.where("filed").toDF("key", "fb", "idb", "rb", "sb")
-    more = x.join(y, "key").where((F.col("ra") != F.col("rb")) & alike).select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()
-    more = more.join(star, ["a", "b"], "left_anti")
-    return links.union(verified(cut(more), texts))
-
-
-def decisions(docs: DataFrame) -> DataFrame:
-    """Occurrences that go: document key (``doc``, ``th``), line number ``n`` and whether it is a ``near`` copy."""
-    lines = occurrences(docs)
-    at = F.struct("doc", "th", "n")
-    every = lines.select("doc", "th", "n", F.unhex(F.md5(F.col("line").cast("binary"))).alias("id"))
-    unique = every.groupBy("id").agg(F.min(at).alias("first"), F.count("*").alias("c"))
-    roots = components(cut(line_links(lines))).toDF("id", "root")
-    known = cut(unique.join(roots, "id", "left").where("c > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "id")))
+    return met.select("a", "b", "ta", "tb").repartition(parts, "a", "b").where(close(F.col("ta"), F.col("tb"))).select("a", "b")
+
+
+def size_checked(spark_side: DataFrame, most: int) -> DataFrame:
+    """A written table to join with: broadcast if it has ``most`` rows at most."""
+    return F.broadcast(spark_side) if spark_side.count() <= most else spark_side
+
+
+def split_hot(shared: DataFrame, own: DataFrame, hot: int) -> DataFrame:
+    """``shared(key, i, id)`` as ``key``, ``id``, ``filed``, with every key of more than ``hot`` lines replaced by finer ones:
+    the key with a segment of what the lines have beside the segment of the key."""
+    now = shared.select("key", "i", "id", (F.col("i") <= SEGMENTS).alias("filed"), F.lit(None).cast("string").alias("rest"))
+    done = []
+    while True:
+        many = cut(now.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > hot).select("key"))
+        if many.isEmpty():
+            break
+        many = size_checked(many, BROADCAST_KEYS)
+        done.append(now.join(many, "key", "left_anti").select("key", "id", "filed"))
+        whole = now.join(many, "key").join(own.select("id", "line"), "id").withColumn("rest", F.coalesce("rest", "line")).drop("line")
+        at = lambda part: F.element_at(F.array(*[segment(F.length("rest"), *p)[part] for p in PLACES]), F.col("i"))
+        cutout = whole.withColumns({"s": at(0), "l": at(1)})
+        left = cutout.withColumn("rest", F.concat(F.col("rest").substr(F.lit(1), F.col("s")), F.col("rest").substr(F.col("s") + F.col("l") + 1, F.length("rest"))))
+        left = cut(left.select("key", "id", "filed", "rest"))
+        # what gets too short to be cut stays together, with what is no more than EDITS longer
+        done.append(left.where(F.length("rest") < LEAST_REST + EDITS).select("key", "id", "filed"))
+        wide = left.where(F.length("rest") >= LEAST_REST).withColumn("wide", F.encode("rest", "UTF-32"))
+        wide = wide.withColumn("finer", F.array(*keys(F.col("wide"), F.length("rest"), F.col("key")))).drop("wide", "key")
+        finer = wide.select("id", "rest", "filed", F.posexplode("finer").alias("j", "key"))
+        finer = finer.select("key", (F.col("j") + 1).alias("i"), "id", (F.col("filed") & (F.col("j") < SEGMENTS)).alias("filed"), "rest")
+        met = cut(finer.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("filed").alias("filed")).where("filed AND lo != hi").select("key"))
+        now = cut(finer.join(size_checked(met, BROADCAST_KEYS), "key"))
+    return reduce(DataFrame.unionByName, done, now.select("key", "id", "filed"))
+
+
+def line_links(shared: DataFrame, own: DataFrame) -> DataFrame:
+    """Links ``a``, ``b`` between different lines within EDITS edits: enough of them to connect every class."""
+    sketched = shared.join(own.select("id", "sketch"), "id")
+    first = sketched.where("filed").groupBy("key").agg(F.min(F.struct("id", "sketch")).alias("f")).select("key", F.col("f.id").alias("b"), F.col("f.sketch").alias("sb"))
+    star = sketched.join(first, "key").where((F.col("id") != F.col("b")) & alike("sketch", "sb")).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
+    star = cut(star.distinct())
+    links = cut(verified(star, own))
+    roots = cut(components(links)).toDF("id", "root")
+    rooted = sketched.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+    left = cut(rooted.join(several, "key"))
+    x, y = left.select("key", F.col("id").alias("ida"), "root", "sketch"), left.where("filed").select("key", F.col("id").alias("idb"), F.col("root").alias("rb"), F.col("sketch").alias("sb"))
+    more = x.join(y, "key").where((F.col("root") != F.col("rb")) & alike("sketch", "sb")).select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()
+    return links.union(verified(cut(more.join(star, ["a", "b"], "left_anti")), own))
+
+
+def decisions(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """Occurrences that go: document key (``doc``, ``th``), line number ``n`` and whether it is a ``near`` copy.
+    Keys of more than ``hot`` lines are split."""
+    lines = occurrences(docs).withColumn("h", F.xxhash64("line"))
+    place = F.struct("doc", "th", "n")
+    member = F.when(F.col("i") == 0, F.col("at")).otherwise(F.col("h"))
+    members = keyed(lines.withColumn("at", F.xxhash64("doc", "th", "n"))).select("key", member.alias("m"))
+    open_keys = cut(members.groupBy("key").agg(F.min("m").alias("lo"), F.max("m").alias("hi")).where("lo != hi").select("key"))
+    every = keyed(lines).join(size_checked(open_keys, BROADCAST_KEYS), "key")
+    met = cut(every.select("key", "i", "h", F.when(F.col("i") == 0, F.struct(line_id().alias("id"), place.alias("place"))).alias("whole")).distinct())
+    shared, copies = met.where("i > 0").select("key", "i", "h"), met.where("i = 0").select("whole.*")
+    involved = cut(shared.select("h").distinct())
+    texts = lines.where(F.col("len") >= LEAST).join(size_checked(involved, BROADCAST_KEYS), "h").select(line_id().alias("id"), "h", "line", place.alias("place"))
+    own = texts.groupBy("id").agg(F.first("h").alias("h"), F.first("line").alias("line"), F.min("place").alias("place")).withColumn("counts", letter_counts(F.col("line")))
+    own = cut(own.withColumn("sketch", sketch(F.col("counts"))))
+    shared = cut(shared.join(own.select("h", "id"), "h").select("key", "i", "id"))
+    roots = components(cut(line_links(split_hot(shared, own, hot), own))).toDF("id", "root")
+
+    single = own.select("id", "place").join(roots, "id", "left_semi")
+    places = cut(copies.union(single).distinct())
+    unique = places.groupBy("id").agg(F.min("place").alias("first"), F.count("*").alias("c"))
+    known = cut(unique.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
     keeper = known.groupBy("root").agg(F.min(F.struct("first", "id")).alias("k")).select("root", "k.first", F.col("k.id").alias("kept_id"))
-    rule = known.select("id", "root").join(keeper, "root").select("id", "first", (F.col("id") != F.col("kept_id")).alias("near"))
-    return every.join(rule, "id").where(~at.eqNullSafe(F.col("first"))).select("doc", "th", "n", "near").distinct()
+    rule = cut(known.drop("first").join(keeper, "root").select("id", "first", "c", (F.col("id") != F.col("kept_id")).alias("near")))
+    # a line with more than a HOT_SHARE-th of the occurrences is one of HOT_SHARE at most: these are broadcast, no task gets all their places
+    bound = places.count() // HOT_SHARE
+    often = F.broadcast(rule.where(F.col("c") > bound))
+    rest = places.join(often.select("id"), "id", "left_anti").join(rule.where(F.col("c") <= bound), "id")
+    gone = places.join(often, "id").unionByName(rest)
+    return gone.where(~F.col("place").eqNullSafe(F.col("first"))).select("place.*", "near")
 
 
-def line_report(docs: DataFrame) -> DataFrame:
+def line_report(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """A row per row of ``docs``: ``doc_id``, ``n_lines``, ``n_copies`` and ``n_near`` that go, and their numbers ``dropped``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    gone = decisions(docs).groupBy("doc", "th").agg(
+    gone = decisions(docs, hot).groupBy("doc", "th").agg(
         F.count_if(~F.col("near")).alias("copies"), F.count_if("near").alias("nears"), F.sort_array(F.collect_list("n")).alias("dropped")
     )
     rows = docs.select("doc_id", F.col("doc_id").cast("long").alias("d"), F.xxhash64(text).alias("h"), F.size(F.split(text, "\n", -1)).cast("long").alias("n_lines"))
@@ -200,10 +277,10 @@ def line_report(docs: DataFrame) -> DataFrame:
     )
 
 
-def drop_lines(docs: DataFrame) -> DataFrame:
+def drop_lines(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """``docs``, all columns, with the superfluous lines taken out of ``text``."""
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    gone = decisions(docs).groupBy("doc", "th").agg(F.collect_list("n").alias("__gone"))
+    gone = decisions(docs, hot).groupBy("doc", "th").agg(F.collect_list("n").alias("__gone"))
     met = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["doc"]) & (F.xxhash64(text) == gone["th"]), "left")
     lines = F.split(text, "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone["__gone"])
