@@ -29,10 +29,13 @@ def components(links: DataFrame) -> DataFrame:
     the longest path; no group of links is ever collected.  Links to a hot node are pre-aggregated.
     """
     now = cut(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    while True:
+    size = now.count()
+    while size:
         after = cut(_small_star(_large_star(now)))
-        moved = after.exceptAll(now).limit(1).count() + now.exceptAll(after).limit(1).count()
-        now = after
-        if not moved:
+        then, before = after.count(), now
+        # as distinct links, as many as before and none but them is the same
+        done = then == size and after.join(before, ["a", "b"], "left_anti").isEmpty()
+        now, size = after, then
+        if done:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where that is unset (tests on one machine), a temporary folder set for the session."""
+    """``spark.checkpoint.dir``; where that is unset and everything runs in one process (tests), a temporary folder."""
     sc = spark.sparkContext
     known = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_gleaner_dir", None)
     if known is None:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         known = "file://" + tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(known)
         sc._gleaner_dir = known
@@ -28,3 +30,9 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept, without lineage, as reliable checkpoint files."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
