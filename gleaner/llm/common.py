@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gleaner.plans.shared import cut, scratch, shared_dir  # noqa: F401
+from gleaner.plans.shared import cut, drop_path, scratch, shared_dir  # noqa: F401
 
 #: The white space that every contract of this subpackage means by ``[\x20\x09-\x0D]``.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -21,10 +21,32 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
-def small_batches(spark: SparkSession, rows: int = 512, mb: int = 16) -> None:
-    """Bound what one Arrow batch to a Python worker holds, for texts of any length."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+def small_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch to a Python worker holds, for texts of any length; all operators use the same bounds."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
+def up_to(written: DataFrame, most: int) -> DataFrame:
+    """A written table to join with: broadcast if it has ``most`` rows at most, else joined in a shuffle."""
+    return F.broadcast(written) if written.count() <= most else written
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, *spread: str, counted: DataFrame | None = None) -> DataFrame:
+    """``left`` joined with ``right`` on ``key``, without a task for all rows of a frequent key.
+
+    A key is frequent if it has more rows in ``counted`` (a written table, ``left`` unless given) than a quarter of an average
+    partition, so there are no more of them than four times the shuffle partitions: they are broadcast.  Their rows are dealt
+    by the columns ``spread`` over as many parts as such quarters, and ``right``'s rows are repeated for each of these parts.
+    """
+    counted = left if counted is None else counted
+    quarter = counted.count() // (4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1
+    often = counted.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > quarter)
+    often = F.broadcast(cut(often.select(key, F.ceil(F.col("__n") / quarter).cast("int").alias("__parts"))))
+    parts, part = F.coalesce("__parts", F.lit(1)), free(left, "__part")
+    dealt = left.join(often, key, "left").withColumn(part, F.pmod(F.xxhash64(*spread), parts).cast("int")).drop("__parts")
+    repeated = right.join(often, key, "left").withColumn(part, F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return dealt.join(repeated, [key, part]).drop(part)
 
 
 def strip_space(text: Column) -> Column:

@@ -1,17 +1,19 @@
 """Line deduplication: a segment-partition edit join.
 
-Two lines within ``EDITS`` edits share, if one is cut into ``EDITS + 1`` segments, an unchanged segment.  So every
-line is filed under its segments, with its length and the segment's number, and looks for shorter or equally
-long lines with those of its substrings that such a segment could have become (a substring whose place would
-need more edits before or after it than are left isn't one).  Pairs that meet are compared by how often they have
+Two lines within ``EDITS`` = 2 edits, cut into three segments, share one that no edit touches.  The first segment is
+measured from the start of a line and the last one from its end, so they are where they were; if both are touched, it is by
+one edit each, and the middle one is at most one character away: a line is filed under its middle segment and looks for
+others one character further on, and one of two lines finds the other.  Segments are as long as lines of about that length
+allow: lengths with the same three leading bits are a class, and a line is in the class of its length and, if that is another
+one, in the class of lines two characters longer.  Pairs that meet are compared by how often they have
 each letter, lose what they have in common at both ends, and are verified by banded bit-parallel edit distance: a window
 of ``2 * EDITS + 1`` bits moves down the main diagonal.
 
-All in DataFrame functions.  Equal lines are one line throughout: the whole line is one more key, whose members are its
-places.  In every key all lines first meet only the smallest one; once these links have merged classes, only pairs from
-different classes are still looked at, which leaves out nothing but pairs that are in one class already.  A key of more
-than ``HOT`` lines is split: what two linked lines have beside the shared segment is within the same edits, so it is cut
-into segments again, and a segment of that is added to the key; this is repeated while keys are hot.
+All in DataFrame functions.  Equal lines (known by 128 bits) are one line throughout.  In every key all lines first meet only
+the smallest one; once these links have merged classes, only pairs from different classes are still looked at, which leaves
+out nothing but pairs that are in one class already.  A key of more than ``HOT`` lines is split: what two linked lines have
+beside the shared segment is within the same edits, so it is cut into segments again, and a segment of that is added to the
+key, up to ``LEVELS`` times; the pairs of a key that stays hot are dealt over many tasks.
 
 Of each class of linked lines, the first occurrence in the order of documents and lines stays.
 
@@ -27,28 +29,21 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gleaner.llm.common import cut, table
+from gleaner.llm.common import cut, drop_path, scratch, spread_join, table, up_to
 from gleaner.operators.components import components
 
 EDITS = 2
-SEGMENTS = EDITS + 1
 #: Lines of fewer characters are only compared exactly.
 LEAST = 20
-#: Keys of more lines are split, while what is left of the lines has LEAST_REST characters.
-HOT, LEAST_REST = 1000, 2 * SEGMENTS
-#: Shared keys are broadcast up to this many (eight bytes each); more are joined in a shuffle.
-BROADCAST_KEYS = 2_000_000
-#: A line with more than this fraction of all repeated occurrences is handled apart.
-HOT_SHARE = 10_000
+#: Keys of more lines are split, LEVELS times at most, and while what is left of the lines has LEAST_REST characters.
+HOT, LEVELS, LEAST_REST = 1000, 2, 8
+#: Shared keys, repeated lines and documents with them are broadcast up to this many (8 to 40 bytes each); more are joined in a shuffle.
+BROADCAST = 1_000_000
 #: Letters whose counts are compared; an edit changes two of them by one at most.
 LETTERS = "etaoinshrdlucmfwypvbgkéçñüö,"
-#: Where a line looks for a segment: its number, by how much the other line is shorter, and the shift of its place.
-#: The first ones are the line's own segments, under which it is filed.
-PLACES = [(i, 0, 0) for i in range(SEGMENTS)] + [
-    (i, shorter, shift)
-    for i in range(SEGMENTS) for shorter in range(EDITS + 1)
-    for shift in range(max(-i, shorter - (EDITS - i)), min(i, shorter + (EDITS - i)) + 1) if shorter or shift
-]
+#: Keys of a class: first segment, last segment, middle segment, and what would be the middle one a character further on.
+#: A line is filed under the first FILED of them.
+KINDS, FILED = 4, 3
 
 
 def let(value: Column, use) -> Column:
@@ -60,35 +55,33 @@ def occurrences(docs: DataFrame) -> DataFrame:
     """A row per line that isn't blank: document key (``doc``, ``th``), number ``n``, ``line`` and its length ``len``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     named = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n", -1)).alias("n", "line"))
-    return named.where(F.trim(F.translate("line", "\t\x0b\x0c\r", "")) != "").withColumn("len", F.length("line"))
+    return named.where(F.btrim("line", F.lit(" \t\x0b\x0c\r")) != "").withColumn("len", F.length("line"))
 
 
-def line_id() -> Column:
-    return F.unhex(F.md5(F.col("line").cast("binary")))
+def length_class(n: Column) -> Column:
+    """The least length with the same three leading bits, or of the same four; every class has four lengths or more."""
+    low = F.length(F.bin(n)) - 3
+    return F.when(n < 32, n - n % 4).otherwise(F.call_function("shiftleft", F.call_function("shiftright", n, low), low))
 
 
-def segment(n: Column, i: int, shorter: int, shift: int) -> tuple[Column, Column]:
-    """Where segment i of a line that is ``shorter`` begins, from 0 and with the shift, and its length; longer segments come last."""
-    size = n - shorter
-    base, over = F.call_function("div", size, F.lit(SEGMENTS)).cast("int"), size % SEGMENTS
-    return base * i + F.greatest(F.lit(0), over - (SEGMENTS - i)) + shift, base + F.when(over >= SEGMENTS - i, 1).otherwise(0)
+def segments(n: Column, least: Column) -> list[tuple[Column, Column]]:
+    """Place, from 1, and length of the segment of each kind, in a line of ``n`` characters of the class of ``least``.
 
+    Lines of the class have ``least - 2`` characters at least, a character of which is left free on both sides of the middle.
+    """
+    end = F.call_function("div", least - 4, F.lit(3)).cast("int")
+    middle = least - 4 - 2 * end
+    return [(F.lit(1), end), (n - end + 1, end), (end + 2, middle), (end + 3, middle)]
 
-def keys(wide: Column, n: Column, *more: Column) -> list[Column]:
-    """The keys of a line of ``n`` characters in four bytes each (``wide``), one for each of PLACES."""
-    out = []
-    for i, shorter, shift in PLACES:
-        start, length = segment(n, i, shorter, shift)
-        out.append(F.xxhash64(*more, F.lit(i), n - shorter, F.substring(wide, 4 * start + 1, 4 * length)))
-    return out
 
+def keys(line: Column, n: Column, *more: Column) -> Column:
+    """An array of KINDS keys for the line's class, and as many for the class of lines two characters longer if that is another one."""
 
-def keyed(lines: DataFrame) -> DataFrame:
-    """``lines`` by key: key 0 is that of the whole line, key ``i`` from 1 on that of PLACES[i - 1]."""
-    wide = lines.withColumn("wide", F.encode("line", "UTF-32"))
-    whole = F.xxhash64(F.lit(-1), F.col("line"))
-    every = F.when(F.col("len") >= LEAST, F.array(whole, *keys(F.col("wide"), F.col("len")))).otherwise(F.array(whole))
-    return wide.withColumn("keys", every).drop("wide").select("*", F.posexplode("keys").alias("i", "key")).drop("keys")
+    def of(least: Column) -> Column:
+        return F.array(*[F.xxhash64(*more, F.lit(min(i, 2)), least, line.substr(at, length)) for i, (at, length) in enumerate(segments(n, least))])
+
+    one, two = length_class(n), length_class(n + EDITS)
+    return F.when(one == two, of(one)).otherwise(F.concat(of(one), of(two)))
 
 
 def letter_counts(line: Column) -> Column:
@@ -182,43 +175,42 @@ def verified(pairs: DataFrame, own: DataFrame) -> DataFrame:
     return met.select("a", "b", "ta", "tb").repartition(parts, "a", "b").where(close(F.col("ta"), F.col("tb"))).select("a", "b")
 
 
-def size_checked(spark_side: DataFrame, most: int) -> DataFrame:
-    """A written table to join with: broadcast if it has ``most`` rows at most."""
-    return F.broadcast(spark_side) if spark_side.count() <= most else spark_side
+def filed(j: Column) -> Column:
+    return F.pmod(j, F.lit(KINDS)) < FILED
 
 
 def split_hot(shared: DataFrame, own: DataFrame, hot: int) -> DataFrame:
-    """``shared(key, i, id)`` as ``key``, ``id``, ``filed``, with every key of more than ``hot`` lines replaced by finer ones:
+    """``shared(key, j, id)`` as ``key``, ``id``, ``filed``, with every key of more than ``hot`` lines replaced by finer ones:
     the key with a segment of what the lines have beside the segment of the key."""
-    now = shared.select("key", "i", "id", (F.col("i") <= SEGMENTS).alias("filed"), F.lit(None).cast("string").alias("rest"))
+    now = shared.select("key", "j", "id", filed(F.col("j")).alias("filed"), F.lit(None).cast("string").alias("rest"))
     done = []
-    while True:
+    for _ in range(LEVELS):
         many = cut(now.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > hot).select("key"))
         if many.isEmpty():
             break
-        many = size_checked(many, BROADCAST_KEYS)
+        many = up_to(many, BROADCAST)
         done.append(now.join(many, "key", "left_anti").select("key", "id", "filed"))
         whole = now.join(many, "key").join(own.select("id", "line"), "id").withColumn("rest", F.coalesce("rest", "line")).drop("line")
-        at = lambda part: F.element_at(F.array(*[segment(F.length("rest"), *p)[part] for p in PLACES]), F.col("i"))
-        cutout = whole.withColumns({"s": at(0), "l": at(1)})
-        left = cutout.withColumn("rest", F.concat(F.col("rest").substr(F.lit(1), F.col("s")), F.col("rest").substr(F.col("s") + F.col("l") + 1, F.length("rest"))))
-        left = cut(left.select("key", "id", "filed", "rest"))
+        whole = whole.withColumn("len", F.length("rest")).withColumn("least", length_class(F.col("len") + F.when(F.col("j") >= KINDS, EDITS).otherwise(0)))
+        place = lambda part: F.element_at(F.array(*[x[part] for x in segments(F.col("len"), F.col("least"))]), F.pmod("j", F.lit(KINDS)) + 1)
+        whole = whole.withColumns({"at": place(0), "size": place(1)})
+        rest = F.concat(F.col("rest").substr(F.lit(1), F.col("at") - 1), F.col("rest").substr(F.col("at") + F.col("size"), F.col("len")))
+        left = cut(whole.select("key", "id", "filed", rest.alias("rest")))
         # what gets too short to be cut stays together, with what is no more than EDITS longer
         done.append(left.where(F.length("rest") < LEAST_REST + EDITS).select("key", "id", "filed"))
-        wide = left.where(F.length("rest") >= LEAST_REST).withColumn("wide", F.encode("rest", "UTF-32"))
-        wide = wide.withColumn("finer", F.array(*keys(F.col("wide"), F.length("rest"), F.col("key")))).drop("wide", "key")
-        finer = wide.select("id", "rest", "filed", F.posexplode("finer").alias("j", "key"))
-        finer = finer.select("key", (F.col("j") + 1).alias("i"), "id", (F.col("filed") & (F.col("j") < SEGMENTS)).alias("filed"), "rest")
+        longer = left.where(F.length("rest") >= LEAST_REST).withColumn("len", F.length("rest"))
+        finer = longer.withColumn("finer", keys(F.col("rest"), F.col("len"), F.col("key"))).select("id", "rest", "filed", F.posexplode("finer").alias("j", "key"))
+        finer = finer.select("key", "j", "id", (F.col("filed") & filed(F.col("j"))).alias("filed"), "rest")
         met = cut(finer.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("filed").alias("filed")).where("filed AND lo != hi").select("key"))
-        now = cut(finer.join(size_checked(met, BROADCAST_KEYS), "key"))
+        now = cut(finer.join(up_to(met, BROADCAST), "key"))
     return reduce(DataFrame.unionByName, done, now.select("key", "id", "filed"))
 
 
 def line_links(shared: DataFrame, own: DataFrame) -> DataFrame:
     """Links ``a``, ``b`` between different lines within EDITS edits: enough of them to connect every class."""
-    sketched = shared.join(own.select("id", "sketch"), "id")
+    sketched = cut(shared.join(own.select("id", "sketch"), "id"))
     first = sketched.where("filed").groupBy("key").agg(F.min(F.struct("id", "sketch")).alias("f")).select("key", F.col("f.id").alias("b"), F.col("f.sketch").alias("sb"))
-    star = sketched.join(first, "key").where((F.col("id") != F.col("b")) & alike("sketch", "sb")).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
+    star = spread_join(sketched, first, "key", "id").where((F.col("id") != F.col("b")) & alike("sketch", "sb")).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
     star = cut(star.distinct())
     links = cut(verified(star, own))
     roots = cut(components(links)).toDF("id", "root")
@@ -226,40 +218,49 @@ def line_links(shared: DataFrame, own: DataFrame) -> DataFrame:
     several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
     left = cut(rooted.join(several, "key"))
     x, y = left.select("key", F.col("id").alias("ida"), "root", "sketch"), left.where("filed").select("key", F.col("id").alias("idb"), F.col("root").alias("rb"), F.col("sketch").alias("sb"))
-    more = x.join(y, "key").where((F.col("root") != F.col("rb")) & alike("sketch", "sb")).select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()
+    across = (F.col("root") != F.col("rb")) & alike("sketch", "sb")
+    more = spread_join(x, y, "key", "ida").where(across).select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()
     return links.union(verified(cut(more.join(star, ["a", "b"], "left_anti")), own))
 
 
+def lines_at(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """The ``line`` at each of ``places(id, g, place)``, with its letter counts and their sketch."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    wanted = cut(places.groupBy(F.col("place.doc").alias("pdoc"), F.col("place.th").alias("pth")).agg(F.collect_list(F.struct("id", "g", "place")).alias("wanted")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
+    met = rows.join(up_to(wanted, BROADCAST), F.col("doc").eqNullSafe(F.col("pdoc")) & (F.col("th") == F.col("pth")))
+    each = met.select(F.split("text", "\n", -1).alias("lines"), F.explode("wanted").alias("w")).select("w.*", F.get("lines", F.col("w.place.n")).alias("line"))
+    counted = each.dropDuplicates(["id"]).withColumn("counts", letter_counts(F.col("line")))
+    return counted.withColumn("sketch", sketch(F.col("counts")))
+
+
 def decisions(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """Occurrences that go: document key (``doc``, ``th``), line number ``n`` and whether it is a ``near`` copy.
     Keys of more than ``hot`` lines are split."""
-    lines = occurrences(docs).withColumn("h", F.xxhash64("line"))
-    place = F.struct("doc", "th", "n")
-    member = F.when(F.col("i") == 0, F.col("at")).otherwise(F.col("h"))
-    members = keyed(lines.withColumn("at", F.xxhash64("doc", "th", "n"))).select("key", member.alias("m"))
-    open_keys = cut(members.groupBy("key").agg(F.min("m").alias("lo"), F.max("m").alias("hi")).where("lo != hi").select("key"))
-    every = keyed(lines).join(size_checked(open_keys, BROADCAST_KEYS), "key")
-    met = cut(every.select("key", "i", "h", F.when(F.col("i") == 0, F.struct(line_id().alias("id"), place.alias("place"))).alias("whole")).distinct())
-    shared, copies = met.where("i > 0").select("key", "i", "h"), met.where("i = 0").select("whole.*")
-    involved = cut(shared.select("h").distinct())
-    texts = lines.where(F.col("len") >= LEAST).join(size_checked(involved, BROADCAST_KEYS), "h").select(line_id().alias("id"), "h", "line", place.alias("place"))
-    own = texts.groupBy("id").agg(F.first("h").alias("h"), F.first("line").alias("line"), F.min("place").alias("place")).withColumn("counts", letter_counts(F.col("line")))
-    own = cut(own.withColumn("sketch", sketch(F.col("counts"))))
-    shared = cut(shared.join(own.select("h", "id"), "h").select("key", "i", "id"))
-    roots = components(cut(line_links(split_hot(shared, own, hot), own))).toDF("id", "root")
-
-    single = own.select("id", "place").join(roots, "id", "left_semi")
-    places = cut(copies.union(single).distinct())
-    unique = places.groupBy("id").agg(F.min("place").alias("first"), F.count("*").alias("c"))
-    known = cut(unique.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
-    keeper = known.groupBy("root").agg(F.min(F.struct("first", "id")).alias("k")).select("root", "k.first", F.col("k.id").alias("kept_id"))
-    rule = cut(known.drop("first").join(keeper, "root").select("id", "first", "c", (F.col("id") != F.col("kept_id")).alias("near")))
-    # a line with more than a HOT_SHARE-th of the occurrences is one of HOT_SHARE at most: these are broadcast, no task gets all their places
-    bound = places.count() // HOT_SHARE
-    often = F.broadcast(rule.where(F.col("c") > bound))
-    rest = places.join(often.select("id"), "id", "left_anti").join(rule.where(F.col("c") <= bound), "id")
-    gone = places.join(often, "id").unionByName(rest)
-    return gone.where(~F.col("place").eqNullSafe(F.col("first"))).select("place.*", "near")
+    spark = docs.sparkSession
+    own_keys = F.when(F.col("len") >= LEAST, keys(F.col("line"), F.col("len")))
+    path = scratch(spark, "lines")
+    occurrences(docs).select("doc", "th", "n", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("g"), own_keys.alias("keys")).write.parquet(path)
+    rows, place = spark.read.parquet(path), F.struct("doc", "th", "n").alias("place")
+
+    keyed = rows.select("id", "g", place, F.posexplode("keys").alias("j", "key"))
+    open_keys = cut(keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("key"))
+    met = cut(keyed.join(up_to(open_keys, BROADCAST), "key").groupBy("key", "j", "id").agg(F.min(F.struct("g", "place")).alias("p")))
+    own = cut(lines_at(docs, met.groupBy("id").agg(F.min("p").alias("p")).select("id", "p.g", "p.place")))
+    links = cut(line_links(split_hot(met.select("key", "j", "id"), own, hot), own))
+    roots = components(links).toDF("id", "root").join(own.select("id", "g", "place"), "id")
+    roots = cut(roots.select(F.struct("id", "g").alias("line"), "root", "place"))
+
+    repeated = cut(rows.groupBy("id", "g").agg(F.count("*").alias("c")).where("c > 1").drop("c"))
+    copies = rows.join(up_to(repeated, BROADCAST), ["id", "g"]).select(F.struct("id", "g").alias("line"), place)
+    places = cut(copies.union(roots.select("line", "place")).distinct())
+    drop_path(spark, path)
+    unique = places.groupBy("line").agg(F.min("place").alias("first"))
+    group = F.when(F.col("root").isNull(), F.col("line")).otherwise(F.struct(F.col("root").alias("id"), F.lit(0).cast("long").alias("g")))
+    known = cut(unique.join(roots.drop("place"), "line", "left").select("line", "first", group.alias("root")))
+    keeper = known.groupBy("root").agg(F.min(F.struct("first", "line")).alias("k")).select("root", "k.first", F.col("k.line").alias("kept_line"))
+    rule = known.drop("first").join(keeper, "root").select("line", "first", (F.col("line") != F.col("kept_line")).alias("near"))
+    return spread_join(places, rule, "line", "place").where(~F.col("place").eqNullSafe(F.col("first"))).select("place.*", "near")
 
 
 def line_report(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -268,7 +269,7 @@ def line_report(docs: DataFrame, hot: int = HOT) -> DataFrame:
     gone = decisions(docs, hot).groupBy("doc", "th").agg(
         F.count_if(~F.col("near")).alias("copies"), F.count_if("near").alias("nears"), F.sort_array(F.collect_list("n")).alias("dropped")
     )
-    rows = docs.select("doc_id", F.col("doc_id").cast("long").alias("d"), F.xxhash64(text).alias("h"), F.size(F.split(text, "\n", -1)).cast("long").alias("n_lines"))
+    rows = docs.select("doc_id", F.col("doc_id").cast("long").alias("d"), F.xxhash64(text).alias("h"), (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
     met = rows.join(gone, F.col("d").eqNullSafe(F.col("doc")) & (F.col("h") == F.col("th")), "left")
     zero = F.lit(0).cast("long")
     return met.select(
