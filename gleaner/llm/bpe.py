@@ -175,7 +175,7 @@ class Codec(dict):
 
 def encoded(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
     """A row per document: ``doc_id`` and its token ids, ``ids``."""
-    small_batches(docs.sparkSession, rows=128)
+    small_batches(docs.sparkSession)
 
     def run(batches):
         codec = Codec(vocabulary_path(vocabulary))
@@ -188,7 +188,7 @@ def encoded(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame
 
 def decoded(tokens: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
     """A row per row of ``tokens(doc_id, ids)``: ``doc_id`` and ``text``."""
-    small_batches(tokens.sparkSession, rows=128)
+    small_batches(tokens.sparkSession)
 
     def run(batches):
         codec = Codec(vocabulary_path(vocabulary))
@@ -202,7 +202,7 @@ def decoded(tokens: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFra
 def round_trips(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", keep_ids: bool = False) -> DataFrame:
     """A row per document: what encoding gives, and what decoding these ids gives back, as digests; with
     ``keep_ids`` also the ids."""
-    small_batches(docs.sparkSession, rows=128)
+    small_batches(docs.sparkSession)
 
     def run(batches):
         codec = Codec(vocabulary_path(vocabulary))

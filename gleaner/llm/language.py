@@ -7,13 +7,16 @@ score; a narrow gap is a rejection.
 
 Defined cases: NULL text and text without a letter predict ``und`` with score 0 and are rejected;
 empty training data predicts ``und`` for everything; a single learned language wins with score 1; ties
-go to the language with more training rows, then to the alphabetically first; rows with the same text get the same prediction; columns of
+go to the language with more training rows, then to the alphabetically first; rows with the same text get the same prediction, so repeated rows
+do; texts of any length are compressed whole (training reads their first ``DICT_BYTES`` characters); a language with less than
+``LEAST_BYTES`` of training text isn't learned; a NULL ``doc_id`` is never held out, and its row is sampled by its text; columns of
 the input beyond ``doc_id``, ``text`` and ``lang`` are passed through untouched.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 
 import pandas as pd
 import zstandard
@@ -30,7 +33,11 @@ BLOCK = 16 << 10
 SETTINGS = {"window_log": 18, "chain_log": 15, "hash_log": 15, "search_log": 2, "min_match": 4, "target_length": 16, "strategy": zstandard.STRATEGY_LAZY, "write_content_size": 0, "write_dict_id": 0}
 #: A score below this is a rejection.
 MIN_SCORE = 0.004
-WORD = re.compile(r"[^\W\d_]+")
+#: What counts as a word character and is no letter: digits, numerals, fractions.
+_OTHERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
+WORD = re.compile(rf"[^\W_{_OTHERS}]+")
+#: Training text that a language needs.
+LEAST_BYTES = 8
 
 PREDICTION = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
@@ -51,13 +58,14 @@ def learn(training: DataFrame) -> dict[str, bytes]:
     table's size, of which as many whole texts are kept as fit in ``DICT_BYTES``.
     """
     rows = training.where("lang IS NOT NULL AND length(trim(text)) > 0")
+    turn = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, max(1, -(-SAMPLE_ROWS * 1_000_000 // n)))])
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")])
+    drawn = rows.where(F.pmod(turn, F.lit(1_000_000)) < share[F.col("lang")])
     room: dict[str, list[bytes]] = {k: [] for k in counts}
-    picked = drawn.select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, DICT_BYTES).alias("text"))
+    picked = drawn.select("lang", turn.alias("h"), F.substring("text", 1, DICT_BYTES).alias("text"))
     for lang, texts in (
         picked.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("h", "text"))), 1, SAMPLE_ROWS).alias("t"))
     ).toLocalIterator():
@@ -70,7 +78,7 @@ def learn(training: DataFrame) -> dict[str, bytes]:
         if not any(room[lang]):
             room[lang] = [letters(text)[:DICT_BYTES] for _, text in texts[:1]]
     found = {k: b"".join(v) for k, v in room.items()}
-    return {k: found[k] for k in sorted(found, key=lambda k: (-counts[k], k)) if len(found[k]) >= 8}
+    return {k: found[k] for k in sorted(found, key=lambda k: (-counts[k], k)) if len(found[k]) >= LEAST_BYTES}
 
 
 def predictor(spark: SparkSession, dictionaries: dict[str, bytes]):

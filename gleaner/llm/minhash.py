@@ -16,21 +16,25 @@ sketches differ in no more bits than the sets do in shingles, and a pair whose s
 a similar pair may is no candidate.  That is exact: a pair is left out only where its two ends are already
 in one component, its signatures are too far apart, or its sets can't be similar.
 
+Shingles are known by 128 bits, and equal sets by 128 bits of all of them.
+
 Defined cases: NULL, empty and blank texts have an empty set, are linked with nothing and stay; a text
-of fewer than five words is its whole sequence; repeated rows of a ``doc_id`` count as that document;
-a NULL ``doc_id`` is linked with nothing and stays; an empty table gives no rows.
+of fewer than five words is its whole sequence; texts of any length count whole; repeated rows of a ``doc_id`` are one
+document, of different texts of one ``doc_id`` one (that with the smallest hash) is looked at, and all its rows get its class;
+a NULL ``doc_id`` is linked with nothing and stays; other columns don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gleaner.llm.common import cut, small_batches, table
+from gleaner.llm.common import cut, free, small_batches, spread_join, table, up_to
 from gleaner.operators.components import components
 
 WORDS = 5
@@ -38,6 +42,8 @@ CHUNKS, CHUNK = 12, 5
 SYMBOLS = CHUNKS * CHUNK
 #: Bits of a symbol; a chunk is one 64-bit number.
 BITS = 12
+#: Documents that go are broadcast up to this many (eight bytes each) to leave them out; beyond, texts are shuffled for it.
+BROADCAST_IDS = 2_000_000
 #: Op4's contract: 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 85
 
@@ -51,13 +57,14 @@ _MASK = _RNG.integers(1, 2**63, (CHUNKS, CHUNK), dtype=np.uint64)
 
 
 class WordHashes(dict):
-    """64-bit hashes of words; emptied when it gets large."""
+    """128-bit hashes of words as two numbers of 64 bits; emptied when it gets large."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> tuple[int, int]:
         if len(self) > 300_000:
             self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+        h = xxhash.xxh3_128_intdigest(word)
+        self[word] = pair = (h >> 64, h & (1 << 64) - 1)
+        return pair
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -66,19 +73,39 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles.  bytes.lower and bytes.split know A-Z and ASCII space only."""
+def shingles(text: str | None, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles: two arrays of 64 bits of their hashes, sorted by both.  bytes.lower and bytes.split know A-Z
+    and ASCII space only."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+    h = np.fromiter(chain.from_iterable(map(hashes.__getitem__, words)), np.uint64, 2 * len(words)).reshape(-1, 2)
     if len(h) < WORDS:
-        return _mixed(np.atleast_1d((h * _MIX[: len(h)]).sum() + np.uint64(len(h))))
-    n = len(h) - WORDS + 1
-    total = np.zeros(n, np.uint64)
-    for i in range(WORDS):
-        total += h[i : i + n] * _MIX[i]
-    return np.unique(_mixed(total))
+        total = (h * _MIX[: len(h), None]).sum(axis=0, keepdims=True) + np.uint64(len(h))
+    else:
+        n = len(h) - WORDS + 1
+        total = np.zeros((n, 2), np.uint64)
+        for i in range(WORDS):
+            total += h[i : i + n] * _MIX[i]
+    one, two = _mixed(total[:, 0]), _mixed(total[:, 1])
+    order = np.argsort(one, kind="stable")
+    one, two = one[order], two[order]
+    again = one[1:] == one[:-1]
+    if (again & (two[1:] != two[:-1])).any():  # different shingles with the same first half
+        order = np.lexsort((two, one))
+        one, two = one[order], two[order]
+        again = one[1:] == one[:-1]
+    new = np.append(True, ~again | (two[1:] != two[:-1]))
+    return one[new], two[new]
+
+
+def common_items(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
+    """How many shingles two sets have in common."""
+    both, i, j = np.intersect1d(a[0], b[0], return_indices=True)
+    same = int((a[1][i] == b[1][j]).sum())
+    if same == len(both) and len(a[0]) == len(np.unique(a[0])) and len(b[0]) == len(np.unique(b[0])):
+        return same
+    return len(set(zip(*(x.tolist() for x in a))) & set(zip(*(x.tolist() for x in b))))
 
 
 def signature(items: np.ndarray) -> np.ndarray:
@@ -111,7 +138,7 @@ def sketch(items: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-_SIGNED = "doc_id long, n_shingles long, same long, chunks array<long>, sketch array<long>, keys array<long>"
+_SIGNED = "doc_id long, n_shingles long, th long, same binary, chunks array<long>, sketch array<long>, keys array<long>"
 
 
 def _sign(batches, chunk: int):
@@ -119,26 +146,33 @@ def _sign(batches, chunk: int):
     for batch in batches:
         out: list[list] = [[], [], [], [], [], []]
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            items = shingles(text, hashes)
+            items, more = shingles(text, hashes)
             out[0].append(doc)
             out[1].append(len(items))
             if len(items) and doc is not None:
                 sig = signature(items)
-                out[2].append(xxhash.xxh3_64_intdigest(items.tobytes()) - 2**63)
+                out[2].append(xxhash.xxh3_128_digest(items.tobytes() + more.tobytes()))
                 out[3].append((sig.reshape(-1, chunk) << _SHIFT[:chunk]).sum(axis=1))
                 out[4].append(sketch(items))
                 out[5].append(chunk_keys(sig, chunk))
             else:
                 for column in out[2:]:
                     column.append(None)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), longs, longs, longs]
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["doc_id", "n_shingles", "same", "chunks", "sketch", "keys"])
+        kinds = [pa.int64(), pa.int64(), pa.binary(), longs, longs, longs]
+        columns = [pa.array(x, k) for x, k in zip(out, kinds)]
+        columns.insert(2, batch.column(2))
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "th", "same", "chunks", "sketch", "keys"])
+
+
+def _by_text(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
 
 
 def signed(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``same`` (hash of the whole set), ``chunks``, ``sketch`` and ``keys``; NULLs for empty sets."""
+    """``doc_id``, ``n_shingles``, ``th`` (hash of the text), ``same`` (digest of the whole set), ``chunks``, ``sketch`` and ``keys``; NULLs for empty sets."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(partial(_sign, chunk=chunk), _SIGNED)
+    return _by_text(docs).mapInArrow(partial(_sign, chunk=chunk), _SIGNED)
 
 
 def _bits(value: int) -> Column:
@@ -183,27 +217,32 @@ def _confirm(batches, similarity: int):
             if last[0] != x:
                 last = (x, shingles(two, hashes))
             one = shingles(one, hashes)
-            both = len(np.intersect1d(one, last[1], assume_unique=True))
-            good.append(100 * both >= similarity * (len(one) + len(last[1]) - both))
+            both = common_items(one, last[1])
+            good.append(100 * both >= similarity * (len(one[0]) + len(last[1][0]) - both))
         yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """The ``pairs(a, b)`` whose full sets are similar enough."""
+    """The ``pairs(a, b)`` (written) whose full sets are similar enough."""
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(partial(_confirm, similarity=similarity), "a long, b long")
+    met = spread_join(pairs.join(left, "a"), right, "b", "a", counted=pairs)
+    return met.select("a", "b", "ta", "tb").mapInArrow(partial(_confirm, similarity=similarity), "a long, b long")
 
 
 def near_components(docs: DataFrame, similarity: int = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
     """A row per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``."""
-    spark = docs.sparkSession
     every = cut(signed(docs, chunk))
     sets = every.where("same IS NOT NULL")
+    # a document with several texts is the one with the smallest hash
+    several = cut(every.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("th").alias("least"), F.max("th").alias("most")).where("least != most").select("doc_id", "least"))
+    chosen = lambda rows: rows.join(up_to(several, BROADCAST_IDS), "doc_id", "left").where("least IS NULL OR least = th").drop("least")
+    sets = chosen(sets) if not several.isEmpty() else sets
     # equal sets: one representative, the others are linked to it
     rep = F.min("doc_id").alias("rep")
     reps = cut(sets.groupBy("same").agg(rep))
-    copies = sets.select("same", "doc_id").join(reps, "same").where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    members = cut(sets.select("same", "doc_id").distinct())
+    copies = spread_join(members, reps, "same", "doc_id").where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     one = sets.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     keyed = one.select("doc_id", F.posexplode("keys").alias("place", "key"))
     full = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -212,13 +251,13 @@ def near_components(docs: DataFrame, similarity: int = SIMILARITY, chunk: int =
     weight = shared.groupBy("doc_id").agg(F.sum("n").alias("w"))
     shared = cut(shared.join(weight, "doc_id").select("key", "place", "doc_id", "w"))
     pivot = shared.groupBy("key").agg(F.max(F.struct("w", (-F.col("doc_id")).alias("i"))).alias("p")).select("key", (-F.col("p.i")).alias("b"))
-    pairs = shared.join(pivot, "key").where("doc_id != b").select(F.col("doc_id").alias("a"), "b").distinct()
+    pairs = cut(shared.join(pivot, "key").where("doc_id != b").select(F.col("doc_id").alias("a"), "b").distinct())
     own = cut(one.select("doc_id", "n_shingles", "chunks", "sketch").join(shared.select("doc_id").distinct(), "doc_id", "left_semi"))
     distance = F.aggregate(errors(F.col("ca"), F.col("cb")), F.lit(0), lambda s, e: s + e)
     similar = (distance <= most_distance(chunk)) & can_be_similar(F.col("na"), F.col("nb"), F.col("ska"), F.col("skb"), similarity)
-    near = pairs.join(own.toDF("a", "na", "ca", "ska"), "a").join(own.toDF("b", "nb", "cb", "skb"), "b").where(similar)
-    texts = docs.select("doc_id", "text").join(shared.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    links = cut(confirmed(near.select("a", "b"), texts, similarity))
+    near = spread_join(pairs.join(own.toDF("a", "na", "ca", "ska"), "a"), own.toDF("b", "nb", "cb", "skb"), "b", "a", counted=pairs).where(similar)
+    texts = _by_text(docs).join(shared.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", "th").alias("text"))
+    links = cut(confirmed(cut(near.select("a", "b")), texts, similarity))
     roots = cut(components(links))
     # keys whose representatives are not all in one component: the pairs across components remain
     rooted = shared.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "place", "doc_id", F.coalesce("root", "doc_id").alias("root"))
@@ -230,9 +269,9 @@ def near_components(docs: DataFrame, similarity: int = SIMILARITY, chunk: int =
     at, place = F.floor(F.col("place") / chunk).cast("int"), F.col("place") % chunk
     few = F.array_position(F.transform(wrong, lambda e: e <= 1), True) == at + 1
     first_key = few & ((F.get(wrong, at) == 1) | (place == 0))
-    more = x.join(y, (x["key"] == y["key"]) & (F.col("ra") < F.col("rb")) & (100 * F.least("na", "nb") >= similarity * F.greatest("na", "nb")) & first_key & similar)
-    more = more.select("a", "b").distinct()
-    links = links.union(cut(confirmed(more, texts, similarity))).union(copies)
+    across = (F.col("ra") < F.col("rb")) & (100 * F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
+    more = spread_join(x, y, "key", "a").where(across & first_key & similar).select("a", "b").distinct()
+    links = links.union(cut(confirmed(cut(more), texts, similarity))).union(copies)
     roots = components(links).withColumnRenamed("node", "doc_id")
     return every.select("doc_id", "n_shingles").join(roots, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"),
@@ -242,8 +281,9 @@ def near_components(docs: DataFrame, similarity: int = SIMILARITY, chunk: int =
 
 def drop_near(docs: DataFrame, similarity: int = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
     """``docs``, all columns, with one document of each group of near duplicates."""
-    out = near_components(docs, similarity, chunk).where("NOT kept").select("doc_id").distinct()
-    return docs.join(out, "doc_id", "left_anti").select(*docs.columns)
+    own = free(docs, "__id")
+    out = cut(near_components(docs, similarity, chunk).where("NOT kept").select(F.col("doc_id").alias(own)).distinct())
+    return docs.join(up_to(out, BROADCAST_IDS), F.col("doc_id").cast("long") == F.col(own), "left_anti").select(*docs.columns)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
