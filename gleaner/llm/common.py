@@ -23,7 +23,7 @@ def free(df: DataFrame, name: str) -> str:
 
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch to a Python worker holds, for texts of any length; all operators use the same bounds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "128")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
