@@ -40,7 +40,7 @@ HOT, LEVELS, LEAST_REST = 1000, 2, 8
 #: Shared keys, repeated lines and documents with them are broadcast up to this many (8 to 40 bytes each); more are joined in a shuffle.
 BROADCAST = 1_000_000
 #: Letters whose counts are compared; an edit changes two of them by one at most.
-LETTERS = "etaoinshrdlucmfwypvbgkéçñüö,"
+LETTERS = "etaoinshrdlucmfwypvbgkéçñüö,. -0"
 #: Keys of a class: first segment, last segment, middle segment, and what would be the middle one a character further on.
 #: A line is filed under the first FILED of them.
 KINDS, FILED = 4, 3
@@ -89,8 +89,10 @@ def letter_counts(line: Column) -> Column:
 
 
 def sketch(counts: Column) -> Column:
-    """The parities of the letter counts; within EDITS edits they differ in ``2 * EDITS`` bits at most."""
-    return F.aggregate(counts, F.lit(0), lambda bits, x: F.shiftleft(bits, 1).bitwiseOR(x.bitwiseAND(1)))
+    """The letter counts modulo 4 in two bits each, in an order in which neighbours differ in one: sketches differ in no more bits
+    than letters are more or less, so within EDITS edits in ``2 * EDITS`` at most."""
+    two = lambda x: (x % 4).bitwiseXOR(F.shiftright(x % 4, 1)).cast("long")
+    return F.aggregate(counts, F.lit(0).cast("long"), lambda bits, x: F.shiftleft(bits, 2).bitwiseOR(two(x)))
 
 
 def alike(a: str, b: str) -> Column:
@@ -216,7 +218,7 @@ def line_links(shared: DataFrame, own: DataFrame) -> DataFrame:
     roots = cut(components(links)).toDF("id", "root")
     rooted = sketched.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-    left = cut(rooted.join(several, "key"))
+    left = cut(rooted.join(up_to(cut(several), BROADCAST), "key"))
     x, y = left.select("key", F.col("id").alias("ida"), "root", "sketch"), left.where("filed").select("key", F.col("id").alias("idb"), F.col("root").alias("rb"), F.col("sketch").alias("sb"))
     across = (F.col("root") != F.col("rb")) & alike("sketch", "sb")
     more = spread_join(x, y, "key", "ida").where(across).select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()
