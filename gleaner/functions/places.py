@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import functools
 
-from gleaner.functions.text import US_STATES, found
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from gleaner.functions.text import CITY_STATE, NO_CITY, US_STATES, found
 from gleaner.functions.values import url_part
 
 # How the recognized countries are written.
@@ -15,7 +17,6 @@ COUNTRIES = {
     "United States": r"(?<![A-Za-z])(?:United States(?: of America)?|U\.S\.A\.?|USA|U\.S\.|US)(?![A-Za-z])",
     "Canada": r"(?<![A-Za-z])Canada(?![A-Za-z])",
 }
-CITY_STATE = r"(?i)^\s*([^,]+?)\s*,\s*([A-Za-z]{2})(?:\s*,\s*(?:United States|USA|US))?\s*$"
 UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 BOARD = r"^[A-Za-z0-9._-]+$"
 
@@ -23,7 +24,7 @@ BOARD = r"^[A-Za-z0-9._-]+$"
 def location(text: Column, offices: Column) -> Column:
     """struct(countries, country, region, city) from explicit evidence only; one country makes ``country``."""
     city, region = F.regexp_extract(text, CITY_STATE, 1), F.upper(F.regexp_extract(text, CITY_STATE, 2))
-    placed = F.coalesce(region.isin(US_STATES) & ~F.lower(city).isin("remote", "hybrid", "onsite", "on-site"), F.lit(False))
+    placed = F.coalesce(region.isin(US_STATES) & ~F.lower(city).isin(NO_CITY), F.lit(False))
     said = F.concat(F.array(F.coalesce(text, F.lit(""))), F.coalesce(offices, F.array().cast("array<string>")))
     says = lambda pattern: F.exists(said, lambda v: found(v, pattern))
     named = F.array_compact(F.array(*[F.when(says(p), F.lit(c)) for c, p in COUNTRIES.items()]))
@@ -56,3 +57,71 @@ def identity(url: Column) -> Column:
               three(F.lit("workday"), F.concat_ws(":", host, F.substring_index(host, ".", 1), at(0)), number))
         .otherwise(three(none, none, none))
     )
+
+
+@functools.lru_cache(8)
+def _country_rows(spark: SparkSession) -> list[tuple[str, str]]:
+    locale = spark._jvm.java.util.Locale
+    return [(code, locale("", code).getDisplayCountry(locale.ENGLISH)) for code in locale.getISOCountries()]
+
+
+def countries(spark: SparkSession) -> DataFrame:
+    """``country_code`` (two letters) and ``country_name`` (English) of all countries that the JVM's locales know, about 250."""
+    return spark.createDataFrame(_country_rows(spark), "country_code string, country_name string")
+
+
+def with_country(rows: DataFrame, value: Column) -> DataFrame:
+    """``rows`` with ``country_code`` and ``country_name`` of a code or name in any case; NULLs where it is none."""
+    dim = countries(rows.sparkSession)
+    said = dim.select(F.lower("country_code").alias("__said"), "country_code", "country_name").union(dim.select(F.lower("country_name"), "country_code", "country_name"))
+    return rows.withColumn("__value", F.lower(F.trim(value))).join(F.broadcast(said), F.col("__value") == F.col("__said"), "left").drop("__value", "__said")
+
+
+def safe_url(url: Column, vacancy: bool = False) -> Column:
+    """The URL if it is https on the usual port of a public host and without credentials, and with ``vacancy`` no general page."""
+    authority = url_part(url, 2)
+    host, port = F.lower(F.regexp_replace(authority, r":\d*$", "")), F.regexp_extract(authority, r":(\d*)$", 1)
+    good = (url_part(url, 1) == "https") & ~F.contains(authority, F.lit("@")) & port.isin("", "443") & F.contains(host, F.lit("."))
+    good = good & ~host.rlike(r"[.](localhost|local|internal)$") & (~host.rlike(r"^[0-9.]+$") | _public_address(host))
+    if vacancy:
+        good = good & ~F.lower(F.rtrim(url_part(url, 3), F.lit("/"))).isin("", "/jobs", "/careers", "/apply")
+    return F.when(good, url)
+
+
+def _public_address(host: Column) -> Column:
+    """Whether four numbers make an address of the public Internet."""
+    part = F.transform(F.split(host, "[.]"), lambda p: F.when(p.rlike("^(0|[1-9][0-9]{0,2})$"), p.cast("int")))
+    n = lambda i: F.get(part, F.lit(i))
+    # Address ranges that aren't public.
+    private = n(0).isin(0, 10, 127) | (n(0) >= 224) | ((n(0) == 100) & n(1).between(64, 127)) | ((n(0) == 169) & (n(1) == 254)) | ((n(0) == 172) & n(1).between(16, 31))
+    private = private | ((n(0) == 192) & (n(1) == 168)) | ((n(0) == 192) & (n(1) == 0) & n(2).isin(0, 2)) | ((n(0) == 198) & n(1).isin(18, 19)) | ((n(0) == 198) & (n(1) == 51) & (n(2) == 100)) | ((n(0) == 203) & (n(1) == 0) & (n(2) == 113))
+    return F.coalesce((F.size(part) == 4) & F.forall(part, lambda x: x <= 255) & ~private, F.lit(False))
+
+
+def application(canonical: Column, apply: Column) -> Column:
+    """struct(application_url, canonical_url, kind): the direct application if it is safe, else the vacancy's page, else none."""
+    direct, page = safe_url(apply, True), safe_url(canonical, True)
+    kind = F.when(direct.isNotNull(), "direct_apply").when(page.isNotNull(), "vacancy_page").otherwise("unavailable")
+    return F.struct(F.coalesce(direct, page).alias("application_url"), safe_url(canonical).alias("canonical_url"), kind.alias("kind"))
+
+
+# Host endings of the providers.
+PROVIDER_HOSTS = r"(?:^jobs[.]smartrecruiters[.]com|^jobs[.](?:eu[.])?lever[.]co|^jobs[.]ashbyhq[.]com|[.]greenhouse[.]io|[.]ashbyhq[.]com|[.]lever[.]co|[.]myworkdayjobs[.]com)$"
+
+
+def link_target(url: Column) -> Column:
+    """struct(class, source, board) of a link: a target to collect, a known provider without one, another site, or no URL."""
+    host = F.lower(F.regexp_replace(url_part(url, 2), r"^[^@]*@|:\d+$", ""))
+    found = identity(url)
+    kind = (
+        F.when(~F.lower(url_part(url, 1)).isin("http", "https") | (host == "") | url.isNull(), "malformed_url").when(found["source"].isNotNull(), "supported_target")
+        .when(host.rlike(PROVIDER_HOSTS), "recognized_source_unresolved_target").otherwise("unsupported_source")
+    )
+    return F.struct(kind.alias("class"), found["source"].alias("source"), found["board"].alias("board"))
+
+
+def sheet_id(value: Column) -> Column:
+    """A spreadsheet's id from its address, or as it stands; NULL if it is neither."""
+    raw = F.trim(value)
+    inside = F.regexp_extract(raw, r"^https://docs[.]google[.]com/spreadsheets/d/([A-Za-z0-9_-]+)(?:[/?#].*)?$", 1)
+    return F.when(inside != "", inside).when(raw.rlike("^[A-Za-z0-9_-]{20,}$"), raw)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from gleaner.functions import text as T
+
 # Query parameters that only track.
 TRACKING = ["fbclid", "gclid", "mc_cid", "mc_eid", "ref", "source"]
 #: Seconds that a posting's time may lie ahead.
@@ -15,20 +17,42 @@ def url_part(url: Column, group: int) -> Column:
     return F.regexp_extract(F.trim(url), r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$", group)
 
 
+def _decoded(part: Column) -> Column:
+    return F.url_decode(F.regexp_replace(part, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
+def _encoded(part: Column) -> Column:
+    return F.replace(F.replace(F.url_encode(part), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def query_pairs(query: Column) -> Column:
+    """An array of (name, value) of a query's parameters, decoded."""
+    said = F.filter(F.split(query, "&"), lambda p: p != "")
+    return F.transform(said, lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("name"), _decoded(F.regexp_extract(p, "(?s)^[^=]*=?(.*)$", 1)).alias("value")))
+
+
+def query_text(pairs: Column) -> Column:
+    """``?`` and encoded parameters; empty without any."""
+    joined = F.array_join(F.transform(pairs, lambda p: F.concat(_encoded(p["name"]), F.lit("="), _encoded(p["value"]))), "&")
+    return F.when(joined != "", F.concat(F.lit("?"), joined)).otherwise("")
+
+
 def canonical_url(url: Column) -> Column:
-    """Lower-case scheme and host, no trailing slash, no fragment, no tracking parameters; parameters keep their order."""
+    """Lower-case scheme and host, no trailing slash, no fragment, no tracking parameters; the others are decoded and encoded
+    again, in their order."""
+    url = F.regexp_replace(F.btrim(url, F.lit(" \t\r\n\f\x0b")), "[\t\r\n]", "")
     path = F.rtrim(url_part(url, 3), F.lit("/"))
-    path = F.when(path == "", "/").otherwise(path)
-    name = lambda p: F.lower(F.substring_index(p, "=", 1))
-    kept = F.filter(F.split(url_part(url, 4), "&"), lambda p: (p != "") & ~F.startswith(name(p), F.lit("utm_")) & ~name(p).isin(TRACKING))
-    query = F.array_join(F.transform(kept, lambda p: F.when(F.contains(p, F.lit("=")), p).otherwise(F.concat(p, F.lit("=")))), "&")
-    return F.concat(F.lower(url_part(url, 1)), F.lit("://"), F.lower(url_part(url, 2)), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    kept = F.filter(query_pairs(url_part(url, 4)), lambda p: ~F.startswith(F.lower(p["name"]), F.lit("utm_")) & ~F.lower(p["name"]).isin(TRACKING))
+    scheme, host = F.lower(url_part(url, 1)), F.lower(url_part(url, 2))
+    return F.concat(
+        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""), F.when(host != "", F.concat(F.lit("//"), host)).otherwise(""),
+        F.when(path == "", "/").otherwise(path), query_text(kept),
+    )
 
 
 def sorted_query(url: Column) -> Column:
-    """A canonical URL with its parameters in order."""
-    query = url_part(url, 4)
-    return F.when(query == "", url).otherwise(F.concat(F.substring_index(url, "?", 1), F.lit("?"), F.array_join(F.array_sort(F.split(query, "&")), "&")))
+    """A canonical URL with its parameters in the order of decoded names and values."""
+    return F.concat(F.substring_index(url, "?", 1), query_text(F.array_sort(query_pairs(url_part(url, 4)))))
 
 
 def uuid5(name: Column, namespace: str = "6ba7b811-9dad-11d1-80b4-00c04fd430c8") -> Column:
@@ -80,3 +104,45 @@ def day_window(at: Column, zone: str) -> tuple[Column, Column]:
 
 def hour_cohort(at: Column) -> Column:
     return F.floor(F.unix_seconds(at.cast("timestamp")) / 3600)
+
+
+def older_than_72h(age_days: Column) -> Column:
+    """Whether a stated age in days is surely beyond 72 hours."""
+    return age_days >= 4
+
+
+def retention_basis(evidence: Column, posted_at: Column, first_seen: Column) -> Column:
+    """The time that retention counts from."""
+    return F.coalesce(evidence, posted_at, first_seen)
+
+
+def age_hours(at: Column, evaluated_at: Column) -> Column:
+    """Age in hours to one decimal, half to even; NULL if unknown."""
+    return F.bround(age_seconds(at, evaluated_at) / 3600, 1)
+
+
+def content_fingerprint(title: Column, description: Column, location: Column, employment_type: Column) -> Column:
+    """SHA-256 of the posting's facts as JSON text with sorted names and ASCII characters only."""
+    blank = lambda c: T.squeezed(F.coalesce(c, F.lit("")))
+    facts = {"description": blank(description), "employment_type": employment_type, "location": F.lower(blank(location)), "title": T.normalize_title(F.coalesce(title, F.lit("")))}
+    said = [F.concat(F.lit(f'"{name}": '), T.json_string(value, ascii_only=True)) for name, value in facts.items()]
+    return F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *said), F.lit("}")), 256)
+
+
+def canonical_sha256(facts: dict[str, Column]) -> Column:
+    """SHA-256 of compact JSON text with sorted names; other characters than ASCII stay as they are."""
+    said = [F.concat(F.lit(f'"{name}":'), T.json_string(facts[name], ascii_only=False)) for name in sorted(facts)]
+    return F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *said), F.lit("}")), 256)
+
+
+def control_id(*parts: Column) -> Column:
+    """16 hexadecimal digits that stand for names without showing them."""
+    return F.substring(F.sha2(F.concat_ws("\0", *parts), 256), 1, 16)
+
+
+def status_class(code: Column) -> Column:
+    """What an HTTP status means for a collection."""
+    return (
+        F.when(code.between(200, 299), "success").when(code.isin(404, 410), "missing").when(code == 429, "rate_limited")
+        .when(code.isin(502, 503, 504), "unavailable").otherwise("failed")
+    )

@@ -11,8 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from gleaner.functions import text as T, values as V
-from gleaner.operators import batch, components, matching, read_api, schedule, state, telemetry
+from gleaner.functions import places, text as T, values as V
+from gleaner.operators import batch, components, grouping, matching, read_api, schedule, state, telemetry
+from gleaner.sources import exports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -68,7 +69,12 @@ def funnel_by_source(spark, sf):
     return funnel_overall_and_source(spark, sf).where("event_type IS NOT NULL")
 
 
-@query("SELECT 0 AS not_monotone, 0 AS not_partitioned, 0 AS not_summed")
+_FUNNEL = f"SELECT event_type, {_STAGES}, {_AGES} FROM (SELECT *, {_BUCKET} AS b FROM {_EVENTS}) GROUP BY GROUPING SETS ((event_type), ())"
+_SUM = " + ".join(f"{('age_' + b).replace('-', '_').replace('>', 'over_')}" for b in telemetry.BUCKETS)
+
+
+@query(f"""SELECT CAST(count(*) FILTER (WHERE title > evaluated OR market > title) AS INT) AS not_monotone, CAST(count(*) FILTER (WHERE {_SUM} <> evaluated) AS INT) AS not_partitioned,
+CAST(sum(CASE WHEN event_type IS NULL THEN evaluated ELSE -evaluated END) AS INT) AS not_summed FROM ({_FUNNEL})""")
 def funnel_invariant_violations(spark, sf):
     rows = funnel_overall_and_source(spark, sf)
     ages = sum((F.col(c) for c in rows.columns if c.startswith("age_")), F.lit(0))
@@ -252,39 +258,63 @@ def term_containment(spark, sf):
     return read(spark, sf, "documents").select("doc_id", (has("of") | has("die") | has("que")).alias("has"))
 
 
-_MODES = ["Hybrid, 3 days per week in office", "Los Angeles, CA", "Remote", "On-site", "This role is fully remote.", "This is not a remote role.", "", "Berlin"]
+_BODY = "lower(coalesce(text, ''))"
+_TEXT_MODE = f"CASE WHEN regexp_matches({_BODY}, '{T.HYBRID}') THEN 'hybrid' WHEN regexp_matches({_BODY}, '{T.ONSITE}') THEN 'onsite' WHEN regexp_matches({_BODY}, '{T.REMOTE_ROLE}') AND NOT regexp_matches({_BODY}, '{T.NOT_REMOTE.replace(chr(39), chr(39) * 2)}') THEN 'remote' ELSE 'unknown' END"
+_HTML_TEXT = f"(SELECT page_id AS doc_id, html AS text FROM pages UNION ALL SELECT doc_id, text FROM documents)"
 
 
-@query("SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'hybrid' WHEN 1 THEN 'onsite' WHEN 2 THEN 'remote' WHEN 3 THEN 'onsite' WHEN 4 THEN 'remote' ELSE 'unknown' END AS mode FROM documents")
+@query(f"SELECT mode, count(*) AS n FROM (SELECT {_TEXT_MODE} AS mode FROM {_HTML_TEXT}) GROUP BY mode")
 def remote_classify(spark, sf):
-    said = F.element_at(F.array(*map(F.lit, _MODES)), (F.col("doc_id") % 8 + 1).cast("int"))
-    in_text = (F.col("doc_id") % 8).isin(4, 5)
+    """Work modes of all documents and raw pages, from their whole texts."""
     none = F.lit(None).cast("array<string>")
-    mode = T.work_mode(F.when(~in_text, said), F.when(in_text, said), none, none)
-    return read(spark, sf, "documents").select("doc_id", mode.alias("mode"))
+    texts = read(spark, sf, "documents").select("text").union(read(spark, sf, "pages").select("html"))
+    return texts.groupBy(T.work_mode(F.lit(None).cast("string"), F.col("text"), none, none).alias("mode")).agg(F.count("*").alias("n"))
+
 
+_CITIES = "(SELECT c_custkey, c_name || ', ' || substr(n_name, 1, 2) AS place FROM customer JOIN nation ON n_nationkey = c_nationkey)"
 
-_YEARS = ["3+ years of experience", "minimum 5 years", "5-7 years of experience", "2 or more years", "founded 10 years ago", "4 years preferred", "about 6 years of experience", "We are 8 years old. At least 9 years"]
+
+@query(f"SELECT c_custkey, CASE WHEN substr(place, -2) IN ({', '.join(repr(x) for x in T.US_STATES)}) THEN 'onsite' ELSE 'unknown' END AS mode FROM {_CITIES}")
+def city_state_mode(spark, sf):
+    """Locations of the form "city, state" of all customers; the first letters of a nation stand for the state."""
+    nation = read(spark, sf, "nation")
+    c = read(spark, sf, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    place, none = F.concat("c_name", F.lit(", "), F.substring("n_name", 1, 2)), F.lit(None).cast("array<string>")
+    return c.select("c_custkey", T.work_mode(place, F.lit(None).cast("string"), none, none).alias("mode"))
 
 
-@query("SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 3 WHEN 1 THEN 5 WHEN 2 THEN 5 WHEN 3 THEN 2 WHEN 7 THEN 9 END AS years FROM documents")
+@query("""SELECT l_orderkey, max(CAST(l_quantity AS INT)) AS years FROM lineitem WHERE l_quantity < 100 GROUP BY 1""")
 def experience_years_extract(spark, sf):
-    said = F.element_at(F.array(*map(F.lit, _YEARS)), (F.col("doc_id") % 8 + 1).cast("int"))
-    return read(spark, sf, "documents").select("doc_id", T.required_years(said).alias("years"))
+    """The largest minimum of years in postings made of an order's lines, a sentence for each."""
+    said = F.concat(F.lit("At least "), F.col("l_quantity").cast("int").cast("string"), F.lit(" years of experience. Founded 77 years ago."))
+    l = read(spark, sf, "lineitem").where("l_quantity < 100")  # noqa: E741
+    posting = l.groupBy("l_orderkey").agg(F.array_join(F.collect_list(said), "\n").alias("text"))
+    return posting.select("l_orderkey", T.required_years(F.col("text")).alias("years"))
+
+
+@query()
+def experience_years_of_texts(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", T.required_years(F.col("text")).alias("years"))
+
 
+_NATIONS = "ALGERIA DZ, ARGENTINA AR, BRAZIL BR, CANADA CA, EGYPT EG, ETHIOPIA ET, FRANCE FR, GERMANY DE, INDIA IN, INDONESIA ID, IRAN IR, IRAQ IQ, JAPAN JP, JORDAN JO, KENYA KE, MOROCCO MA, MOZAMBIQUE MZ, PERU PE, CHINA CN, ROMANIA RO, SAUDI ARABIA SA, VIETNAM VN, RUSSIA RU, UNITED KINGDOM GB, UNITED STATES US".split(", ")
 
-@query("SELECT n_nationkey, CASE n_name WHEN 'UNITED STATES' THEN 'US' WHEN 'UNITED KINGDOM' THEN 'GB' WHEN 'GERMANY' THEN 'DE' WHEN 'FRANCE' THEN 'FR' END AS code FROM nation")
+
+@query(f"SELECT n_nationkey, code FROM nation LEFT JOIN (VALUES {', '.join(f'({x[:-3]!r}, {x[-2:]!r})' for x in _NATIONS)}) AS c(name, code) ON name = n_name")
 def country_alias_lookup(spark, sf):
-    codes = spark.createDataFrame([("United States", "US"), ("United Kingdom", "GB"), ("Germany", "DE"), ("France", "FR")], "name string, code string")
-    nation = read(spark, sf, "nation")
-    return nation.join(F.broadcast(codes), F.lower("n_name") == F.lower("name"), "left").select("n_nationkey", "code")
+    return places.with_country(read(spark, sf, "nation"), F.col("n_name")).select("n_nationkey", F.col("country_code").alias("code"))
+
 
+_ESCAPED = """array_to_string(list_transform(string_split({0}, ''), lambda c: CASE WHEN c = '"' THEN '\\"' WHEN c = '\\' THEN '\\\\' WHEN unicode(c) BETWEEN 32 AND 126 THEN c
+WHEN unicode(c) > 65535 THEN '\\u' || lower(to_hex(55296 + (unicode(c) - 65536) // 1024)) || '\\u' || lower(to_hex(56320 + (unicode(c) - 65536) % 1024)) ELSE '\\u' || lpad(lower(to_hex(unicode(c))), 4, '0') END), '')"""
+_SQUEEZED = "trim(regexp_replace(coalesce({0}, ''), '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{2028}}\\x{{2029}}\\x{{3000}}]+', ' ', 'g'))"
 
-@query("""SELECT doc_id, sha256('{"description": "' || trim(regexp_replace(coalesce(source, ''), '\\s+', ' ', 'g')) || '", "employment_type": null, "location": "' || lower(coalesce(lang, '')) || '", "title": "' || trim(regexp_replace(lower(coalesce(source, '')), '[^a-z0-9+#.]+', ' ', 'g')) || '"}') AS fingerprint FROM documents""")
+
+@query(f"""SELECT doc_id, sha256('{{"description": "' || {_ESCAPED.format(_SQUEEZED.format('text'))} || '", "employment_type": null, "location": "' || {_ESCAPED.format('lower(' + _SQUEEZED.format('lang') + ')')}
+|| '", "title": "' || trim(regexp_replace(replace(lower(coalesce(source, '')), 'full-stack', 'full stack'), '[^a-z0-9+#.]+', ' ', 'g')) || '"}}') AS fingerprint FROM documents""")
 def fingerprint_sha256(spark, sf):
-    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
-    json = F.format_string('{"description": "%s", "employment_type": null, "location": "%s", "title": "%s"}', T.squeezed(blank("source")), F.lower(T.squeezed(blank("lang"))), T.normalize_title(blank("source")))
-    return read(spark, sf, "documents").select("doc_id", F.sha2(json, 256).alias("fingerprint"))
+    """Content fingerprints of all documents as postings: the whole text is the description."""
+    return read(spark, sf, "documents").select("doc_id", V.content_fingerprint(F.col("source"), F.col("text"), F.col("lang"), F.lit(None).cast("string")).alias("fingerprint"))
 
 
 @query("""
@@ -310,10 +340,13 @@ def freshness_disposition(spark, sf):
     return events(spark, sf).select("event_id", V.freshness(F.col("posted_at"), now(), F.lit(72), policy).alias("disposition"))
 
 
-@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 4 WHEN 3 THEN 30 END AS days FROM documents")
+@query(f"SELECT event_id, CASE WHEN d < 0 THEN NULL ELSE CAST(least(d, 30) AS INT) END AS days, d >= 4 AS old FROM (SELECT event_id, CAST(floor((epoch_us({_AT}) - epoch_us(ts)) / 8.64e10) AS BIGINT) AS d FROM events)")
 def relative_age(spark, sf):
-    said = F.array(*map(F.lit, ["Posted Today", "Posted Yesterday", "Posted 4 Days Ago", "Posted 30+ Days Ago", "Aujourd'hui"]))
-    return read(spark, sf, "documents").select("doc_id", V.posted_age_days(F.element_at(said, (F.col("doc_id") % 5 + 1).cast("int"))).alias("days"))
+    """Relative labels made of every posting's time, and the ages that they state."""
+    days = F.floor((F.unix_micros(now()) - F.unix_micros("ts")) / 8.64e10)
+    said = F.when(days == 0, "Posted Today").when(days == 1, "Posted Yesterday").when(days >= 30, "Posted 30+ Days Ago").when(days > 1, F.concat(F.lit("Posted "), days.cast("string"), F.lit(" Days Ago")))
+    age = V.posted_age_days(said)
+    return events(spark, sf).select("event_id", age.alias("days"), F.coalesce(V.older_than_72h(age), F.lit(False)).alias("old"))
 
 
 @query("""SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-15 05:00:00' AND ts < TIMESTAMP '2024-01-16 05:00:00' GROUP BY 1""")
@@ -429,12 +462,61 @@ def match_version_diff(spark, sf):
 # -- groups ------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, 'content' AS kind, sha256(text) AS value FROM documents WHERE len(text) >= 40 UNION ALL SELECT doc_id, 'source', source || ':' || lang FROM documents WHERE doc_id % 10 = 0")
+def vacancies(spark, sf):
+    """Documents as postings: the text is the description, the page of the same number the vacancy's URL."""
+    none = F.lit(None).cast("string")
+    mode = F.when(F.col("n_chars") % 3 == 0, "remote").when(F.col("n_chars") % 3 == 1, "onsite").otherwise("unknown")
+    pages = read(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), "url")
+    country = F.create_map(*map(F.lit, ["en", "United States", "de", "Germany", "fr", "France", "es", "Spain"]))
+    return read(spark, sf, "documents").join(pages, "doc_id", "left").select(
+        F.col("doc_id").cast("string").alias("id"), F.lit("board").alias("source"), F.col("lang").alias("source_board_id"), F.col("doc_id").cast("string").alias("source_job_id"),
+        F.col("url").alias("canonical_url"), none.alias("job_url"), none.alias("apply_url"), F.col("source").alias("company"), F.lit("Writer").alias("title"), F.col("text").alias("description_text"),
+        F.array_compact(F.array(F.try_element_at(country, "lang"))).alias("eligible_countries"), none.alias("country"), mode.alias("remote_status"), F.col("lang").alias("location_text"),
+        none.alias("city"), none.alias("region"), none.alias("department"), F.lit("full_time").alias("employment_type"), F.lit(None).cast("timestamp").alias("updated_at"), F.lit(None).cast("timestamp").alias("posted_at"),
+    )
+
+
+@query()
 def delivery_keys_explode(spark, sf):
-    d = read(spark, sf, "documents")
-    content = F.when(F.length("text") >= 40, F.struct(F.lit("content").alias("kind"), F.sha2("text", 256).alias("value")))
-    source = F.when(F.col("doc_id") % 10 == 0, F.struct(F.lit("source").alias("kind"), F.concat_ws(":", "source", "lang").alias("value")))
-    return d.select("doc_id", F.explode(F.array_compact(F.array(content, source))).alias("k")).select("doc_id", "k.kind", "k.value")
+    """URL and content keys of all documents as postings; the compatibility folding has no SQL, so tests have a plain version."""
+    return grouping.delivery_keys(vacancies(spark, sf))
+
+
+_PATH = "rtrim(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/')"
+_SORTED = "array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT starts_with(lower(split_part(p, '=', 1)), 'utm_') AND NOT list_contains(['fbclid','gclid','mc_cid','mc_eid','ref','source'], lower(split_part(p, '=', 1))))), '&')"
+
+
+@query(f"""SELECT page_id, lower(regexp_extract(url, '^([a-z]+)://', 1)) || '://' || lower(regexp_extract(url, '://([^/?#]*)', 1)) || {_PATH} || CASE WHEN {_SORTED} <> '' THEN '?' || {_SORTED} ELSE '' END AS value
+FROM pages WHERE lower({_PATH}) NOT IN ('', '/', '/jobs', '/careers', '/apply')""")
+def delivery_url_keys(spark, sf):
+    return read(spark, sf, "pages").select("page_id", grouping.url_key(F.col("url")).alias("value")).where("value IS NOT NULL")
+
+
+@query()
+def delivery_groups(spark, sf):
+    """Groups of all documents as postings by URL and content keys, going on from the groups of equal sources and lengths."""
+    v = vacancies(spark, sf)
+    before = read(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("t")).agg(F.min("doc_id").alias("doc_id"), F.min("doc_id").alias("g"))
+    existing = before.select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("group-"), F.col("g").cast("string")).alias("group_id"))
+    return grouping.delivery_groups(grouping.delivery_keys(v), existing)[0]
+
+
+@query()
+def delivery_representatives(spark, sf):
+    v = vacancies(spark, sf)
+    none = v.limit(0).select("id", F.col("id").alias("group_id"))
+    groups = grouping.delivery_groups(grouping.delivery_keys(v), none)[0]
+    return grouping.representatives(v, groups)
+
+
+@query("""
+WITH r AS (SELECT o_custkey AS c, o_orderpriority AS p, count(DISTINCT o_orderkey % 5) AS ids, count(DISTINCT o_orderstatus) AS fingerprints, count(DISTINCT o_orderkey % 8) AS shards FROM orders GROUP BY 1, 2)
+SELECT 'provider' || chr(31) || 'board' || chr(31) || c || chr(31) || p AS identity, ids, fingerprints, shards FROM r WHERE ids > 1 OR fingerprints > 1""")
+def fanin_identity_conflicts(spark, sf):
+    o = read(spark, sf, "orders").select(
+        F.lit("board").alias("source"), F.col("o_custkey").cast("string").alias("source_board_id"), F.col("o_orderpriority").alias("source_job_id"), F.lit(None).cast("string").alias("canonical_url"),
+        (F.col("o_orderkey") % 5).cast("string").alias("id"), F.col("o_orderstatus").alias("fingerprint"), (F.col("o_orderkey") % 8).alias("shard"))
+    return grouping.identity_conflicts(o)
 
 
 @query("SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS group_id FROM documents")
@@ -444,16 +526,12 @@ def duplicate_groups(spark, sf):
     return d.join(group, "digest").select("doc_id", "group_id")
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT DISTINCT user_id AS a, CAST(floor(user_id / 3) AS BIGINT) * 7 % 150 AS b FROM events WHERE user_id % 4 <> 1),
-n AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r AS (SELECT a AS node, a AS reach FROM n UNION SELECT r.node, n.b FROM r JOIN n ON n.a = r.reach)
-SELECT node, min(reach) AS root FROM r GROUP BY node""")
+@query()
 def connected_components(spark, sf):
-    e = read(spark, sf, "events").where("user_id % 4 <> 1").select(F.col("user_id").alias("a"), (F.floor(F.col("user_id") / 3) * 7 % 150).alias("b")).distinct()
-    alone = e.where("a = b").select(F.col("a").alias("node"), F.col("b").alias("root"))
-    linked = components.components(e)
-    return linked.union(alone.join(linked, "node", "left_anti"))
+    """Classes of customers and parts that orders connect; a recursive query doesn't end in time, so tests have a union-find."""
+    o, l = read(spark, sf, "orders"), read(spark, sf, "lineitem")  # noqa: E741
+    bought = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select((F.col("o_custkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b"))
+    return components.components(bought.distinct())
 
 
 @query("""
@@ -556,16 +634,26 @@ def outcome_optimistic_versions(spark, sf):
     return state.versions(o, ["o_custkey"], ["o_orderkey"], "expected")
 
 
-@query("""SELECT 'nation' AS t, count(*) AS n FROM nation UNION ALL SELECT 'region', count(*) FROM region""")
-def multiset_digest_counts(spark, sf):
-    each = [state.multiset_digest(read(spark, sf, t), read(spark, sf, t).columns).select(F.lit(t).alias("t"), "n") for t in ("nation", "region")]
-    return each[0].union(each[1])
+_DIGESTED = {
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_returnflag"],
+    "documents": ["doc_id", "text", "lang", "source"], "pages": ["page_id", "url", "html"], "conversations": ["conv_id", "turn", "role", "text"],
+}
 
 
-@query()
+def _digest_sql(t: str, columns: list[str]) -> str:
+    row = "sha256(concat_ws(chr(31), " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(0))" for c in columns) + "))"
+    parts = " || ':' || ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 12 * i}, 12) AS BIGINT)) AS VARCHAR)" for i in range(3))
+    return f"SELECT '{t}' AS t, count(*) AS n, {parts} AS digest FROM (SELECT {row} AS h FROM {t})"
+
+
+@query(" UNION ALL ".join(_digest_sql(t, c) for t, c in _DIGESTED.items()))
 def multiset_digest(spark, sf):
-    n = read(spark, sf, "nation")
-    return state.multiset_digest(n, n.columns)
+    """Digests of the large tables that don't depend on the order of rows."""
+    each = [state.multiset_digest(read(spark, sf, t), c).select(F.lit(t).alias("t"), "n", "digest") for t, c in _DIGESTED.items()]
+    out = each[0]
+    for more in each[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 @query("SELECT user_id, count(DISTINCT day) AS days FROM (SELECT user_id, CAST(date_trunc('day', ts) AS DATE) AS day FROM events UNION SELECT o_custkey, CAST(date_trunc('day', o_orderdate) AS DATE) FROM orders) GROUP BY 1")
@@ -615,10 +703,14 @@ def shard_assignment(spark, sf):
     return schedule.shards(read(spark, sf, "customer"), "c_nationkey", "c_custkey", 8).select("c_custkey", "shard")
 
 
-@query("SELECT c_nationkey, count(*) AS n, count(*) // 8 AS least FROM customer GROUP BY 1")
+@query(f"""WITH s AS (SELECT c_nationkey, (row_number() OVER (PARTITION BY c_nationkey ORDER BY {_DIGEST.format('c_custkey')}) - 1) % 8 AS shard FROM customer), t AS (SELECT c_nationkey, count(*) AS total FROM s GROUP BY 1)
+SELECT c_nationkey, shard, count(*) AS n, count(*) BETWEEN any_value(total) // 8 AND any_value(total) // 8 + 1 AS even FROM s JOIN t USING (c_nationkey) GROUP BY 1, 2""")
 def shard_reconcile(spark, sf):
-    per = schedule.shards(read(spark, sf, "customer"), "c_nationkey", "c_custkey", 8).groupBy("c_nationkey", "shard").count()
-    return per.groupBy("c_nationkey").agg(F.sum("count").alias("n"), F.floor(F.sum("count") / 8).cast("long").alias("least"))
+    """Sizes of every source's shards, and whether they are even."""
+    per = schedule.shards(read(spark, sf, "customer"), "c_nationkey", "c_custkey", 8).groupBy("c_nationkey", "shard").agg(F.count("*").alias("n"))
+    total = read(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").alias("total"))
+    least = F.floor(F.col("total") / 8)
+    return per.join(total, "c_nationkey").select("c_nationkey", "shard", "n", F.col("n").between(least, least + 1).alias("even"))
 
 
 @query("SELECT p_partkey, rn, spent FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_size, p_partkey) AS rn, sum(p_size) OVER (ORDER BY p_size, p_partkey) AS spent FROM part) WHERE spent <= 500")
@@ -774,10 +866,13 @@ def session_window_counts(spark, sf):
     return events(spark, sf).groupBy("user_id", w.alias("w")).agg(F.count("*").alias("n")).select("user_id", micros(F.col("w.start")).alias("started"), "n")
 
 
-@query("SELECT page_id, split_part(regexp_extract(url, '://([^/?#]*)', 1), '.', 1) AS platform, upper(substr(split_part(regexp_extract(url, '://([^/?#]*)', 1), '.', 1), 1, 1)) || substr(split_part(regexp_extract(url, '://([^/?#]*)', 1), '.', 1), 2) AS titled, url AS link FROM pages")
+@query("""WITH p AS (SELECT page_id, url, split_part(regexp_extract(url, '://([^/?#]*)', 1), '.', 1) AS platform, regexp_extract(url, '://([^/?#]*)', 1) AS company, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS title FROM pages)
+SELECT company AS "Company", title AS "Title", CASE WHEN page_id % 3 = 0 THEN url || '#apply' ELSE url END AS "Link", '' AS "Location", upper(substr(platform, 1, 1)) || lower(substr(platform, 2)) AS "Platform" FROM p""")
 def csv_export_projection(spark, sf):
-    p = F.substring_index(V.url_part(F.col("url"), 2), ".", 1)
-    return read(spark, sf, "pages").select("page_id", p.alias("platform"), F.initcap(p).alias("titled"), F.col("url").alias("link"))
+    url, none = F.col("url"), F.lit(None).cast("string")
+    return exports.export_rows(read(spark, sf, "pages").select(
+        V.url_part(url, 2).alias("company"), V.url_part(url, 3).alias("title"), F.when(F.col("page_id") % 3 == 0, F.concat(url, F.lit("#apply"))).alias("apply_url"), url.alias("canonical_url"),
+        none.alias("location_text"), F.substring_index(V.url_part(url, 2), ".", 1).alias("source")))
 
 
 @query(f"""WITH {_BATCH} SELECT group_id, count(*) AS members, bool_and(stale IS NULL AND NOT historical AND NOT delivered) AS release_ready,

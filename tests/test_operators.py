@@ -1,12 +1,14 @@
 """Batches, upserts, payloads, exports and streams on small examples."""
 
 import datetime
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.operators import batch, components, matching, state
+from gleaner.operators import batch, components, grouping, lifecycle, matching, state
+from gleaner.plans import catalogue
 from gleaner.sources import exports, postings
 from gleaner.streaming import changes
 
@@ -19,8 +21,8 @@ def candidates(spark, n, **more):
     return spark.createDataFrame([(f"{i:03}", i, i, *base.values()) for i in range(n)], SHAPE)
 
 
-@pytest.mark.parametrize("quota, supply, taken", [(3, 3, 3), (3, 5, 3), (5, 2, 2), (4, 0, 0), (150, 87, 87)])
-def test_quota(spark, quota, supply, taken):
+@pytest.mark.parametrize("supply, quota, taken", [(7, 1, 1), (6, 6, 6), (1, 9, 1), (0, 2, 0), (41, 40, 40)])
+def test_quota(spark, supply, quota, taken):
     out = batch.assemble(candidates(spark, supply), quota, 1, 72, "reject", F.lit(AT)).where("ordinal IS NOT NULL")
     assert sorted(r["ordinal"] for r in out.collect()) == list(range(1, taken + 1))
 
@@ -115,3 +117,76 @@ def test_versions_of_a_hot_subject(spark):
     for i in range(100_000):
         version += i - i // 10 == version
     assert got == {"hot": (version, 100_000, 100_000 - version), "a": (2, 3, 1), None: (1, 2, 1)}
+
+
+def union_find(links):
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return {x: find(x) for x in list(root)}
+
+
+def test_components_of_customers_and_parts(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {r["node"]: r["root"] for r in catalogue.connected_components(spark, sf).collect()}
+    customer = {r["o_orderkey"]: r["o_custkey"] for r in spark.read.parquet(f"{sf}/orders.parquet").collect()}
+    links = [(customer[r["l_orderkey"]] * 2, r["l_partkey"] * 2 + 1) for r in spark.read.parquet(f"{sf}/lineitem.parquet").collect() if r["l_orderkey"] in customer]
+    assert got == union_find(links)
+
+
+POSTING = (
+    "id string, source string, source_board_id string, source_job_id string, canonical_url string, job_url string, apply_url string, company string, title string, description_text string, eligible_countries array<string>, "
+    "country string, remote_status string, location_text string, city string, region string, department string, employment_type string, updated_at timestamp, posted_at timestamp"
+)
+WORDS = " ".join(f"word{i}" for i in range(45))
+
+
+def posting(i, url, **more):
+    base = dict.fromkeys([x.split()[0] for x in POSTING.split(", ")]) | {"id": i, "source": "s", "source_board_id": "b", "source_job_id": i, "canonical_url": url, "company": "Acme", "title": "Writer", "remote_status": "remote"}
+    return tuple((base | more).values())
+
+
+def test_delivery_keys_and_groups(spark):
+    rows = [
+        posting("p1", "https://a.org/v/1?b=2&a=1", apply_url="https://a.org/apply"), posting("p2", "https://A.org/v/1/?a=1&b=2&utm_x=1"), posting("p3", "https://a.org/careers/"),
+        posting("p4", "https://b.org/1", description_text=WORDS, eligible_countries=["Canada"], location_text="Remote - Canada; Oslo"), posting("p5", "https://c.org/1", description_text=WORDS.upper(), country="Canada", location_text="oslo"),
+        posting("p6", "https://d.org/1", description_text=WORDS, eligible_countries=["Canada"], location_text="Oslo", remote_status="unknown"), posting("p7", "https://e.org/1", description_text="word " * 39, country="Canada"),
+    ]
+    keys = grouping.delivery_keys(spark.createDataFrame(rows, POSTING))
+    got = {(r["id"], r["kind"]): r["value"] for r in keys.collect()}
+    assert got["p1", "url"] == got["p2", "url"] == "https://a.org/v/1?a=1&b=2"
+    assert {k for k in got if k[0] == "p3"} == set() and {k[0] for k in got if k[1] == "dedupe-v1"} == {"p4", "p5"}
+    facts = ["acme", "writer", WORDS, ["canada"], "remote", "oslo", "", "", "", None]
+    assert got["p4", "dedupe-v1"] == got["p5", "dedupe-v1"] == hashlib.sha256(json.dumps(facts, ensure_ascii=False).encode()).hexdigest()
+
+    existing = spark.createDataFrame([("p2", "g2"), ("p7", "g1"), ("p5", "g3"), ("old", "g1")], "id string, group_id string")
+    groups, merged = grouping.delivery_groups(keys, existing)
+    found = {r["id"]: r["group_id"] for r in groups.collect()}
+    assert (found["p1"], found["p2"], found["p4"], found["p5"], found["p7"], found["old"]) == ("g2", "g2", "g3", "g3", "g1", "g1")
+    assert found["p6"] not in ("g1", "g2", "g3") and "p3" not in found and merged.count() == 0
+    joined = spark.createDataFrame([("p1", "g2"), ("p5", "g1"), ("p4", "g3")], "id string, group_id string")
+    _, merged = grouping.delivery_groups(keys, joined)
+    assert [tuple(r) for r in merged.collect()] == [("g3", "g1")]
+    best = grouping.representatives(spark.createDataFrame(rows, POSTING), groups)
+    assert {r["group_id"]: (r["representative"], r["members"]) for r in best.collect()}["g2"] == ("p1", 2)
+
+
+def test_batch_states(spark):
+    rows = [(1, 1, "prepare", 0), (1, 2, "finalize", 1), (1, 3, "fail", 1), (2, 1, "finalize", 0), (2, 2, "prepare", 0), (2, 3, "fail", 1), (2, 4, "prepare", 0), (2, 5, "finalize", 1), (2, 6, "discard", 2), (None, 1, "prepare", None)]
+    got = lifecycle.batch_states(spark.createDataFrame(rows, "b long, n int, action string, of long"), "b", ["n"], "action", "of")
+    assert {r["b"]: tuple(r)[1:] for r in got.collect()} == {1: ("finalize", 1, 2, 1), 2: ("discard", 2, 4, 2), None: ("prepare", 1, 1, 0)}
+
+
+def test_due_cohorts(spark):
+    done = spark.createDataFrame([("a", 5), ("a", 6), ("a", 8), ("b", 90), ("b", 91), ("b", 91)], "s string, c long")
+    got = {r["s"]: tuple(r)[1:] for r in lifecycle.due_cohorts(done, "s", "c", F.lit(95), 10).collect()}
+    assert got == {"a": (6, 85, 7, 84), "b": (91, 92, None, None)}
