@@ -33,6 +33,10 @@ STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # all stores of an executor share this much for what they write and cache
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "15s",
 }
 
 
@@ -115,7 +119,6 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, f
     state = cut(remembered(arrivals, own))
     if folder is None:
         drop_path(spark, f"{own}/updates")
-        drop_path(spark, f"{own}/progress")
     sha = "digest" if digest is sha256 else "text_sha256"
     met = spread_join(arrivals, state, "digest", "__at")
     found = met.select(
