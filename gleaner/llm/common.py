@@ -32,15 +32,16 @@ def up_to(written: DataFrame, most: int) -> DataFrame:
     return F.broadcast(written) if written.count() <= most else written
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, *spread: str, counted: DataFrame | None = None) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, *spread: str, counted: DataFrame | None = None, least: int = 1) -> DataFrame:
     """``left`` joined with ``right`` on ``key``, without a task for all rows of a frequent key.
 
     A key is frequent if it has more rows in ``counted`` (a written table, ``left`` unless given) than a quarter of an average
     partition, so there are no more of them than four times the shuffle partitions: they are broadcast.  Their rows are dealt
-    by the columns ``spread`` over as many parts as such quarters, and ``right``'s rows are repeated for each of these parts.
+    by the columns ``spread`` over as many parts as such quarters (or as ``least`` rows, if that is more: where ``right`` has many
+    rows of a key), and ``right``'s rows are repeated for each of these parts.
     """
     counted = left if counted is None else counted
-    quarter = counted.count() // (4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1
+    quarter = max(least, counted.count() // (4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1)
     often = counted.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > quarter)
     often = F.broadcast(cut(often.select(key, F.ceil(F.col("__n") / quarter).cast("int").alias("__parts"))))
     parts, part = F.coalesce("__parts", F.lit(1)), free(left, "__part")

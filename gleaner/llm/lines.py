@@ -221,7 +221,7 @@ def line_links(shared: DataFrame, own: DataFrame) -> DataFrame:
     left = cut(rooted.join(up_to(cut(several), BROADCAST), "key"))
     x, y = left.select("key", F.col("id").alias("ida"), "root", "sketch"), left.where("filed").select("key", F.col("id").alias("idb"), F.col("root").alias("rb"), F.col("sketch").alias("sb"))
     across = (F.col("root") != F.col("rb")) & alike("sketch", "sb")
-    more = spread_join(x, y, "key", "ida").where(across).select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()
+    more = spread_join(x, y, "key", "ida", least=HOT).where(across).select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()
     return links.union(verified(cut(more.join(star, ["a", "b"], "left_anti")), own))
 
 

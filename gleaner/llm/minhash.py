@@ -44,6 +44,8 @@ SYMBOLS = CHUNKS * CHUNK
 BITS = 12
 #: Documents that go are broadcast up to this many (eight bytes each) to leave them out; beyond, texts are shuffled for it.
 BROADCAST_IDS = 2_000_000
+#: Representatives that share a key are compared in parts of so many.
+ROWS_OF_A_KEY = 1000
 #: Op4's contract: 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 85
 
@@ -270,7 +272,7 @@ def near_components(docs: DataFrame, similarity: int = SIMILARITY, chunk: int =
     few = F.array_position(F.transform(wrong, lambda e: e <= 1), True) == at + 1
     first_key = few & ((F.get(wrong, at) == 1) | (place == 0))
     across = (F.col("ra") < F.col("rb")) & (100 * F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
-    more = spread_join(x, y, "key", "a").where(across & first_key & similar).select("a", "b").distinct()
+    more = spread_join(x, y, "key", "a", least=ROWS_OF_A_KEY).where(across & first_key & similar).select("a", "b").distinct()
     links = links.union(cut(confirmed(cut(more), texts, similarity))).union(copies)
     roots = components(links).withColumnRenamed("node", "doc_id")
     return every.select("doc_id", "n_shingles").join(roots, "doc_id", "left").select(
