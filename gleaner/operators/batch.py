@@ -50,7 +50,7 @@ def assemble(candidates: DataFrame, quota: int, cap: int | None, max_hours: int,
     """
     good = ["strong_match", "possible_match"] + ["needs_review"] * include_review
     rows = candidates.withColumn("eligible", F.col("decision").isin(good))
-    rows = rows.withColumn("stale", freshness(F.col("posted_at"), at, F.lit(max_hours), F.lit(unknown_policy)))
+    rows = cut(rows.withColumn("stale", freshness(F.col("posted_at"), at, F.lit(max_hours), F.lit(unknown_policy))))  # four branches read it
     state = rows.where("eligible").groupBy("group_id").agg(F.bool_or("historical").alias("g_hist"), F.bool_or("delivered").alias("g_deliv"))
     live = rows.where("eligible AND stale IS NULL").join(state.where("NOT g_hist AND NOT g_deliv"), "group_id", "left_semi")
     head = live.withColumn("k", F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc_nulls_last("posted_at"), "job_id"))).where("k = 1").drop("k")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gleaner.operators.batch import numbered
+from gleaner.plans.shared import cut
 
 
 def by_digest(*ids: Column) -> list[Column]:
@@ -35,14 +35,18 @@ def oldest_due(targets: DataFrame, source: str, target: str, due: Column, limit:
 def within_budget(rows: DataFrame, order: list, cost: str, budget: float) -> DataFrame:
     """``rows`` with ``rn`` and running cost ``spent``, up to the first that would exceed the budget (costs aren't negative).
 
-    The running sum is summed by partition of a range partitioning first, so no task sees all rows.
+    The running sum starts in each range partition with the sum of those before it; only a row per partition is seen at once.
     """
-    placed = numbered(rows, order, "rn")
-    block = placed.withColumn("__b", F.floor((F.col("rn") - 1) / 4096))
-    sums = block.groupBy("__b").agg(F.sum(cost).alias("s"))
-    before = sums.withColumn("__before", F.coalesce(F.sum("s").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).drop("s")
-    inside = F.sum(cost).over(Window.partitionBy("__b").orderBy("rn"))
-    return block.join(before, "__b").withColumn("spent", inside + F.col("__before")).where(F.col("spent") <= budget).drop("__b", "__before")
+    names = [f"__o{i}" for i in range(len(order))]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = cut(rows.withColumns(dict(zip(names, order))).repartitionByRange(parts, *names).withColumn("__part", F.spark_partition_id()))
+    own = Window.partitionBy("__part").orderBy(*names)
+    first = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over a row per partition
+    sums = spread.groupBy("__part").agg(F.sum(cost).alias("s"), F.count("*").alias("n"))
+    before = sums.select("__part", F.coalesce(F.sum("s").over(first), F.lit(0)).alias("__s"), F.coalesce(F.sum("n").over(first), F.lit(0)).alias("__n"))
+    placed = spread.withColumns({"spent": F.sum(cost).over(own), "rn": F.row_number().over(own)}).join(F.broadcast(before), "__part")
+    summed = placed.withColumns({"spent": F.col("spent") + F.col("__s"), "rn": F.col("rn") + F.col("__n")})
+    return summed.where(F.col("spent") <= budget).drop("__part", "__s", "__n", *names)
 
 
 def even_sample(rows: DataFrame, group: str, order: list, n: int) -> DataFrame:

@@ -102,8 +102,9 @@ def observed_coverage_report(spark, sf):
 @query("""SELECT event_type, CAST(round_even(quantile_cont(value, 0.5), 0) AS BIGINT) AS p50, CAST(round_even(quantile_cont(value, 0.95), 0) AS BIGINT) AS p95,
 round_even(quantile_cont(value, 0.5), 3) AS p50_ms FROM events GROUP BY event_type""")
 def runtime_percentiles(spark, sf):
-    return events(spark, sf).groupBy("event_type").agg(
-        telemetry.percentile_int(F.col("value"), 0.5).alias("p50"), telemetry.percentile_int(F.col("value"), 0.95).alias("p95"), F.bround(F.percentile("value", 0.5), 3).alias("p50_ms"))
+    whole = lambda c: F.bround(c, 0).cast("long")
+    p = telemetry.percentiles(events(spark, sf), ["event_type"], "value", [0.5, 0.95])
+    return p.select("event_type", whole("p0").alias("p50"), whole("p1").alias("p95"), F.bround("p0", 3).alias("p50_ms"))
 
 
 @query("""
@@ -431,6 +432,20 @@ def rule_match_decisions(spark, sf):
     return matches(spark, sf).select("job_id", "client_id", "decision", "score")
 
 
+@query(f"""WITH {_JOBS} SELECT job_id, policy, CASE WHEN NOT role OR rejected THEN 'reject' WHEN review AND policy = 'reject' THEN 'reject' WHEN review AND policy = 'review' THEN 'needs_review' WHEN hits > 0 THEN 'strong_match' ELSE 'possible_match' END AS decision
+FROM (SELECT id AS job_id, role, rejected, review, hits FROM m WHERE client_id = 'c1'), (SELECT unnest(['reject', 'review', 'allow']) AS policy)""")
+def unknown_policies(spark, sf):
+    """One brief under each policy for unknown evidence."""
+    briefs = [_brief(p, ["blue"], target_market=_rule(["EUROPE"], "must", p), preferred=["brass"]) for p in matching.POLICIES]
+    return matching.match(_jobs(spark, sf), spark.createDataFrame(briefs, matching.BRIEF)).select("job_id", F.col("client_id").alias("policy"), "decision")
+
+
+@query("SELECT p_partkey FROM part WHERE regexp_matches(lower(p_name), 'blue|green') AND NOT contains(lower(p_name), 'dim')")
+def title_prefilter(spark, sf):
+    briefs = spark.createDataFrame([_brief("c1", ["Blue"], excluded_titles=["dim"]), _brief("c2", ["green"], excluded_titles=["DIM"])], matching.BRIEF)
+    return matching.may_match(read(spark, sf, "part").withColumn("title", F.col("p_name")), briefs).select("p_partkey")
+
+
 @query()
 def match_reasons_exploded(spark, sf):
     m = matches(spark, sf)
@@ -823,9 +838,11 @@ def referential_integrity_audit(spark, sf):
 
 @query("SELECT l_returnflag AS part, count(*) AS n, count(DISTINCT l_orderkey) AS ids, count(DISTINCT l_orderkey) FILTER (WHERE shared) AS shared FROM (SELECT *, min(l_returnflag) OVER (PARTITION BY l_orderkey) <> max(l_returnflag) OVER (PARTITION BY l_orderkey) AS shared FROM lineitem) GROUP BY 1")
 def partition_reconciliation(spark, sf):
-    l = read(spark, sf, "lineitem")  # noqa: E741
-    both = l.groupBy("l_orderkey").agg((F.min("l_returnflag") != F.max("l_returnflag")).alias("shared"))
-    return l.join(both, "l_orderkey").groupBy(F.col("l_returnflag").alias("part")).agg(F.count("*").alias("n"), F.count_distinct("l_orderkey").alias("ids"), F.count_distinct(F.when(F.col("shared"), F.col("l_orderkey"))).alias("shared"))
+    """One shuffle by order serves the counts of its parts and how many parts it has."""
+    own = read(spark, sf, "lineitem").select("l_orderkey", "l_returnflag").repartition("l_orderkey")
+    parts = own.groupBy("l_orderkey", F.col("l_returnflag").alias("part")).agg(F.count("*").alias("n"))
+    both = parts.withColumn("both", F.count("*").over(Window.partitionBy("l_orderkey")) > 1)
+    return both.groupBy("part").agg(F.sum("n").alias("n"), F.count("*").alias("ids"), F.count_if("both").alias("shared"))
 
 
 @query("SELECT conv_id, max(turn) + 1 AS declared, count(*) AS turns, count(*) - count(DISTINCT turn) AS repeated, count(DISTINCT turn) = max(turn) + 1 AS complete FROM conversations GROUP BY 1")

@@ -31,11 +31,31 @@ def replace_csv(rows: DataFrame, path: str, before: str | None = None) -> str:
     fs, at = _fs(spark, path)
     if before is not None and csv_digest(spark, path) != before:
         raise ValueError("the destination has changed")
-    draft = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    draft, aside = f"{path.rstrip('/')}.{uuid.uuid4().hex}", f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     rows.write.csv(draft, header=True, quoteAll=True, escape='"')
+    wanted = csv_digest(spark, draft)
+    there = fs.exists(at(path))
+    # at any moment either the old or the new rows are at the path or beside it, and nothing is deleted before the new ones are checked
+    if there and not fs.rename(at(path), at(aside)):
+        raise OSError(f"{path} can't be moved aside")
+    if not fs.rename(at(draft), at(path)) or csv_digest(spark, path) != wanted:
+        if there and not fs.exists(at(path)):
+            fs.rename(at(aside), at(path))
+        raise OSError(f"{path} couldn't be replaced")
+    if there:
+        fs.delete(at(aside), True)
+    return wanted
+
+
+def append_csv(rows: DataFrame, path: str) -> str:
+    """Append to the CSV folder at ``path``, whose header must be that of ``rows``; returns the digest of all its rows."""
+    spark = rows.sparkSession
+    fs, at = _fs(spark, path)
     if fs.exists(at(path)):
-        fs.delete(at(path), True)
-    fs.rename(at(draft), at(path))
+        header = spark.read.csv(path, header=True).columns
+        if header != rows.columns:
+            raise ValueError(f"{path} has other columns: {', '.join(header)}")
+    rows.write.mode("append").csv(path, header=True, quoteAll=True, escape='"')
     return csv_digest(spark, path)
 
 

@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.operators import batch, components, grouping, lifecycle, matching, state
+from gleaner.operators import batch, components, grouping, lifecycle, matching, state, telemetry
 from gleaner.plans import catalogue
 from gleaner.sources import exports, postings
 from gleaner.streaming import changes
@@ -190,3 +190,30 @@ def test_due_cohorts(spark):
     done = spark.createDataFrame([("a", 5), ("a", 6), ("a", 8), ("b", 90), ("b", 91), ("b", 91)], "s string, c long")
     got = {r["s"]: tuple(r)[1:] for r in lifecycle.due_cohorts(done, "s", "c", F.lit(95), 10).collect()}
     assert got == {"a": (6, 85, 7, 84), "b": (91, 92, None, None)}
+
+
+def test_append(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = spark.createDataFrame([("a", "1, 2")], "x string, y string")
+    assert exports.append_csv(rows, path) == exports.csv_digest(spark, path)
+    exports.append_csv(rows, path)
+    assert spark.read.csv(path, header=True).count() == 2
+    with pytest.raises(ValueError):
+        exports.append_csv(rows.toDF("x", "z"), path)
+
+
+def test_percentiles(spark):
+    import numpy
+
+    values = {"a": [float(x % 17) for x in range(500)], "b": [3.0], "c": [1.0, 2.0, 2.0, 9.5]}
+    rows = spark.createDataFrame([(k, v) for k, some in values.items() for v in some] + [("a", None)], "k string, v double").repartition(7)
+    for r in telemetry.percentiles(rows, ["k"], "v", [0, 0.5, 0.95, 1]).collect():
+        assert [round(r[f"p{i}"], 9) for i in range(4)] == [round(x, 9) for x in numpy.quantile(values[r["k"]], [0, 0.5, 0.95, 1])] and r["n"] == len(values[r["k"]])
+
+
+def test_profiles_as_briefs(spark):
+    profiles = spark.createDataFrame([("c", ["engineer"], ["Canada"], True, ["php"], 5)], "client_id string, roles array<string>, countries array<string>, remote_only boolean, excluded_terms array<string>, max_years int")
+    jobs = spark.createDataFrame([("1", "Engineer", "likes php", None, ["Canada"], "remote", None), ("2", "Engineer", "x", None, ["Canada"], "remote", None), ("3", "Cook", "x", None, None, None, None)], "id string, title string, description_text string, country string, eligible_countries array<string>, remote_status string, employment_type string")
+    briefs = matching.brief_of_profile(profiles)
+    assert {r["job_id"]: r["decision"] for r in matching.match(jobs, briefs).collect()} == {"1": "reject", "2": "possible_match", "3": "reject"}
+    assert {r["job_id"] for r in matching.match(jobs, briefs, every_pair=False).collect()} == {"1", "2"}
