@@ -6,7 +6,8 @@ nothing changes.  The word is done when the root says that no pair can be merged
 lie side by side in one array, so a step merges one pair in each of them.
 
 Defined cases: NULL and empty texts have no tokens; strings of special tokens in a text become their ids, as in
-the library; any text round-trips; repeated rows give repeated results; an empty table gives no rows.
+the library; any text of any length round-trips; rows that repeat a ``doc_id``, and rows with a NULL one, each give their row; other
+columns don't matter; an empty table gives no rows; a vocabulary file that splits text in another way is refused.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ Kinds: email, ip (parts up to 255), card (14 to 19 digits, Luhn) and phone (10 t
 method adds iban (mod 97) and ssn, whose pattern alone is too weak: it needs a context word beside it.
 
 Defined cases: NULL and empty texts have no spans; repeated rows and rows with NULL ``doc_id`` each get their row;
-an empty table gives no rows; places are in code points, the end exclusive.
+other columns don't matter; an empty table gives no rows; places are in code points, the end exclusive.
 """
 
 from __future__ import annotations

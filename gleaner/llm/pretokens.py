@@ -34,11 +34,22 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def supported(file: dict) -> bool:
+    """Whether a vocabulary file asks for what this module does: byte-level split without normalizing, plain merges."""
+    split, model = file.get("pre_tokenizer") or {}, file["model"]
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    whole = not any(t.get(k) for t in file["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    bytes_ = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    return file.get("normalizer") is None and bytes_ and model.get("type", "BPE") == "BPE" and plain and whole and (file.get("decoder") or {}).get("type") == "ByteLevel"
+
+
 @functools.lru_cache(4)
 def load(path: str) -> tuple[list[bytes], list[int], dict[int, int], list[int], dict[str, int]]:
     """Bytes by id, the id of each byte, rank by pair (left << 20 | right), id by rank, special ids by text."""
     with open(path, encoding="utf-8") as f:
         file = json.load(f)
+    if not supported(file):
+        raise ValueError(f"{path} splits or merges text in another way than byte-level vocabularies do")
     letters, vocab, special = byte_letters(), file["model"]["vocab"], {x["content"]: x["id"] for x in file["added_tokens"]}
     pieces = [b""] * (1 + max([*vocab.values(), *special.values()]))
     for token, i in vocab.items():

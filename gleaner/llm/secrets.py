@@ -10,7 +10,7 @@ The dictionary is the corpus's own: runs of letters that occur as whole words in
 counted over all of them.
 
 Defined cases: NULL and empty texts give no rows; a candidate at the same place of a repeated row is reported for each;
-a NULL ``doc_id`` is kept as NULL; an empty table, or no labelled findings, gives no rows, or candidates without a score.
+texts of any length are read whole; a NULL ``doc_id`` is kept as NULL; other columns don't matter; an empty table, or no labelled findings, gives no rows, or candidates without a score.
 """
 
 from __future__ import annotations
@@ -120,7 +120,7 @@ def made_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     digits = F.translate(F.concat(hexes, more), "abcdef", "123456")
     word = lambda k: pick(k, "the", "and", "value", "note", "from", "data", "page", "line", "with", "list", "report", "total")
     name = pick("name", "password", "passwd", "token", "secret", "api_key", "access_key", "auth")
-    gives = pick("gives", " = \"", "=", ": ", ": '", " = ")
+    gives = pick("gives", " = \"", "=", ": ", ": '", " = ", "\": \"")
     one = lambda c, g, n: F.struct(c.alias("c"), g.alias("g"), n.alias("n"))
     secret = F.array(
         one(F.concat(F.lit("AKIA"), letters), F.lit(" "), F.lit("")),
@@ -130,6 +130,7 @@ def made_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         one(F.concat(F.initcap(word("s1")), F.lit("@"), F.substring(digits, 1, 3), pick("s2", "!", "#", "$%", "?!"), F.substring(base64, 1, 3)), gives, name),
         one(F.concat(F.substring(base64, 3, 3), pick("s3", "!", "#", "", "$"), F.substring(digits, 1, 2)), gives, name),
         one(F.concat(F.lit("AKIA"), F.translate(letters, "0123456789", "QRSTUVWXYZ")), F.lit(" "), F.lit("")),
+        one(F.concat(word("s4"), F.substring(digits, 5, 1), F.translate(F.substring(more, 1, 6), "0123456789", "ghijklmnop")), gives, name),
     )
     harmless = F.array(
         one(F.substring(digits, 1, 16), F.lit(" "), pick("n1", "card", "order", "invoice", "", "", "")),
@@ -139,9 +140,10 @@ def made_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         one(F.concat_ws("_", word("w7"), word("w8"), word("w9")), gives, pick("n3", "token", "password", "auth")),
         one(word("v1"), gives, pick("n4", "token", "password", "auth", "secret")),
         one(F.concat_ws(".", word("v2"), F.concat(word("v3"), F.lit("()"))), gives, pick("n5", "token", "password", "auth")),
+        one(F.concat(F.lit("<your-"), word("v6"), F.lit(">")), gives, pick("n7", "token", "password", "api_key", "secret")),
         one(F.concat(F.lit("${"), F.upper(word("v4")), F.lit("_"), F.upper(word("v5")), F.lit("}")), gives, pick("n6", "token", "password", "api_key")),
     )
-    at = lambda a: F.element_at(a, (F.pmod(F.xxhash64("id", F.lit("kind")), F.lit(9)) + 1).cast("int"))
+    at = lambda a: F.element_at(a, (F.pmod(F.xxhash64("id", F.lit("kind")), F.lit(10)) + 1).cast("int"))
     label = F.col("id") % 2
     found = F.when(label == 1, at(secret)).otherwise(at(harmless))
     return spark.range(0, rows, 1, 4).select(

@@ -10,7 +10,8 @@ of whole documents of range partition P.  Every task writes its files under anot
 them when they are complete, so a repeated task leaves the same files.
 
 Defined cases: NULL and empty texts have only the end id; a NULL ``doc_id`` sorts first; repeated rows of a
-``doc_id`` are documents of their own, ordered by text; an empty table gives no files and no rows.
+``doc_id`` are documents of their own, ordered by text; a text of any length stays in one file; other columns don't matter;
+an empty table gives no files and no rows; a vocabulary file that splits text in another way is refused.
 """
 
 from __future__ import annotations

@@ -96,7 +96,7 @@ def shingle_set(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def near_by_force(texts):
+def near_by_force(texts, similarity=85):
     sets = {i: shingle_set(t) for i, t in texts.items()}
     root = {i: i for i in sets}
 
@@ -107,7 +107,7 @@ def near_by_force(texts):
 
     for a, b in itertools.combinations(sorted(sets), 2):
         both = len(sets[a] & sets[b])
-        if both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+        if both and 100 * both >= similarity * (len(sets[a]) + len(sets[b]) - both):
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i)) for i in sets}
