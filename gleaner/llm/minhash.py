@@ -224,8 +224,10 @@ def _confirm(batches, similarity: int):
         yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """The ``pairs(a, b)`` (written) whose full sets are similar enough."""
+def confirmed(pairs: DataFrame, docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """The ``pairs(a, b)`` (written) whose full sets are similar enough; only texts of documents in pairs are moved."""
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    texts = _by_text(docs).join(up_to(ids, BROADCAST_IDS), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", "th").alias("text"))
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     met = spread_join(pairs.join(left, "a"), right, "b", "a", counted=pairs)
@@ -258,8 +260,7 @@ def near_components(docs: DataFrame, similarity: int = SIMILARITY, chunk: int =
     distance = F.aggregate(errors(F.col("ca"), F.col("cb")), F.lit(0), lambda s, e: s + e)
     similar = (distance <= most_distance(chunk)) & can_be_similar(F.col("na"), F.col("nb"), F.col("ska"), F.col("skb"), similarity)
     near = spread_join(pairs.join(own.toDF("a", "na", "ca", "ska"), "a"), own.toDF("b", "nb", "cb", "skb"), "b", "a", counted=pairs).where(similar)
-    texts = _by_text(docs).join(shared.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", "th").alias("text"))
-    links = cut(confirmed(cut(near.select("a", "b")), texts, similarity))
+    links = cut(confirmed(cut(near.select("a", "b")), docs, similarity))
     roots = cut(components(links))
     # keys whose representatives are not all in one component: the pairs across components remain
     rooted = shared.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "place", "doc_id", F.coalesce("root", "doc_id").alias("root"))
@@ -273,7 +274,7 @@ def near_components(docs: DataFrame, similarity: int = SIMILARITY, chunk: int =
     first_key = few & ((F.get(wrong, at) == 1) | (place == 0))
     across = (F.col("ra") < F.col("rb")) & (100 * F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
     more = spread_join(x, y, "key", "a", least=ROWS_OF_A_KEY).where(across & first_key & similar).select("a", "b").distinct()
-    links = links.union(cut(confirmed(cut(more), texts, similarity))).union(copies)
+    links = links.union(cut(confirmed(cut(more), docs, similarity))).union(copies)
     roots = components(links).withColumnRenamed("node", "doc_id")
     return every.select("doc_id", "n_shingles").join(roots, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"),
