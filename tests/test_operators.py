@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators import batch, components, grouping, lifecycle, matching, state, telemetry
 from gleaner.plans import catalogue
-from gleaner.sources import exports, postings
+from gleaner.sources import exports, postings, replay
 from gleaner.streaming import changes
 
 AT = datetime.datetime(2024, 1, 31, tzinfo=datetime.UTC)
@@ -217,3 +217,30 @@ def test_profiles_as_briefs(spark):
     briefs = matching.brief_of_profile(profiles)
     assert {r["job_id"]: r["decision"] for r in matching.match(jobs, briefs).collect()} == {"1": "reject", "2": "possible_match", "3": "reject"}
     assert {r["job_id"] for r in matching.match(jobs, briefs, every_pair=False).collect()} == {"1", "2"}
+
+
+def test_replayed_payloads(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"board{i}.json").write_text(json.dumps({"jobs": [{"id": i, "title": f"Job {i}", "absolute_url": f"https://x.io/jobs/{i}"}]}))
+    spark.dataSource.register(replay.PayloadSource)
+    rows = spark.read.format("replayed-payloads").load("file://" + str(tmp_path))
+    good, bad = postings.postings(rows, "greenhouse")
+    assert {(r["source_board_id"], r["title"]) for r in good.collect()} == {(f"board{i}", f"Job {i}") for i in range(3)} and bad.count() == 0
+
+
+def test_bounded_reads_fail_closed(spark, tmp_path):
+    rows = spark.createDataFrame([("abc",)] * 5, "text string")
+    assert replay.bounded(rows, 5, 15, "text").count() == 5
+    for most_rows, most_bytes in ((4, 100), (5, 14)):
+        with pytest.raises(ValueError):
+            replay.bounded(rows, most_rows, most_bytes, "text")
+    (tmp_path / "brief.json").write_text('{"client_id": "c",\n "roles": ["a"]}')
+    assert replay.configuration(spark, str(tmp_path / "brief.json"), "client_id string, roles array<string>").first()["roles"] == ["a"]
+
+
+def test_page_strides_come_to_every_page(spark):
+    import math
+
+    names = spark.range(200).select(F.concat(F.lit("n"), "id").alias("name"), (F.col("id") % 60 + 1).alias("pages"))
+    for r in names.select("pages", replay.page_stride(F.col("name"), F.col("pages")).alias("s"), replay.start_page(F.col("name"), F.col("pages")).alias("p")).collect():
+        assert math.gcd(r["s"], r["pages"]) == 1 and 0 <= r["p"] < r["pages"]
