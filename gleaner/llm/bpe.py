@@ -23,7 +23,7 @@ from gleaner.llm.common import small_batches, table
 from gleaner.llm.pretokens import load, pretokens, splitter, vocabulary_path
 
 #: Words whose tokens a worker remembers.
-MEMORY = 800_000
+MEMORY = 400_000
 _DONE = 1 << 62
 
 

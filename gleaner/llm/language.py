@@ -33,9 +33,10 @@ BLOCK = 16 << 10
 SETTINGS = {"window_log": 18, "chain_log": 15, "hash_log": 15, "search_log": 2, "min_match": 4, "target_length": 16, "strategy": zstandard.STRATEGY_LAZY, "write_content_size": 0, "write_dict_id": 0}
 #: A score below this is a rejection.
 MIN_SCORE = 0.004
-#: What counts as a word character and is no letter: digits, numerals, fractions.
-_OTHERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
-WORD = re.compile(rf"[^\W_{_OTHERS}]+")
+WORD = re.compile(r"[^\W\d_]+")
+#: What the pattern takes for letters and are none: numerals, fractions.
+_OTHERS = {c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()}
+_BLANKED = dict.fromkeys(map(ord, _OTHERS), " ")
 #: Training text that a language needs.
 LEAST_BYTES = 8
 
@@ -44,7 +45,10 @@ PREDICTION = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructF
 
 def letters(text: str) -> bytes:
     """The text's words of letters in lower case, a space after each; empty if it has no letter."""
-    return "".join(w + " " for w in WORD.findall(text.lower())).encode("utf-8", "replace")
+    low = text.lower()
+    if not low.isascii() and not _OTHERS.isdisjoint(low):
+        low = low.translate(_BLANKED)
+    return "".join(w + " " for w in WORD.findall(low)).encode("utf-8", "replace")
 
 
 def held_out(doc_id) -> "F.Column":

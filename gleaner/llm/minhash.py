@@ -27,7 +27,6 @@ a NULL ``doc_id`` is linked with nothing and stays; other columns don't matter;
 from __future__ import annotations
 
 from functools import partial
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,14 +58,13 @@ _MASK = _RNG.integers(1, 2**63, (CHUNKS, CHUNK), dtype=np.uint64)
 
 
 class WordHashes(dict):
-    """128-bit hashes of words as two numbers of 64 bits; emptied when it gets large."""
+    """128-bit hashes of words, as bytes; emptied when it gets large."""
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
-        if len(self) > 300_000:
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) > 200_000:
             self.clear()
-        h = xxhash.xxh3_128_intdigest(word)
-        self[word] = pair = (h >> 64, h & (1 << 64) - 1)
-        return pair
+        self[word] = h = xxhash.xxh3_128_digest(word)
+        return h
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -81,7 +79,7 @@ def shingles(text: str | None, hashes: WordHashes) -> tuple[np.ndarray, np.ndarr
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    h = np.fromiter(chain.from_iterable(map(hashes.__getitem__, words)), np.uint64, 2 * len(words)).reshape(-1, 2)
+    h = np.frombuffer(b"".join(map(hashes.__getitem__, words)), "<u8").reshape(-1, 2)
     if len(h) < WORDS:
         total = (h * _MIX[: len(h), None]).sum(axis=0, keepdims=True) + np.uint64(len(h))
     else:

@@ -37,7 +37,7 @@ RUN = 512
 FIRST, NEXT = 8, 4
 MAGIC = b"GLNDAC01"
 #: Words whose tokens a worker remembers.
-MEMORY = 600_000
+MEMORY = 400_000
 END_ID = 0
 
 
