@@ -125,3 +125,52 @@ def sheet_id(value: Column) -> Column:
     raw = F.trim(value)
     inside = F.regexp_extract(raw, r"^https://docs[.]google[.]com/spreadsheets/d/([A-Za-z0-9_-]+)(?:[/?#].*)?$", 1)
     return F.when(inside != "", inside).when(raw.rlike("^[A-Za-z0-9_-]{20,}$"), raw)
+
+
+# Countries whose codes are understood in a provider's country field, and other ways to write them.
+CODED = ["US", "GB", "NG", "IN", "CA", "IT", "LU", "IE", "ES", "NL", "DE", "DK", "PT", "FR", "SG", "AU", "JP", "PL", "AT", "IL"]
+ALIASES = {"U.S.": "US", "U.S.A.": "US", "United States of America": "US", "UK": "GB", "U.K.": "GB"}
+# What a country field may say that is no country.
+REGIONS = [
+    "european union", "europe", "africa", "asia", "north america", "south america", "latin america", "americas", "global", "worldwide", "remote", "international", "anywhere", "unknown",
+    "amer", "emea", "apac", "latam", "mena",
+]
+# Country codes that one provider uses, and countries that a client can choose.
+CODES_OF_LISTS = ["AT", "CA", "DE", "GB", "IE", "NG", "SG", "US"]
+CHOICES = {"NG": ["nigeria", "ng", "nga"], "IN": ["india"], "GB": ["uk", "unitedkingdom"], "CA": ["canada"], "US": ["us", "usa", "unitedstates", "unitedstatesofamerica"]}
+
+
+def _named(said: dict[str, str]) -> Column:
+    """A map literal from lower-case text to the name of the country whose code is given."""
+    locale = SparkSession.active()._jvm.java.util.Locale
+    return F.create_map(*[F.lit(x) for text, code in said.items() for x in (text.lower(), locale("", code).getDisplayCountry(locale.ENGLISH))])
+
+
+def _every_way() -> dict[str, str]:
+    locale = SparkSession.active()._jvm.java.util.Locale
+    known = {text: code for code in CODED for text in (code, locale("", code).getISO3Country(), locale("", code).getDisplayCountry(locale.ENGLISH))}
+    return known | ALIASES
+
+
+def structured_countries(value: Column) -> Column:
+    """Countries that a structured field names: a known code or name, else names within it, else any other name that is no region."""
+    plain = F.trim(F.coalesce(value, F.lit("")))
+    known = F.try_element_at(_named(_every_way()), F.lower(plain))
+    inside = location(plain, F.lit(None).cast("array<string>"))["countries"]
+    name = (F.length(plain) > 3) & ~F.lower(plain).isin(REGIONS) & plain.rlike(r"^\p{L}+(?:[ '-]\p{L}+)*$")
+    return F.when(known.isNotNull(), F.array(known)).when(F.size(inside) > 0, inside).when(name, F.array(plain)).otherwise(F.array().cast("array<string>"))
+
+
+def listed_country(code: Column, inferred: Column) -> Column:
+    """Countries of a posting with a country code: that one if it is known, none if it isn't, the inferred ones without a code."""
+    said = F.trim(F.coalesce(code, F.lit("")))
+    known = F.try_element_at(_named({c: c for c in CODES_OF_LISTS}), F.lower(said))
+    return F.when(said == "", inferred).otherwise(F.array_compact(F.array(known)))
+
+
+def chosen_country(value: Column) -> Column:
+    """struct(country, valid) of a client's choice, whatever its punctuation; "any" and blank choose none."""
+    key = F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), "[^a-z0-9]+", "")
+    known = F.try_element_at(_named({text: code for code, texts in CHOICES.items() for text in texts}), key)
+    free = F.trim(F.lower(F.coalesce(value, F.lit("")))).isin("", "any")
+    return F.struct(F.when(~free, known).alias("country"), (free | known.isNotNull()).alias("valid"))

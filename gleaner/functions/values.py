@@ -146,3 +146,25 @@ def status_class(code: Column) -> Column:
         F.when(code.between(200, 299), "success").when(code.isin(404, 410), "missing").when(code == 429, "rate_limited")
         .when(code.isin(502, 503, 504), "unavailable").otherwise("failed")
     )
+
+
+def failure_class(error: Column) -> Column:
+    """A short name of an error text, from what follows its first colon."""
+    detail = F.when(F.contains(error, F.lit(": ")), error.substr(F.locate(": ", error) + 2, F.length(error))).otherwise(error)
+    name = F.replace(F.lower(F.trim(detail)), F.lit(" "), F.lit("_"))
+    http = F.concat(F.lit("http_"), F.trim(F.regexp_replace(detail, "^HTTP ", "")))
+    return F.when(F.startswith(detail, F.lit("HTTP ")), http).when(name == "", "unknown").otherwise(name)
+
+
+def id_of_path(path: Column) -> Column:
+    """The provider's id at the end of a posting's path, after the last underscore; NULL without one."""
+    return F.nullif(F.when(F.contains(path, F.lit("_")), F.substring_index(path, "_", -1)), F.lit(""))
+
+
+def site_outcome(failure: Column, rows: Column, status: Column) -> Column:
+    """What became of a site: its last transport failure, an empty but valid board, or the board's own status."""
+    return (
+        F.when(F.contains(failure, F.lit("Timeout")), "request_timeout").when(F.contains(failure, F.lit("Connect")) | F.contains(failure, F.lit("Network")), "connection_failure")
+        .when(F.startswith(failure, F.lit("HTTP ")), "http_failure").when(failure == "expected JSON list of objects", "malformed_unexpected_payload")
+        .when(failure.isNotNull(), "other_operational_failure").when(rows == 0, "empty_valid_board").otherwise(status)
+    )

@@ -42,6 +42,22 @@ def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
     return inside.join(F.broadcast(before.select("__part", "__before")), "__part").withColumn(name, F.col("__n") + F.col("__before")).drop("__part", "__n", "__before", *names)
 
 
+def ranked(rows: DataFrame, groups: list[str], order: list, name: str, total: str | None = None) -> DataFrame:
+    """``rows`` with their number, from 1, in their group, and with ``total`` the group's size: as ``numbered``, so that a group with
+    most of the rows is sorted by many tasks."""
+    names = [f"__o{i}" for i in range(len(order))]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = cut(rows.withColumns(dict(zip(names, order))).repartitionByRange(parts, *groups, *names).withColumn("__part", F.spark_partition_id()))
+    inside = spread.withColumn("__n", F.row_number().over(Window.partitionBy("__part", *groups).orderBy(*names)))
+    own = Window.partitionBy(*groups)  # over a row per partition that the group is in
+    counts = spread.groupBy(*groups, "__part").agg(F.count("*").alias("__c"))
+    before = counts.select(*groups, "__part", F.coalesce(F.sum("__c").over(own.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__c").over(own).alias("__all"))
+    same = [inside["__part"] == before["__part"], *[inside[g].eqNullSafe(before[g]) for g in groups]]
+    met = inside.join(before, same).drop(before["__part"], *[before[g] for g in groups])
+    met = met.withColumn(name, F.col("__n") + F.col("__before"))
+    return (met.withColumn(total, F.col("__all")) if total else met).drop("__part", "__n", "__before", "__all", *names)
+
+
 def assemble(candidates: DataFrame, quota: int, cap: int | None, max_hours: int, unknown_policy: str, at, include_review: bool = False) -> DataFrame:
     """``candidates`` with their ``disposition`` and, for selected ones, ``ordinal``.
 

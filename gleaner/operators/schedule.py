@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gleaner.operators.batch import ranked
 from gleaner.plans.shared import cut
 
 
@@ -14,22 +15,27 @@ def by_digest(*ids: Column) -> list[Column]:
 
 def shards(targets: DataFrame, source: str, target: str, n: int) -> DataFrame:
     """``shard`` 0 to n - 1 of each target: round robin within its source, in digest order."""
-    place = F.row_number().over(Window.partitionBy(source).orderBy(*by_digest(F.col(target))))
-    return targets.withColumn("shard", (place - 1) % n)
+    placed = ranked(targets, [source], by_digest(F.col(target)), "__r")
+    return placed.withColumn("shard", (F.col("__r") - 1) % n).drop("__r")
 
 
 def ring(targets: DataFrame, source: str, target: str, limit: Column, cohort: int) -> DataFrame:
     """Each source's targets whose turn it is in a cohort: ``limit`` places of a ring, moving on by as many each time."""
-    own = Window.partitionBy(source)
-    place = F.row_number().over(own.orderBy(*by_digest(F.col(target)))) - 1
-    n = F.count("*").over(own)
-    return targets.withColumn("__p", place).withColumn("__n", n).where(F.pmod(F.col("__p") - cohort * limit, F.col("__n")) < limit).drop("__p", "__n")
+    placed = ranked(targets, [source], by_digest(F.col(target)), "__p", "__n")
+    return placed.where(F.pmod(F.col("__p") - 1 - cohort * limit, F.col("__n")) < limit).drop("__p", "__n")
+
+
+#: Parts of a source that are sorted on their own before their first ones are compared.
+PARTS = 64
 
 
 def oldest_due(targets: DataFrame, source: str, target: str, due: Column, limit: int) -> DataFrame:
     """The first ``limit`` targets of each source by the time they are due; never seen ones come first."""
-    place = F.row_number().over(Window.partitionBy(source).orderBy(F.asc_nulls_first(due), *by_digest(F.col(target))))
-    return targets.withColumn("due_rank", place).where(F.col("due_rank") <= limit)
+    order = [F.asc_nulls_first(due), *by_digest(F.col(target))]
+    place = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    parted = targets.withColumn("__part", F.pmod(F.xxhash64(target), F.lit(PARTS)))
+    some = parted.withColumn("due_rank", place(source, "__part")).where(F.col("due_rank") <= limit).drop("__part")
+    return some.withColumn("due_rank", place(source)).where(F.col("due_rank") <= limit)
 
 
 def within_budget(rows: DataFrame, order: list, cost: str, budget: float) -> DataFrame:
@@ -51,9 +57,7 @@ def within_budget(rows: DataFrame, order: list, cost: str, budget: float) -> Dat
 
 def even_sample(rows: DataFrame, group: str, order: list, n: int) -> DataFrame:
     """``n`` evenly spaced ranks of each group, its first and last among them."""
-    own = Window.partitionBy(group)
-    placed = rows.withColumn("__r", F.row_number().over(own.orderBy(*order))).withColumn("__n", F.count("*").over(own))
-    ranks = F.when(F.col("__n") <= n, F.sequence(F.lit(1), F.col("__n").cast("int"))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (F.floor(i * (F.col("__n") - 1) / (n - 1)) + 1).cast("int"))
-    )
-    return placed.where(F.array_contains(ranks, F.col("__r"))).withColumnRenamed("__r", "rank").drop("__n")
+    placed = ranked(rows, [group], order, "rank", "__n")
+    step = lambda i: F.floor(i * (F.col("__n") - 1) / (n - 1)) + 1
+    chosen = F.exists(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: step(i) == F.col("rank"))
+    return placed.where((F.col("__n") <= n) | chosen).withColumn("rank", F.col("rank").cast("int")).drop("__n")

@@ -65,8 +65,8 @@ def shard_counts(targets: DataFrame, source: str, per_shard: int, most: int) ->
 
 def stable_sample(targets: DataFrame, source: str, target: str, n: int) -> DataFrame:
     """The first ``n`` targets of each source in digest order: the same ones each time, whatever comes later."""
-    place = F.row_number().over(Window.partitionBy(source).orderBy(*by_digest(F.col(target))))
-    return targets.withColumn("place", place).where(F.col("place") <= n)
+    first = oldest_due(targets, source, target, F.lit(None).cast("timestamp"), n)  # the digest decides
+    return first.withColumnRenamed("due_rank", "place")
 
 
 def request_cost(rows: Column, capped: Column, page: int = 20) -> Column:

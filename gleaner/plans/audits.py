@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from gleaner.functions import values as V
+from gleaner.functions import places, values as V
 from gleaner.operators import read_api, schedule, state
 from gleaner.plans.catalogue import _AT, _DIGEST, _JOBS, events, matches, micros, now, query, read
 from gleaner.sources import replay
@@ -193,3 +193,57 @@ def event_history(spark, sf):
 @query("SELECT o_orderkey, substr(o_orderpriority, 1, 1) AS id FROM orders WHERE o_custkey = 7 AND o_orderstatus = 'F'")
 def idempotency_lookup(spark, sf):
     return read(spark, sf, "orders").where("o_custkey = 7 AND o_orderstatus = 'F'").select("o_orderkey", F.substring("o_orderpriority", 1, 1).alias("id"))
+
+
+@query("SELECT doc_id, CASE lang WHEN 'de' THEN 'Germany' WHEN 'fr' THEN 'France' WHEN 'es' THEN 'Spain' END AS country FROM documents")
+def structured_country_names(spark, sf):
+    """Languages of all documents as what a country field says."""
+    return read(spark, sf, "documents").select("doc_id", F.get(places.structured_countries(F.col("lang")), F.lit(0)).alias("country"))
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'en' THEN 'United States' END AS country, lang = 'en' OR lang IS NULL AS valid FROM documents")
+def chosen_countries(spark, sf):
+    said = places.chosen_country(F.replace("lang", F.lit("en"), F.lit(" U.S.A. ")))
+    return read(spark, sf, "documents").select("doc_id", said["country"].alias("country"), said["valid"].alias("valid"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 4 = 0 THEN 'http_' || l_suppkey ELSE 'read_timed_out' END AS class, CAST(l_partkey AS VARCHAR) AS id FROM lineitem")
+def failure_classes(spark, sf):
+    error = F.when(F.col("l_partkey") % 4 == 0, F.concat(F.lit("GET failed: HTTP "), F.col("l_suppkey").cast("string"))).otherwise("GET failed: Read timed out ")
+    path = F.concat(F.lit("/job/Paris/Data_Engineer_"), F.col("l_partkey").cast("string"))
+    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", V.failure_class(error).alias("class"), V.id_of_path(path).alias("id"))
+
+
+@query("""SELECT o_orderpriority, outcome, count(*) AS n FROM (SELECT o_orderpriority, CASE o_orderkey % 5 WHEN 0 THEN 'request_timeout' WHEN 1 THEN 'http_failure' WHEN 2 THEN 'connection_failure' ELSE CASE WHEN o_custkey % 7 = 0 THEN 'empty_valid_board' ELSE o_orderstatus END END AS outcome FROM orders) GROUP BY 1, 2""")
+def site_outcomes(spark, sf):
+    failure = F.element_at(F.array(*map(F.lit, ["ReadTimeout", "HTTP 503", "ConnectError", None, None])), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    outcome = V.site_outcome(failure, F.col("o_custkey") % 7, F.col("o_orderstatus"))
+    return read(spark, sf, "orders").groupBy("o_orderpriority", outcome.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH m AS (SELECT event_type AS board, count(*) AS postings, count(*) FILTER (WHERE value > 20) AS matched, count(DISTINCT user_id) FILTER (WHERE value > 20) AS employers, count(*) FILTER (WHERE value > 20 AND user_id % 10 = 0) AS suppressed FROM events GROUP BY 1)
+SELECT board, postings, matched, employers, suppressed, matched - suppressed AS delivered FROM m""")
+def board_metrics(spark, sf):
+    good, held = F.col("value") > 20, F.col("user_id") % 10 == 0
+    m = events(spark, sf).groupBy(F.col("event_type").alias("board")).agg(
+        F.count("*").alias("postings"), F.count_if(good).alias("matched"), F.count_distinct(F.when(good, F.col("user_id"))).alias("employers"), F.count_if(good & held).alias("suppressed"))
+    return m.withColumn("delivered", F.col("matched") - F.col("suppressed"))
+
+
+@query("""
+SELECT o_custkey, count(*) AS items, count(*) = max(rn) AS whole, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY rn) AS frozen FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders WHERE o_orderstatus = 'F') GROUP BY 1""")
+def frozen_batches(spark, sf):
+    """The frozen items of each batch by ordinal, and whether none is missing."""
+    own = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    o = read(spark, sf, "orders").where("o_orderstatus = 'F'").withColumn("rn", F.row_number().over(own))
+    items = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", "o_orderkey"))), lambda x: x["o_orderkey"].cast("string")), ",")
+    return o.groupBy("o_custkey").agg(F.count("*").alias("items"), (F.count("*") == F.max("rn")).alias("whole"), items.alias("frozen"))
+
+
+@query("""SELECT u.s_suppkey IS NULL AS only_health, h.l_suppkey IS NULL AS only_universe, count(*) AS n FROM (SELECT DISTINCT s_suppkey FROM supplier) u FULL JOIN (SELECT DISTINCT l_suppkey FROM lineitem) h ON h.l_suppkey = u.s_suppkey GROUP BY 1, 2""")
+def universe_against_health(spark, sf):
+    """Whether two sets of targets are the same: what only one of them has."""
+    h = read(spark, sf, "lineitem").select("l_suppkey").distinct()
+    met = read(spark, sf, "supplier").select("s_suppkey").distinct().join(h, F.col("s_suppkey") == F.col("l_suppkey"), "full")
+    return met.groupBy(F.col("s_suppkey").isNull().alias("only_health"), F.col("l_suppkey").isNull().alias("only_universe")).agg(F.count("*").alias("n"))

@@ -298,12 +298,10 @@ def experience_years_of_texts(spark, sf):
     return read(spark, sf, "documents").select("doc_id", T.required_years(F.col("text")).alias("years"))
 
 
-_NATIONS = "ALGERIA DZ, ARGENTINA AR, BRAZIL BR, CANADA CA, EGYPT EG, ETHIOPIA ET, FRANCE FR, GERMANY DE, INDIA IN, INDONESIA ID, IRAN IR, IRAQ IQ, JAPAN JP, JORDAN JO, KENYA KE, MOROCCO MA, MOZAMBIQUE MZ, PERU PE, CHINA CN, ROMANIA RO, SAUDI ARABIA SA, VIETNAM VN, RUSSIA RU, UNITED KINGDOM GB, UNITED STATES US".split(", ")
-
-
-@query(f"SELECT n_nationkey, code FROM nation LEFT JOIN (VALUES {', '.join(f'({x[:-3]!r}, {x[-2:]!r})' for x in _NATIONS)}) AS c(name, code) ON name = n_name")
+@query("SELECT doc_id, CASE WHEN lang IN ('de', 'fr', 'es') THEN upper(lang) END AS code FROM documents")
 def country_alias_lookup(spark, sf):
-    return places.with_country(read(spark, sf, "nation"), F.col("n_name")).select("n_nationkey", F.col("country_code").alias("code"))
+    """The languages of all documents looked up among the world's country codes and names."""
+    return places.with_country(read(spark, sf, "documents"), F.col("lang")).select("doc_id", F.col("country_code").alias("code"))
 
 
 _ESCAPED = """array_to_string(list_transform(string_split({0}, ''), lambda c: CASE WHEN c = '"' THEN '\\"' WHEN c = '\\' THEN '\\\\' WHEN unicode(c) BETWEEN 32 AND 126 THEN c
