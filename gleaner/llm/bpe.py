@@ -13,6 +13,7 @@ columns don't matter; an empty table gives no rows; a vocabulary file that split
 from __future__ import annotations
 
 import hashlib
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -138,7 +139,7 @@ class Merger:
 
 
 class Codec(dict):
-    """Encoder and decoder of one vocabulary file; as a dictionary, the tokens of words met lately."""
+    """Encoder and decoder of one vocabulary file; as a dictionary, the tokens of words met lately, as bytes of 32-bit ids."""
 
     def __init__(self, path: str):
         self.pieces, self.byte_ids, self.ranks, self.merged, self.special = load(path)
@@ -154,18 +155,18 @@ class Codec(dict):
         data = [w.encode("utf-8", "replace") for w in new]
         short = [i for i, d in enumerate(data) if len(d) <= WIDEST]
         for i, ids in zip(short, self.merger([data[i] for i in short])):
-            self[new[i]] = ids
+            self[new[i]] = array("i", ids).tobytes()
         for w, d in zip(new, data):
             if len(d) > WIDEST:
-                self[w] = merge([self.byte_ids[b] for b in d], self.ranks, self.merged)
+                self[w] = array("i", merge([self.byte_ids[b] for b in d], self.ranks, self.merged)).tobytes()
 
     def encode_all(self, texts: list[str | None]) -> list[list[int]]:
         split = [self.cut.split(t or "") if self.cut else [t or ""] for t in texts]
         words = [[[part] if part in self.special else pretokens(part) for part in parts] for parts in split]
-        self.update((s, [i]) for s, i in self.special.items())
+        self.update((s, array("i", [i]).tobytes()) for s, i in self.special.items())
         self.learn({w for text in words for part in text for w in part})
-        self.update((s, [i]) for s, i in self.special.items())
-        return [list(chain.from_iterable(map(self.__getitem__, chain.from_iterable(text)))) for text in words]
+        self.update((s, array("i", [i]).tobytes()) for s, i in self.special.items())
+        return [np.frombuffer(b"".join(map(self.__getitem__, chain.from_iterable(text))), np.int32).tolist() for text in words]
 
     def encode(self, text: str | None) -> list[int]:
         return self.encode_all([text])[0]
