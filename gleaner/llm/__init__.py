@@ -1,4 +1,4 @@
-"""Training-data operators: the ten corpus operators and their registered queries.
+"""Training-data operators: the corpus operators and their registered queries.
 
 ``queries()`` maps a query name to ``(spark, sf_dir) -> DataFrame``; ``oracle_sql()`` maps the names whose
 result plain SQL can express to that SQL.  Nothing outside this subpackage (and ``corpus_pipeline.py``)
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("language", "exact", "minhash", "decontaminate", "bpe", "tokens", "pii", "urls", "lines", "secrets")
+MODULES = ("language", "exact", "minhash", "decontaminate", "bpe", "tokens", "pii", "urls", "lines", "secrets", "periodic")
 
 
 def queries():
