@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("language", "exact", "minhash", "decontaminate", "bpe", "tokens", "pii", "urls", "lines", "secrets", "periodic", "divergence")
+MODULES = ("language", "exact", "minhash", "decontaminate", "bpe", "tokens", "pii", "urls", "lines", "secrets", "periodic", "divergence", "packing")
 
 
 def queries():
