@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from gleaner.plans import audits, catalogue, more  # noqa: F401
+from gleaner.plans import audits, catalogue, joins, more  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
