@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gleaner.functions import text as T
 from gleaner.operators import matching
 from gleaner.plans.catalogue import query, read
 
@@ -51,3 +52,20 @@ def retained_bindings(spark, sf):
     """Parts that some customer's brief could take and doesn't exclude, by brand."""
     bound = matching.bindings(part_postings(spark, sf), customer_briefs(spark, sf), "parts")
     return bound.select("board_id", F.array_join("source_job_ids", ",").alias("job_ids"), F.size("source_job_ids").cast("long").alias("n"))
+
+
+# -- labelled evidence ----------------------------------------------------------------------------------------------------
+
+_SAID = ["At least {} years of experience.", "About {} years of experience", "{} years are preferred", "We were founded {} years ago.", "{} years", "{}+ years\n- {} or more years in sales"]
+_KINDS = "CASE l_linenumber % 6 WHEN 0 THEN 'mandatory' WHEN 1 THEN 'ambiguous' WHEN 2 THEN 'preferred' WHEN 5 THEN 'mandatory' END"
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, {_KINDS} AS kind, CAST(l_quantity AS INT) AS minimum_years, CASE l_linenumber % 6 WHEN 0 THEN 'At least ' || n || ' years of experience.' WHEN 1 THEN 'About ' || n || ' years of experience'
+ WHEN 2 THEN n || ' years are preferred' ELSE CASE i WHEN 1 THEN n || '+ years' ELSE n || ' or more years in sales' END END AS source_text
+FROM (SELECT *, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS n FROM lineitem), (SELECT unnest([1, 2]) AS i) WHERE l_quantity < 100 AND {_KINDS} IS NOT NULL AND (i = 1 OR l_linenumber % 6 = 5)""")
+def experience_evidence(spark, sf):
+    """Labelled numbers of years of postings made of lines, which say them in six ways."""
+    rows = read(spark, sf, "lineitem").where("l_quantity < 100")
+    n = F.col("l_quantity").cast("int").cast("string")
+    said = F.element_at(F.array(*[F.replace(F.lit(x), F.lit("{}"), n) for x in _SAID]), (F.col("l_linenumber") % 6 + 1).cast("int"))
+    return rows.select("l_orderkey", "l_linenumber", F.explode(T.experience_evidence(said)).alias("e")).select("l_orderkey", "l_linenumber", "e.kind", "e.minimum_years", "e.source_text")
