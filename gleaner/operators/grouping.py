@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gleaner.functions import places, text as T, values as V
+from gleaner.operators.bloom import thinned
 from gleaner.operators.components import components
 from gleaner.plans.shared import cut
 
@@ -79,6 +80,48 @@ def delivery_groups(keys: DataFrame, existing: DataFrame) -> tuple[DataFrame, Da
     return ids, merged.where("from_group != to_group")
 
 
+def assign(batch: DataFrame, members: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups of a batch of postings that arrive one after another, and the groups that they join.
+
+    ``batch`` has id (once each), position, own_group (the id of a group of its own) and an array ``keys`` of (kind, value);
+    ``members(id, group_id)`` and ``keys(id, kind, value)`` are what is stored.  A posting joins its own group, the one it is in already,
+    and those of the postings that hold one of its keys when it arrives: a stored posting of the same batch holds its old keys until its own
+    position and its new ones from then on.  Joined groups are one from then on, under the smallest id.
+
+    Returns ``id, group_id`` of the batch, and ``from_group, to_group`` of stored groups that go.  The graph has the batch's postings, their
+    keys and the groups that hold these keys; what is stored is only scanned, and a Bloom filter keeps all else out of the shuffle.
+    """
+    arriving = cut(batch.select("id", "position", "own_group", "keys"))
+    said = arriving.select("id", "position", "own_group", F.explode("keys").alias("k")).select("id", "position", "own_group", "k.kind", "k.value")
+    key = F.concat_ws("\0", "kind", "value")
+    first = cut(said.groupBy("kind", "value").agg(F.min("position").alias("first")))
+    holders = thinned(keys.select("id", "kind", "value"), key, first.select(key)).join(first, ["kind", "value"])
+    before = holders.join(arriving.select("id", "position"), "id", "left").where("position IS NULL OR position > first")
+    held = cut(before.select("id", "kind", "value"))
+    known = cut(held.select("id").union(arriving.select("id")).distinct())
+    stored = cut(thinned(members.select("id", "group_id"), F.col("id"), known).join(known, "id"))
+    node = F.concat(F.lit("k:"), F.sha2(key, 256))
+    group = lambda c: F.concat(F.lit("g:"), c)
+    links = (
+        said.select(node.alias("a"), group(F.col("own_group")).alias("b"))
+        .union(held.join(stored, "id").select(node, group(F.col("group_id"))))
+        .union(arriving.join(stored, "id").select(group(F.col("own_group")), group(F.col("group_id"))))
+    )
+    roots = cut(components(links).where(F.startswith("node", F.lit("g:"))).select(F.substring("node", 3, 1 << 30).alias("group"), F.substring("root", 3, 1 << 30).alias("root")))
+    found = arriving.join(roots.withColumnRenamed("group", "own_group"), "own_group", "left").select("id", F.coalesce("root", "own_group").alias("group_id"))
+    merged = stored.select(F.col("group_id").alias("group")).distinct().join(roots, "group").where("group != root")
+    return cut(found), cut(merged.select(F.col("group").alias("from_group"), F.col("root").alias("to_group")))
+
+
+def assigned(batch: DataFrame, members: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is stored after a batch: members, keys, and the groups merged by it."""
+    found, merged = assign(batch, members, keys)
+    moved = members.join(found.select("id"), "id", "left_anti").join(merged.withColumnRenamed("from_group", "group_id"), "group_id", "left")
+    new_keys = batch.select("id", F.explode("keys").alias("k")).select("id", "k.kind", "k.value").distinct()
+    kept = keys.join(batch.select("id"), "id", "left_anti").select("id", "kind", "value")
+    return cut(moved.select("id", F.coalesce("to_group", "group_id").alias("group_id")).union(found)), cut(kept.union(new_keys)), merged
+
+
 def representative_order() -> list[Column]:
     """The order in which a group's postings represent it: direct application, longest description, richest, newest, then names."""
     rich = sum((F.coalesce((x if isinstance(x, Column) else (F.col(x) != "")).cast("int"), F.lit(0)) for x in (F.size("eligible_countries") > 0, "department", "employment_type", "city", "region")), F.lit(0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
-from gleaner.operators import matching
+from gleaner.operators import grouping, matching
 from gleaner.plans.catalogue import query, read
 
 
@@ -69,3 +69,21 @@ def experience_evidence(spark, sf):
     n = F.col("l_quantity").cast("int").cast("string")
     said = F.element_at(F.array(*[F.replace(F.lit(x), F.lit("{}"), n) for x in _SAID]), (F.col("l_linenumber") % 6 + 1).cast("int"))
     return rows.select("l_orderkey", "l_linenumber", F.explode(T.experience_evidence(said)).alias("e")).select("l_orderkey", "l_linenumber", "e.kind", "e.minimum_years", "e.source_text")
+
+
+# -- groups that go on from batch to batch ------------------------------------------------------------------------------------
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders WHERE o_custkey IS NOT NULL), a AS (SELECT xor(c, 1) AS c, min(k) AS first FROM o WHERE k % 10 = 0 GROUP BY 1),
+j AS (SELECT DISTINCT o.c - o.c % 2 AS pair FROM o JOIN a ON o.c = a.c WHERE o.k % 10 <> 0 OR o.k > a.first),
+g AS (SELECT k, CASE WHEN pair IS NULL THEN c ELSE pair END AS g FROM o LEFT JOIN j ON pair = c - c % 2)
+SELECT k AS o_orderkey, min(lpad(CAST(k AS VARCHAR), 12, '0')) OVER (PARTITION BY g, c_or_pair) AS group_id FROM (SELECT k, g, CASE WHEN pair_joined THEN 'p' ELSE 'c' END AS c_or_pair FROM (SELECT g.k, g.g, j.pair IS NOT NULL AS pair_joined FROM g LEFT JOIN o ON o.k = g.k LEFT JOIN j ON j.pair = o.c - o.c % 2))""")
+def incremental_groups(spark, sf):
+    """Orders in three batches: even and odd ones with their customer as key, then every tenth again with the neighbouring customer."""
+    orders = read(spark, sf, "orders").where("o_custkey IS NOT NULL")
+    name = F.lpad(F.col("o_orderkey").cast("string"), 12, "0")
+    members, keys = spark.createDataFrame([], "id string, group_id string"), spark.createDataFrame([], "id string, kind string, value string")
+    for some, key in (("o_orderkey % 2 = 0", F.col("o_custkey")), ("o_orderkey % 2 = 1", F.col("o_custkey")), ("o_orderkey % 10 = 0", F.col("o_custkey").bitwiseXOR(F.lit(1)))):
+        batch = orders.where(some).select(name.alias("id"), F.col("o_orderkey").alias("position"), name.alias("own_group"), F.array(F.struct(F.lit("customer").alias("kind"), key.cast("string").alias("value"))).alias("keys"))
+        members, keys, _ = grouping.assigned(batch, members, keys)
+    return members.select(F.col("id").cast("long").alias("o_orderkey"), "group_id")
