@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
-from gleaner.operators import grouping, matching
-from gleaner.plans.catalogue import query, read
+from gleaner.operators import grouping, matching, temporal
+from gleaner.plans.catalogue import events, query, read
 
 
 # -- briefs that meet postings by an index --------------------------------------------------------------------------------
@@ -39,8 +39,8 @@ def customer_briefs(spark, sf):
     return briefs.join(profiles.select("client_id", "preferred_terms", "excluded_titles"), "client_id")
 
 
-@query(f"""WITH {_BRIEFS} SELECT CAST(p_partkey AS VARCHAR) AS job_id, client_id, CASE WHEN contains(t, other) OR d = avoid THEN 'reject' WHEN d = liked THEN 'strong_match' ELSE 'possible_match' END AS decision
-FROM w JOIN q ON contains(t, role)""")
+@query(f"""WITH {_BRIEFS} SELECT CAST(p_partkey AS VARCHAR) AS job_id, client_id, CASE WHEN contains(t, other) OR contains(body, ' ' || avoid || ' ') THEN 'reject' WHEN contains(body, ' ' || liked || ' ') THEN 'strong_match' ELSE 'possible_match' END AS decision
+FROM (SELECT *, ' ' || regexp_replace(t || ' ' || coalesce(d, ''), '[^a-z0-9_]+', ' ', 'g') || ' ' AS body FROM w) JOIN q ON contains(t, role)""")
 def brief_index_join(spark, sf):
     """A brief for every customer against every part, pairs only where a role occurs."""
     return matching.match(part_postings(spark, sf), customer_briefs(spark, sf), every_pair=False).select("job_id", "client_id", "decision")
@@ -87,3 +87,37 @@ def incremental_groups(spark, sf):
         batch = orders.where(some).select(name.alias("id"), F.col("o_orderkey").alias("position"), name.alias("own_group"), F.array(F.struct(F.lit("customer").alias("kind"), key.cast("string").alias("value"))).alias("keys"))
         members, keys, _ = grouping.assigned(batch, members, keys)
     return members.select(F.col("id").cast("long").alias("o_orderkey"), "group_id")
+
+
+# -- as-of and interval joins, sliding lookback ---------------------------------------------------------------------------------
+
+
+@query("""WITH u AS (SELECT o_custkey AS c, o_orderdate AS d, max(o_orderkey) AS k FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1, 2)
+SELECT o_orderkey, k AS urgent_before, CAST(date_diff('day', d, o_orderdate) AS BIGINT) AS days FROM orders ASOF LEFT JOIN u ON o_custkey = c AND o_orderdate > d""")
+def asof_urgent_order(spark, sf):
+    """Each order with its customer's latest urgent order before it."""
+    orders = read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    found = temporal.asof_join(orders, orders.where("o_orderpriority = '1-URGENT'"), ["o_custkey"], "o_orderdate", "o_orderdate", ["o_orderkey"])
+    return found.select("o_orderkey", F.col("match.o_orderkey").alias("urgent_before"), F.date_diff(F.col("o_orderdate").cast("date"), F.col("match.o_orderdate").cast("date")).cast("long").alias("days"))
+
+
+_ZONES = ["UTC", "America/New_York", "Asia/Kolkata", "Asia/Tokyo"]
+_OFFSET = "to_minutes(CASE user_id % 4 WHEN 1 THEN -300 WHEN 2 THEN 330 WHEN 3 THEN 540 ELSE 0 END)"
+
+
+@query(f"""WITH s AS (SELECT event_id, user_id, date_trunc('day', ts + {_OFFSET}) - {_OFFSET} AS a FROM events WHERE event_type = 'signup')
+SELECT s.event_id, count(e.event_id) AS same_day FROM s JOIN events e ON e.user_id = s.user_id AND e.ts >= a AND e.ts < a + INTERVAL 1 DAY GROUP BY 1""")
+def local_day_events(spark, sf):
+    """Events of the user on the calendar day, in the user's zone, of each signup; every signup is one of them."""
+    e = events(spark, sf)
+    start, stop = temporal.local_day(F.col("ts"), F.element_at(F.array(*map(F.lit, _ZONES)), (F.col("user_id") % 4 + 1).cast("int")))
+    days = e.where("event_type = 'signup'").select("event_id", "user_id", start.alias("start"), stop.alias("stop"))
+    found = temporal.interval_join(e.select("user_id", "ts"), days, ["user_id"], "ts", "start", "stop")
+    return found.groupBy(F.col("interval.event_id").alias("event_id")).agg(F.count("*").alias("same_day"))
+
+
+@query("""SELECT e.event_id, count(DISTINCT s.user_id) AS active FROM events e JOIN events s ON s.event_type = e.event_type AND s.ts BETWEEN e.ts - INTERVAL 72 HOURS AND e.ts GROUP BY 1""")
+def lookback_at_every_event(spark, sf):
+    """Distinct users of an event type within the 72 hours before each of its events."""
+    e = events(spark, sf).select("event_id", "event_type", "user_id", "ts")
+    return temporal.active_at(e, temporal.active_counts(e, ["event_type"], "user_id", "ts", 72), ["event_type"], "ts").select("event_id", "active")
