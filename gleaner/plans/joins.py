@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import datetime
+
+from pyspark.sql import Window, functions as F
 
 from gleaner.functions import text as T
-from gleaner.operators import grouping, matching, temporal
+from gleaner.operators import grouping, matching, snapshots, temporal
 from gleaner.plans.catalogue import events, query, read
+from gleaner.plans.shared import scratch
+from gleaner.streaming import outcomes
 
 
 # -- briefs that meet postings by an index --------------------------------------------------------------------------------
@@ -121,3 +125,40 @@ def lookback_at_every_event(spark, sf):
     """Distinct users of an event type within the 72 hours before each of its events."""
     e = events(spark, sf).select("event_id", "event_type", "user_id", "ts")
     return temporal.active_at(e, temporal.active_counts(e, ["event_type"], "user_id", "ts", 72), ["event_type"], "ts").select("event_id", "active")
+
+
+# -- frozen orders and logs -------------------------------------------------------------------------------------------------
+
+
+@query("""WITH r AS (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS position, count(*) OVER () AS n FROM orders)
+SELECT position, o_orderkey, o_custkey FROM r WHERE position % (n // 4) < 25""")
+def snapshot_pages(spark, sf):
+    """Pages of 25 orders, dearest first, at every quarter of a frozen order."""
+    orders = read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    now = datetime.datetime(2024, 1, 31, tzinfo=datetime.UTC)
+    snap = snapshots.create(orders, ["-o_totalprice", "o_orderkey"], scratch(spark, "snapshots"), "catalogue", now)
+    step, pages = snap.total // 4, None
+    for position in range(0, snap.total, step):
+        found, _ = snapshots.page(spark, snap, position, 25)
+        pages = found if pages is None else pages.union(found)
+    return pages.select("position", "o_orderkey", "o_custkey")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events)
+SELECT CAST(event_id AS VARCHAR) || suffix AS request_id, CAST(user_id AS VARCHAR) AS client_id,
+ CASE WHEN event_id % 11 = 0 THEN 'stale' WHEN suffix = '' THEN 'accepted' ELSE 'replayed' END AS status, v AS version
+FROM (SELECT *, n - count(*) FILTER (WHERE event_id % 11 = 0) OVER (PARTITION BY user_id, event_type ORDER BY n) AS v FROM e), (SELECT unnest(['', 'again']) AS suffix)
+WHERE event_id % 11 <> 0 OR suffix = ''""")
+def outcome_answers(spark, sf):
+    """Events as outcomes of their user, each sent twice; those of every eleventh number expect a version that never was, and are sent once."""
+    turn = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    e = events(spark, sf).withColumn("n", F.row_number().over(turn) - F.count_if(F.col("event_id") % 11 == 0).over(turn))
+    odd, none = F.col("event_id") % 11 == 0, F.lit(None).cast("string")
+    name = F.col("event_id").cast("string")
+    commands = e.select(
+        name.alias("request_id"), F.col("ts").alias("at"), F.col("user_id").cast("string").alias("client_id"), F.lit("posting").alias("subject_type"), F.col("event_type").alias("subject_id"),
+        F.lit("person").alias("actor_type"), F.lit("a").alias("actor_id"), name.alias("idempotency_key"), F.lit("seen").alias("value"),
+        F.when(odd, -1).otherwise(F.col("n") - 1).cast("long").alias("expected_version"), none.alias("source_reference"), F.lit(True).alias("surfaced"),
+    )
+    again = commands.where("expected_version >= 0").withColumn("request_id", F.concat("request_id", F.lit("again"))).withColumn("at", F.col("at") + F.expr("INTERVAL 1 HOUR"))
+    return outcomes.answered(commands.union(again)).select("request_id", "client_id", "status", "version")
