@@ -7,9 +7,10 @@ import datetime
 from pyspark.sql import Window, functions as F
 
 from gleaner.functions import text as T
-from gleaner.operators import grouping, matching, snapshots, temporal
+from gleaner.operators import coverage, grouping, matching, reconcile, snapshots, temporal
 from gleaner.plans.catalogue import events, query, read
 from gleaner.plans.shared import scratch
+from gleaner.sources import journal
 from gleaner.streaming import outcomes
 
 
@@ -162,3 +163,54 @@ def outcome_answers(spark, sf):
     )
     again = commands.where("expected_version >= 0").withColumn("request_id", F.concat("request_id", F.lit("again"))).withColumn("at", F.col("at") + F.expr("INTERVAL 1 HOUR"))
     return outcomes.answered(commands.union(again)).select("request_id", "client_id", "status", "version")
+
+
+# -- reconciliation, suppression, fan-in, coverage ------------------------------------------------------------------------------
+
+
+@query("""WITH b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 89 = 0 THEN 'X' ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 97 <> 0 UNION ALL SELECT -o_orderkey - 1, 'N' FROM orders WHERE o_orderkey % 101 = 0)
+SELECT coalesce(o_orderkey, k) AS o_orderkey, CASE WHEN k IS NULL THEN 'first_only' WHEN o_orderkey IS NULL THEN 'second_only' ELSE 'changed' END AS status
+FROM orders FULL JOIN b ON o_orderkey = k WHERE o_orderstatus IS DISTINCT FROM s""")
+def digest_tree_differences(spark, sf):
+    """Orders against a copy of which some were removed, changed or added."""
+    orders, k = read(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), F.col("o_orderkey")
+    copy = orders.where(k % 97 != 0).withColumn("o_orderstatus", F.when(k % 89 == 0, "X").otherwise(F.col("o_orderstatus")))
+    copy = copy.union(orders.where(k % 101 == 0).select(-k - 1, F.lit("N")))
+    return reconcile.differences(orders, copy, ["o_orderkey"], ["o_orderstatus"])
+
+
+@query("""SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND (l_returnflag = 'R' OR l_linenumber >= 6))""")
+def suppressed_by_digest(spark, sf):
+    """Orders of which a ledger has neither the identity (returned lines) nor the URL (orders of six lines or more)."""
+    ident = lambda c: (F.lit("shop").alias("source"), F.lit("orders").alias("source_board_id"), F.col(c).cast("string").alias("source_job_id"), F.concat(F.lit("https://shop.example/"), F.col(c).cast("string")).alias("canonical_url"))
+    lines = read(spark, sf, "lineitem").select("l_returnflag", "l_linenumber", *ident("l_orderkey"))
+    identities = lines.where("l_returnflag = 'R'").select(reconcile.identity_digest()).distinct()
+    urls = lines.where("l_linenumber >= 6").select(reconcile.url_digest()).distinct()
+    return reconcile.not_surfaced(read(spark, sf, "orders").select("o_orderkey", *ident("o_orderkey")), identities, urls).select("o_orderkey")
+
+
+@query("""WITH p AS (SELECT DISTINCT l_orderkey AS id, o_orderdate < TIMESTAMP '1998-08-02' AS old FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+SELECT CASE WHEN old THEN 'ledger' ELSE 'posting' END AS tab, CAST(id AS VARCHAR) AS id, '' AS target FROM p
+UNION ALL SELECT DISTINCT 'membership', CAST(id AS VARCHAR), 'line ' || l_linenumber FROM p JOIN lineitem ON l_orderkey = id WHERE NOT old""")
+def fan_in_commit(spark, sf):
+    """Orders brought by one shard for each number of a line, persisted in one commit, as the journal holds them."""
+    key = F.col("l_orderkey").cast("string")
+    rows = read(spark, sf, "lineitem").join(read(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).select(
+        F.col("l_linenumber").alias("shard"), F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("target_identity"), key.alias("id"), F.lit("shop").alias("source"),
+        F.lit("orders").alias("source_board_id"), key.alias("source_job_id"), key.alias("canonical_url"), F.col("o_orderstatus").alias("fingerprint"), F.col("o_orderdate").cast("timestamp").alias("posted_at"),
+    )
+    folder, now = scratch(spark, "fan_in"), datetime.datetime(2001, 8, 1, tzinfo=datetime.UTC)
+    reconcile.fan_in(rows, rows.select("shard").distinct(), folder, "first", now, 24 * 1095)
+    return journal.read(spark, folder).select(F.col("table").alias("tab"), "id", F.col("target_identity").alias("target"))
+
+
+@query("""WITH r AS (SELECT c_nationkey AS k, count(*) AS n, 1 + (c_nationkey * 7) % count(*) AS m FROM customer GROUP BY 1), p AS (SELECT *, n // gcd(n, m) AS period FROM r),
+s AS (SELECT k, n, m, period, c, (c * m + o) % n AS i FROM p, unnest(range(0, period)) AS x(c), unnest(range(0, m)) AS y(o)),
+g AS (SELECT k, i, count(*) OVER (PARTITION BY k, i) AS visits, coalesce(lead(c) OVER w, first_value(c) OVER w + period) - c AS gap FROM s WINDOW w AS (PARTITION BY k, i ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT p.k AS nation, any_value(n) AS registry_targets, any_value(m) AS targets_per_cohort, any_value(period) AS selection_period_cohorts, min(visits) AS visits_per_target_min, max(visits) AS visits_per_target_max,
+ max(gap) AS max_revisit_gap_cohorts, count(DISTINCT i) = any_value(n) AS all_targets_reached FROM p JOIN g USING (k) GROUP BY 1""")
+def coverage_proof(spark, sf):
+    """The rotation over each nation's customers, in closed form; the SQL visits every target."""
+    n = read(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("registry_targets"))
+    proof = coverage.coverage_proof(n.withColumn("targets_per_cohort", 1 + F.col("nation") * 7 % F.col("registry_targets")))
+    return proof.select("nation", "registry_targets", "targets_per_cohort", "selection_period_cohorts", "visits_per_target_min", "visits_per_target_max", "max_revisit_gap_cohorts", "all_targets_reached")
