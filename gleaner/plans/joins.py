@@ -7,10 +7,10 @@ import datetime
 from pyspark.sql import Window, functions as F
 
 from gleaner.functions import text as T
-from gleaner.operators import coverage, grouping, matching, reconcile, snapshots, temporal
+from gleaner.operators import coverage, grouping, matching, reconcile, release, snapshots, temporal
 from gleaner.plans.catalogue import events, query, read
 from gleaner.plans.shared import scratch
-from gleaner.sources import journal
+from gleaner.sources import boards, journal
 from gleaner.streaming import outcomes
 
 
@@ -214,3 +214,81 @@ def coverage_proof(spark, sf):
     n = read(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("registry_targets"))
     proof = coverage.coverage_proof(n.withColumn("targets_per_cohort", 1 + F.col("nation") * 7 % F.col("registry_targets")))
     return proof.select("nation", "registry_targets", "targets_per_cohort", "selection_period_cohorts", "visits_per_target_min", "visits_per_target_max", "max_revisit_gap_cohorts", "all_targets_reached")
+
+
+# -- pages of boards, release of batches ----------------------------------------------------------------------------------------
+
+
+@query("""WITH c AS (SELECT o_custkey AS board, count(*) AS n FROM orders GROUP BY 1)
+SELECT board, CAST(ceil(n / 5.0) AS BIGINT) AS pages, n AS received, CASE WHEN n % 5 > 0 THEN 'short_page' WHEN board % 3 = 0 THEN 'repeated_page' ELSE 'pages_missing' END AS ended, CASE WHEN n % 5 > 0 THEN 'success' ELSE 'partial' END AS status FROM c""")
+def board_page_loops(spark, sf):
+    """Customers as boards of five orders a page; the boards of every third customer begin again after their last page."""
+    turn = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    placed = read(spark, sf, "orders").select(F.col("o_custkey").alias("board"), F.floor((F.row_number().over(turn) - 1) / 5).cast("int").alias("page"), F.col("o_orderkey").cast("string").alias("id"))
+    pages = placed.groupBy("board", "page").agg(F.collect_list("id").alias("ids"))
+    last = pages.groupBy("board").agg((F.max("page") + 1).alias("page"))
+    again = pages.where("page = 0 AND board % 3 = 0").select("board", F.reverse("ids").alias("ids")).join(last, "board").select("board", "page", "ids")
+    return boards.board_results(pages.unionByName(again), 5).select("board", "pages", F.col("received").cast("long").alias("received"), "ended", "status")
+
+
+def _review(spark, sf):
+    """Orders as items of their customer's batch, with what has happened to them since."""
+    o, k = read(spark, sf, "orders"), F.col("o_orderkey")
+    name, batch = k.cast("string").alias("job_id"), F.col("o_custkey").alias("batch_id")
+    items = o.select(batch, F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("ordinal"), name, F.lit("e").alias("evidence_sha256"))
+    candidates = o.select(
+        batch, name, F.when(k % 13 == 0, "other").otherwise("e").alias("evidence_sha256"), F.when(k % 23 == 0, F.lit("shared")).otherwise(k.cast("string")).alias("group_id"),
+        F.when(k % 29 != 0, F.col("o_orderdate").cast("timestamp")).alias("posted_at"), F.when(F.col("o_orderpriority") == "5-LOW", "needs_review").otherwise("strong_match").alias("decision"),
+        (k % 17 == 0).alias("historical"), (k % 19 == 0).alias("delivered"),
+    )
+    none = F.lit(None).cast("string")
+    policy = [F.lit(24 * 1825).alias("max_hours"), F.when(F.col("batch_id") % 2 == 0, "allow").otherwise("reject").alias("unknown_policy"), (F.col("batch_id") % 3 == 0).alias("include_review"), none.alias("export_before"), none.alias("export_after")]
+    batches = o.select(batch).distinct().select("batch_id", F.concat(F.lit("g"), "batch_id").alias("generation_id"), F.when(F.col("batch_id") % 7 == 0, "failed").otherwise("prepared").alias("status"), *policy)
+    return items, candidates, batches, F.lit("2001-08-02").cast("timestamp")
+
+
+_ITEMS = """i AS (SELECT o_custkey AS b, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS ordinal, o_orderkey % 13 = 0 AS edited, count(*) FILTER (WHERE o_orderkey % 23 = 0) OVER (PARTITION BY o_custkey) AS same,
+ CASE WHEN o_orderkey % 29 = 0 THEN CASE WHEN o_custkey % 2 = 1 THEN 'posting_age_unknown' END WHEN o_orderdate < TIMESTAMP '2001-08-02' - INTERVAL 1825 DAY THEN 'stale_posting' END AS stale,
+ o_orderpriority = '5-LOW' AS asks, o_orderpriority <> '5-LOW' OR o_custkey % 3 = 0 AS eligible, o_orderkey % 17 = 0 AS historical, o_orderkey % 19 = 0 AS delivered FROM orders)"""
+
+
+@query(f"""WITH {_ITEMS}, v AS (SELECT *, CASE WHEN k % 23 = 0 AND same > 1 THEN 'groups_merged' WHEN stale IS NOT NULL THEN stale WHEN edited THEN 'evidence_changed' WHEN historical THEN 'historical' WHEN NOT eligible THEN 'decision' WHEN delivered THEN 'delivered' END AS violation FROM i)
+SELECT b AS batch_id, ordinal, CAST(k AS VARCHAR) AS job_id, violation FROM v WHERE violation IS NOT NULL""")
+def release_violations(spark, sf):
+    return release.violations(*_review(spark, sf))
+
+
+@query(f"""WITH {_ITEMS}, r AS (SELECT *, NOT edited AND stale IS NULL AND NOT historical AND NOT delivered AND eligible AS ready FROM i)
+SELECT b AS batch_id, ordinal, NOT edited AS evidence_verified, ready AS release_ready, CAST(edited AS INT) + CAST(stale IS NOT NULL AS INT) + CAST(historical AS INT) + CAST(delivered AS INT) + CAST(asks AS INT) AS warnings,
+ bool_and(ready) OVER (PARTITION BY b) AND b % 7 <> 0 AS safe_to_release FROM r""")
+def review_projection(spark, sf):
+    return release.review(*_review(spark, sf)).select("batch_id", "ordinal", "evidence_verified", "release_ready", F.size("warnings").alias("warnings"), "safe_to_release")
+
+
+@query("""WITH i AS (SELECT o_custkey AS b, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS o, o_orderstatus = 'F' AS gone FROM orders),
+q AS (SELECT *, b % 7 <> 0 AND bool_or(gone) OVER (PARTITION BY b) AND NOT bool_and(gone) OVER (PARTITION BY b) AS done FROM i)
+SELECT b AS batch_id, CAST(k AS VARCHAR) AS job_id, row_number() OVER (PARTITION BY b ORDER BY k) AS ordinal FROM q WHERE NOT (done AND gone)""")
+def batch_removals(spark, sf):
+    """Filled orders are removed from their customer's batch, unless the batch failed or nothing would be left."""
+    items, _, batches, _ = _review(spark, sf)
+    filled = items.join(read(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("string").alias("job_id")), "job_id", "left_semi")
+    requests = filled.groupBy("batch_id").agg(F.collect_list("ordinal").alias("ordinals")).select("batch_id", F.concat(F.lit("g"), "batch_id").alias("generation_id"), "ordinals")
+    _, _, left = release.remove_items(requests, batches, items)
+    return left.select("batch_id", "job_id", "ordinal")
+
+
+@query("""WITH b AS (SELECT o_orderkey AS id, o_custkey AS c, o_orderdate AS d, o_orderstatus AS s, o_orderkey % 5 = 0 AS journaled, o_orderpriority IN ('1-URGENT', '2-HIGH') AS old FROM orders WHERE o_orderstatus <> 'P'),
+u AS (SELECT *, s = 'F' AND old AND NOT journaled AS stale FROM b WHERE s = 'O' OR journaled OR old), f AS (SELECT c, min(row(d, id)) AS one FROM u WHERE NOT stale GROUP BY 1)
+SELECT id AS batch_id, 'discard' AS action FROM u LEFT JOIN f USING (c) WHERE stale AND (one IS NULL OR row(d, id) < one)
+UNION ALL SELECT id, CASE WHEN journaled THEN 'reconcile' ELSE 'release' END FROM u JOIN f USING (c) WHERE row(d, id) = one""")
+def batch_recovery(spark, sf):
+    """Orders as batches of their customer: open ones are prepared, filled ones failed, and those in between delivered."""
+    journaled, none = F.col("o_orderkey") % 5 == 0, F.lit(None).cast("string")
+    batches = read(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("batch_id"), F.col("o_custkey").alias("client_id"), F.lit("d").alias("destination"), F.col("o_orderdate").alias("assembled_at"),
+        F.when(F.col("o_orderstatus") == "O", "prepared").when(F.col("o_orderstatus") == "F", "failed").otherwise("delivered").alias("status"),
+        F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH") & (F.col("o_orderstatus") == "F"), release.NO_LONGER_FRESH + " stale_posting").otherwise("full").alias("error"),
+        none.alias("delivered_at"), F.when(journaled, "h").alias("export_before"), none.alias("export_after"),
+    )
+    gone, following = release.recover(batches)
+    return gone.select("batch_id", F.lit("discard").alias("action")).unionByName(following.select("batch_id", "action"))
