@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from gleaner.operators.bloom import BITS_A_KEY, MOST_BITS, filter_words, might_hold
 from gleaner.plans.shared import cut, drop_path, scratch, shared_dir  # noqa: F401
 
 #: The white space that every contract of this subpackage means by ``[\x20\x09-\x0D]``.
@@ -32,6 +33,25 @@ def up_to(written: DataFrame, most: int) -> DataFrame:
     return F.broadcast(written) if written.count() <= most else written
 
 
+def _maybe(wanted: DataFrame, key: Column) -> Column:
+    """Whether a row's ``key`` may be in the one-column written table ``wanted``, by a Bloom filter of bounded bytes."""
+    bits = min(MOST_BITS, 1 << max(10, (wanted.count() * BITS_A_KEY).bit_length()))
+    return might_hold(filter_words(wanted, bits).scalar(), key, bits)
+
+
+def matched(rows: DataFrame, wanted: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``wanted`` (written, distinct keys) on the column ``key``, at every size in one way: a Bloom filter of the keys
+    thins the scan of ``rows``, and what is left is shuffled."""
+    hashes = wanted.select(F.xxhash64(key))
+    return rows.where(_maybe(hashes, F.xxhash64(key))).join(wanted, key, how)
+
+
+def unmatched(rows: DataFrame, out: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` isn't in ``out`` (written): most pass in the scan by the Bloom filter, the others are looked up."""
+    maybe = _maybe(out.select(F.xxhash64(key)), F.xxhash64(key))
+    return rows.where(~maybe).unionByName(rows.where(maybe).join(out, key, "left_anti"))
+
+
 def spread_join(left: DataFrame, right: DataFrame, key: str, *spread: str, counted: DataFrame | None = None, least: int = 1) -> DataFrame:
     """``left`` joined with ``right`` on ``key``, without a task for all rows of a frequent key.
 

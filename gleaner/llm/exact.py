@@ -16,18 +16,17 @@ don't matter, whatever their names.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gleaner.llm.common import cut, drop_path, free, scratch, spread_join, strip_space, table, up_to
+from gleaner.llm.common import cut, drop_path, free, matched, scratch, spread_join, strip_space, table, unmatched
 
 #: Arrival files that one micro-batch takes at least; on a larger cluster, four a core.
 FILES_PER_BATCH = 16
-#: Locators of hits are broadcast up to this many (about 200 bytes each); beyond, the texts are shuffled once.
-BROADCAST_HITS = 200_000
 #: State on disk; without space set aside ahead in each of the many small stores, and written out as changes only.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -48,14 +47,26 @@ def locator() -> Column:
     return F.struct("_metadata.file_path", "_metadata.row_index")
 
 
+#: What a plan may consist of for the file and row of a scan to be each row's own: no join, union or generator that repeats rows.
+_SCAN = {"Project", "Filter", "Relation", "SubqueryAlias", "LogicalRelation"}
+
+
+def scanned(docs: DataFrame) -> bool:
+    """Whether every row is one row of a file."""
+    nodes = re.findall(r"^[\s:+-]*'?(\w+)", docs._jdf.queryExecution().analyzed().toString(), re.M)
+    return set(nodes) <= _SCAN
+
+
 def located(docs: DataFrame, name: str = "__at") -> DataFrame:
-    """``docs`` with each row's locator; what isn't read from files is written first."""
-    try:
-        return docs.select("*", locator().alias(name))
-    except AnalysisException:
-        path = scratch(docs.sparkSession, "arrived")
-        docs.write.parquet(path)
-        return docs.sparkSession.read.schema(docs.schema).parquet(path).select("*", locator().alias(name))
+    """``docs`` with each row's locator; what isn't rows of files as they are is written first."""
+    if scanned(docs):
+        try:
+            return docs.select("*", locator().alias(name))
+        except AnalysisException:  # files without such metadata
+            pass
+    path = scratch(docs.sparkSession, "arrived")
+    docs.write.parquet(path)
+    return docs.sparkSession.read.schema(docs.schema).parquet(path).select("*", locator().alias(name))
 
 
 def best() -> Column:
@@ -95,8 +106,8 @@ def remembered(arrivals: DataFrame, folder: str) -> DataFrame:
 
 
 def texts_at(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``rows`` (read from files) at the locators ``wanted.__at`` (written, distinct), with the columns of both."""
-    return rows.join(up_to(wanted, BROADCAST_HITS), "__at")
+    """``rows`` (read from files) at the locators ``wanted.__at`` (written, distinct), with the columns of both; no other text is shuffled."""
+    return matched(rows, wanted, "__at")
 
 
 def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, folder: str | None = None) -> DataFrame:
@@ -105,8 +116,12 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, f
     With a ``folder``, its state goes on: ``docs`` are the rows that have come since, and groups include all rows before, whose
     files must still be there.
     """
-    spark = docs.sparkSession
-    rows = located(docs.select("doc_id", "text"))
+    return _grouped(located(docs.select("doc_id", "text")), digest, folder)
+
+
+def _grouped(rows: DataFrame, digest: Callable[[Column], Column] = sha256, folder: str | None = None) -> DataFrame:
+    """``exact_groups`` of ``rows(doc_id, text, __at)``, read from files."""
+    spark = rows.sparkSession
     bare = strip_space(F.col("text"))
     own = folder or scratch(spark, "exact")
     path = f"{own}/arrivals/{uuid.uuid4().hex}"
@@ -134,7 +149,7 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, f
         new = arrivals.select("__at.file_path").distinct()
         old = [r[0] for r in keepers.select("__at.file_path").distinct().join(new, "file_path", "left_anti").collect()]  # names of files
         if old:
-            everything = rows.unionByName(located(spark.read.schema(docs.select("doc_id", "text").schema).parquet(*old)))
+            everything = rows.unionByName(located(spark.read.schema(rows.drop("__at").schema).parquet(*old)))
     kept = texts_at(everything, keepers).select("digest", bare.alias("kept_bare"))
     compared = spread_join(texts_at(rows, cut(others)).select("digest", "__at", bare.alias("bare")), kept, "digest", "__at", counted=hits)
     false_hits = cut(compared.where("bare != kept_bare").select("digest").distinct())
@@ -155,8 +170,8 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, without the rows that an equal text makes superfluous."""
     at = free(docs, "__at")
     placed = located(docs, at)
-    out = exact_groups(placed.drop(at)).where("NOT kept").select(F.col("__at").alias(at))
-    return placed.join(up_to(cut(out), BROADCAST_HITS), at, "left_anti").select(*docs.columns)
+    out = _grouped(placed.select(F.col(at).alias("__at"), "doc_id", "text")).where("NOT kept").select(F.col("__at").alias(at))
+    return unmatched(placed, cut(out), at).select(*docs.columns)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

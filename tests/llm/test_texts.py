@@ -304,3 +304,21 @@ def test_edit_distance(spark):
     df = spark.createDataFrame(pairs, "a string, b string")
     for edits in (1, 2, 3):
         assert all(r["w"] == (distance(r["a"], r["b"]) <= edits) for r in df.select("a", "b", lines.within(F.col("a"), F.col("b"), edits).alias("w")).collect())
+
+
+def test_exact_copies_that_joins_and_generators_make(spark, tmp_path):
+    docs(spark, ["a b", "a  b", "c", None, ""]).write.parquet(str(tmp_path / "docs"))
+    table = spark.read.parquet(str(tmp_path / "docs"))
+    twice = [table.crossJoin(spark.range(2).select(F.lit(0))), table.withColumn("f", F.explode(F.array(F.lit("p"), F.lit("q")))), table.union(table), table.join(table.select("doc_id").union(table.select("doc_id")), "doc_id")]
+    for many in twice:
+        found = exact.exact_groups(many).collect()
+        assert len(found) == 10 and sum(r["kept"] for r in found) == 3 and {r["group_size"] for r in found} == {2, 4}
+        left = exact.drop_copies(many)
+        assert left.columns == many.columns and sorted(str(r["doc_id"]) for r in left.collect()) == ["1", "2", "3"]
+    assert exact.scanned(table.where("doc_id > 1").select("doc_id", "text")) and not any(map(exact.scanned, twice))
+
+
+def test_exact_columns_named_like_the_locator(spark):
+    table = spark.createDataFrame([(1, "x", "same", 3), (2, "x ", "same", 3), (3, "y", "same", 3)], "doc_id long, text string, __at string, best int")
+    assert sorted(r["doc_id"] for r in exact.drop_copies(table).collect()) == [2, 3]
+    assert sorted((r["doc_id"], r["kept"]) for r in exact.exact_groups(table.select("doc_id", "text")).collect()) == [(1, False), (2, True), (3, True)]
