@@ -7,8 +7,8 @@ import datetime
 from pyspark.sql import Window, functions as F
 
 from gleaner.functions import text as T
-from gleaner.operators import coverage, grouping, matching, reconcile, release, snapshots, temporal
-from gleaner.plans.catalogue import events, query, read
+from gleaner.operators import coverage, grouping, matching, reconcile, release, reports, snapshots, temporal
+from gleaner.plans.catalogue import _JOBS, events, matches, now, query, read
 from gleaner.plans.shared import scratch
 from gleaner.sources import boards, journal
 from gleaner.streaming import outcomes
@@ -292,3 +292,72 @@ def batch_recovery(spark, sf):
     )
     gone, following = release.recover(batches)
     return gone.select("batch_id", F.lit("discard").alias("action")).unionByName(following.select("batch_id", "action"))
+
+
+# -- reports --------------------------------------------------------------------------------------------------------------------
+
+_BAND = "CASE WHEN k % 29 = 0 THEN 'unknown' WHEN k % 11 = 0 THEN 'invalid' WHEN k % 5 < 2 THEN '0_24h' WHEN k % 5 = 2 THEN '24_48h' WHEN k % 5 = 3 THEN '48_72h' ELSE 'over_72h' END"
+_COUNTED = ", ".join(
+    f"count(*) FILTER (WHERE {c}) AS {n}"
+    for n, c in {
+        "retained_evaluated": "true", "retained_confirmed_matches": "good", "retained_needs_review_matches": "asks", "retained_rejected": "no", "fresh_0_24h": "f", "confirmed_matches_0_24h": "f AND good", "needs_review_matches_0_24h": "f AND asks",
+        "rejected_0_24h": "f AND no", "title_matched_0_24h": "f AND role", "target_market_survived_0_24h": "f AND role AND NOT market", "remote_survived_0_24h": "f AND role AND NOT market AND NOT mode", "other_rules_survived_0_24h": "f AND NOT no",
+    }.items()
+) + ", " + ", ".join(f"count(*) FILTER (WHERE NOT no AND band = '{b}') AS age_{b}" for b in ("0_24h", "24_48h", "48_72h", "over_72h", "unknown", "invalid"))
+
+
+@query(f"""WITH {_JOBS}, x AS (SELECT m.client_id, CASE WHEN j.k < 3 THEN 'unknown' ELSE 'board' END AS source, {_BAND.replace('k %', 'CAST(m.id AS BIGINT) %')} AS band, r.decision IN ('strong_match', 'possible_match') AS good,
+ r.decision = 'needs_review' AS asks, r.decision = 'reject' AS no, role, m.client_id IN ('c1', 'c5') AND rejected AS market, m.client_id = 'c3' AND rejected AS mode FROM m JOIN r ON r.job_id = m.id AND r.client_id = m.client_id JOIN j ON j.id = m.id),
+y AS (SELECT *, band = '0_24h' AS f FROM x) SELECT source, {_COUNTED} FROM y GROUP BY GROUPING SETS ((source), ())""")
+def client_funnel(spark, sf):
+    """Twelve counters and six ages over all postings and briefs, by source and overall."""
+    m, k = matches(spark, sf), F.col("job_id").cast("long")
+    hours = F.when(k % 11 == 0, -3).otherwise(F.element_at(F.array(*map(F.lit, [5, 20, 30, 60, 100])), (k % 5 + 1).cast("int")))
+    posted = F.when(k % 29 != 0, F.timestamp_micros(F.unix_micros(now()) - hours.cast("long") * F.lit(3_600_000_000)))
+    return reports.client_funnel(m.withColumns({"source": F.when(k % 7 >= 3, " Board "), "posted_at": posted}), now())
+
+
+@query("""WITH r AS (SELECT *, o_orderkey % 3 = 0 AS delivered, CASE WHEN o_orderkey % 17 = 0 THEN 'identity' WHEN o_orderkey % 19 = 0 THEN 'url' END AS history, o_orderpriority IN ('1-URGENT', '2-HIGH') AS good, o_custkey || o_orderstatus AS g FROM orders),
+d AS (SELECT *, max(o_orderkey % 50) OVER (PARTITION BY g) % 3 = 0 AS gone FROM r)
+SELECT o_custkey AS target_identity, count(*) AS received, count(*) FILTER (WHERE good) AS delivery_eligible_matched, count(*) FILTER (WHERE good AND history = 'identity') AS historical_identity, count(*) FILTER (WHERE good AND history IS NULL) AS nonhistorical_matched,
+ count(*) FILTER (WHERE good AND history IS NULL) - count(DISTINCT g) FILTER (WHERE good AND history IS NULL) AS practical_duplicate_groups_collapsed, count(DISTINCT g) FILTER (WHERE good AND history IS NULL AND gone) AS already_delivered_groups,
+ count(DISTINCT g) FILTER (WHERE good AND history IS NULL AND NOT gone) AS fresh_unique_deliveries FROM d GROUP BY 1""")
+def target_capacity(spark, sf):
+    """What each customer's orders come to as postings of a target, grouped by status."""
+    k, group = F.col("o_orderkey"), F.concat(F.col("o_custkey").cast("string"), "o_orderstatus")
+    o = read(spark, sf, "orders").select(
+        F.col("o_custkey").alias("target_identity"), k.cast("string").alias("job_id"), F.lit("new").alias("lifecycle"), F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "strong_match").otherwise("reject").alias("decision"),
+        F.when(k % 17 == 0, "identity").when(k % 19 == 0, "url").alias("history"), group.alias("group_id"), (k % 50).alias("m"),
+    )
+    gone = o.groupBy("group_id").agg((F.max("m") % 3 == 0).alias("delivered"))
+    out = reports.target_capacity(o.join(gone, "group_id"))
+    return out.select("target_identity", "received", "delivery_eligible_matched", "historical_identity", "nonhistorical_matched", "practical_duplicate_groups_collapsed", "already_delivered_groups", "fresh_unique_deliveries")
+
+
+@query("""WITH f AS (SELECT o_custkey AS g, o_orderpriority AS c, min((o_orderdate, CAST(o_orderkey AS VARCHAR))) AS one FROM orders GROUP BY 1, 2)
+SELECT g AS group_id, c AS client_id, one[2] AS job_id FROM f WHERE NOT EXISTS (SELECT 1 FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey = g AND o_orderpriority = c AND l_returnflag = 'R')""".replace("one[2]", "struct_extract_at(one, 2)"))
+def exported_groups(spark, sf):
+    """The first order of each customer and priority is its delivery, unless a returned one was before."""
+    o = read(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("job_id"), F.col("o_orderpriority").alias("client_id"), F.lit("d").alias("destination"), F.col("o_orderdate").alias("exported_at"), F.col("o_custkey").cast("string").alias("group_id"))
+    back = read(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").cast("string").alias("job_id")).distinct()
+    new, _ = reports.mark_exported(o.drop("group_id"), o.select("job_id", "group_id"), o.join(back, "job_id", "left_semi"), o.drop("group_id").limit(0))
+    return new.select(F.col("group_id").cast("long").alias("group_id"), "client_id", "job_id")
+
+
+@query("""WITH e AS (SELECT user_id, ts, event_id, event_type AS h, lag(event_type) OVER w AS b, coalesce(max(CAST(event_type = 'purchase' AS INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS was FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT coalesce(b, 'first_check') AS reason, count(*) AS checked, count(*) FILTER (WHERE h = 'purchase' AND b IS DISTINCT FROM 'purchase' AND was = 0) AS newly_admitted, count(*) FILTER (WHERE h = 'purchase' AND b IS DISTINCT FROM 'purchase' AND was = 1) AS reactivated FROM e GROUP BY 1""")
+def health_selection_reasons(spark, sf):
+    """Events as checks of their user, a purchase being an active target."""
+    e = events(spark, sf).select("user_id", F.struct("ts", "event_id").alias("at"), F.when(F.col("event_type") == "purchase", "active").otherwise(F.col("event_type")).alias("h"))
+    out = reports.health_changes(e, "user_id", "at", "h")
+    return out.withColumn("reason", F.when(F.col("reason") == "active", "purchase").otherwise(F.col("reason")))
+
+
+@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k, event_id % 3 = 0 AS kept FROM events""")
+def payload_refresh(spark, sf):
+    """Stored payloads against incoming ones that differ in a volatile key only, or in more."""
+    e = events(spark, sf)
+    stored = F.concat(F.lit('{"last_seen_at": "x", "p": '), "props", F.lit("}"))
+    incoming = F.concat(F.lit('{"p": '), "props", F.when(F.col("event_id") % 3 == 0, "}").otherwise(', "new": true}'))
+    kept = reports.refreshed(stored, incoming, ["last_seen_at"])
+    return e.select("event_id", F.get_json_object(kept, "$.p.k").alias("k"), F.get_json_object(kept, "$.new").isNull().alias("kept"))
