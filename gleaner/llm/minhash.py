@@ -33,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gleaner.llm.common import cut, free, small_batches, spread_join, table, up_to
+from gleaner.llm.common import cut, free, matched, small_batches, spread_join, table, unmatched
 from gleaner.operators.components import components
 
 WORDS = 5
@@ -41,8 +41,6 @@ CHUNKS, CHUNK = 12, 5
 SYMBOLS = CHUNKS * CHUNK
 #: Bits of a symbol; a chunk is one 64-bit number.
 BITS = 12
-#: Documents that go are broadcast up to this many (eight bytes each) to leave them out; beyond, texts are shuffled for it.
-BROADCAST_IDS = 2_000_000
 #: Representatives that share a key are compared in parts of so many.
 ROWS_OF_A_KEY = 1000
 #: Op4's contract: 100 * intersection >= SIMILARITY * union.
@@ -225,7 +223,7 @@ def _confirm(batches, similarity: int):
 def confirmed(pairs: DataFrame, docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """The ``pairs(a, b)`` (written) whose full sets are similar enough; only texts of documents in pairs are moved."""
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    texts = _by_text(docs).join(up_to(ids, BROADCAST_IDS), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", "th").alias("text"))
+    texts = matched(_by_text(docs), ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", "th").alias("text"))
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     met = spread_join(pairs.join(left, "a"), right, "b", "a", counted=pairs)
@@ -238,7 +236,7 @@ def near_components(docs: DataFrame, similarity: int = SIMILARITY, chunk: int =
     sets = every.where("same IS NOT NULL")
     # a document with several texts is the one with the smallest hash
     several = cut(every.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("th").alias("least"), F.max("th").alias("most")).where("least != most").select("doc_id", "least"))
-    chosen = lambda rows: rows.join(up_to(several, BROADCAST_IDS), "doc_id", "left").where("least IS NULL OR least = th").drop("least")
+    chosen = lambda rows: rows.join(several, "doc_id", "left").where("least IS NULL OR least = th").drop("least")
     sets = chosen(sets) if not several.isEmpty() else sets
     # equal sets: one representative, the others are linked to it
     rep = F.min("doc_id").alias("rep")
@@ -281,10 +279,23 @@ def near_components(docs: DataFrame, similarity: int = SIMILARITY, chunk: int =
 
 
 def drop_near(docs: DataFrame, similarity: int = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
-    """``docs``, all columns, with one document of each group of near duplicates."""
+    """``docs``, all columns, with one document of each group of near duplicates.
+
+    Every text is compared: where a ``doc_id`` has several, that with the smallest hash goes by the id, and each other one is a document of
+    its own under a number made of both.  Rows that repeat id and text go or stay together; rows with a NULL id stay.
+    """
     own = free(docs, "__id")
-    out = cut(near_components(docs, similarity, chunk).where("NOT kept").select(F.col("doc_id").alias(own)).distinct())
-    return docs.join(up_to(out, BROADCAST_IDS), F.col("doc_id").cast("long") == F.col(own), "left_anti").select(*docs.columns)
+    number, th = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
+    texts = docs.select(number.alias("doc_id"), th.alias("th")).where("doc_id IS NOT NULL")
+    several = cut(texts.groupBy("doc_id").agg(F.min("th").alias("least"), F.max("th").alias("most")).where("least != most").select(F.col("doc_id").alias(own), "least"))
+    if several.isEmpty():
+        named = docs.withColumn(own, number)
+    else:
+        least = free(docs, "__least")
+        met = docs.join(several.withColumnRenamed("least", least), number == F.col(own), "left").drop(own)
+        named = met.withColumn(own, F.when(F.col(least).isNull() | (th == F.col(least)), number).otherwise(F.xxhash64(number, th))).drop(least)
+    out = near_components(named.select(F.col(own).alias("doc_id"), "text"), similarity, chunk).where("NOT kept").select(F.col("doc_id").alias(own)).distinct()
+    return unmatched(named, cut(out), own).select(*docs.columns)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -322,3 +322,17 @@ def test_exact_columns_named_like_the_locator(spark):
     table = spark.createDataFrame([(1, "x", "same", 3), (2, "x ", "same", 3), (3, "y", "same", 3)], "doc_id long, text string, __at string, best int")
     assert sorted(r["doc_id"] for r in exact.drop_copies(table).collect()) == [2, 3]
     assert sorted((r["doc_id"], r["kept"]) for r in exact.exact_groups(table.select("doc_id", "text")).collect()) == [(1, False), (2, True), (3, True)]
+
+
+def test_near_stage_compares_every_text_of_an_id(spark):
+    """Several texts of one id: each is compared, and a row goes only for what its own text is near to."""
+    rng = random.Random(12)
+    a, b, c = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(3))
+    table = docs(spark, [a, a + " more", b, b + " end", c, c + " last", None, a], [1, 2, 2, 2, 3, 4, 4, None])
+    left = minhash.drop_near(table)
+    assert left.columns == table.columns
+    got = collections.Counter((r["doc_id"], "near" if r["text"] is None else r["text"].split()[0]) for r in left.collect())
+    # one of each pair of near texts stays, whatever their ids; empty texts and rows without an id stay
+    heads = collections.Counter(k[1] for k in got if k[0] is not None)
+    assert heads[a.split()[0]] == heads[b.split()[0]] == heads[c.split()[0]] == 1
+    assert (4, "near") in got and (None, a.split()[0]) in got and sum(got.values()) == 5
