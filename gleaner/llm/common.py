@@ -28,22 +28,21 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def up_to(written: DataFrame, most: int) -> DataFrame:
-    """A written table to join with: broadcast if it has ``most`` rows at most, else joined in a shuffle."""
-    return F.broadcast(written) if written.count() <= most else written
-
-
 def _maybe(wanted: DataFrame, key: Column) -> Column:
     """Whether a row's ``key`` may be in the one-column written table ``wanted``, by a Bloom filter of bounded bytes."""
     bits = min(MOST_BITS, 1 << max(10, (wanted.count() * BITS_A_KEY).bit_length()))
     return might_hold(filter_words(wanted, bits).scalar(), key, bits)
 
 
+def thinned(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is in ``wanted`` (written), and a hundredth of the others (more, if ``wanted`` outgrows the filter): for uses that others don't harm."""
+    return rows.where(_maybe(wanted.select(F.xxhash64(key)), F.xxhash64(key)))
+
+
 def matched(rows: DataFrame, wanted: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``wanted`` (written, distinct keys) on the column ``key``, at every size in one way: a Bloom filter of the keys
     thins the scan of ``rows``, and what is left is shuffled."""
-    hashes = wanted.select(F.xxhash64(key))
-    return rows.where(_maybe(hashes, F.xxhash64(key))).join(wanted, key, how)
+    return thinned(rows, wanted, key).join(wanted, key, how)
 
 
 def unmatched(rows: DataFrame, out: DataFrame, key: str) -> DataFrame:

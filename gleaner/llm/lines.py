@@ -29,7 +29,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gleaner.llm.common import cut, drop_path, scratch, spread_join, table, up_to
+from gleaner.llm.common import cut, drop_path, matched, scratch, spread_join, table, thinned
 from gleaner.operators.components import components
 
 EDITS = 2
@@ -37,8 +37,6 @@ EDITS = 2
 LEAST = 20
 #: Keys of more lines are split, LEVELS times at most, and while what is left of the lines has LEAST_REST characters.
 HOT, LEVELS, LEAST_REST = 1000, 2, 8
-#: Shared keys, repeated lines and documents with them are broadcast up to this many (8 to 40 bytes each); more are joined in a shuffle.
-BROADCAST = 1_000_000
 #: Letters whose counts are compared; an edit changes two of them by one at most.
 LETTERS = "etaoinshrdlucmfwypvbgkéçñüö,. -0"
 #: Keys of a class: first segment, last segment, middle segment, and what would be the middle one a character further on.
@@ -187,12 +185,12 @@ def split_hot(shared: DataFrame, own: DataFrame, hot: int) -> DataFrame:
     now = shared.select("key", "j", "id", filed(F.col("j")).alias("filed"), F.lit(None).cast("string").alias("rest"))
     done = []
     for _ in range(LEVELS):
-        many = cut(now.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > hot).select("key"))
-        if many.isEmpty():
+        sizes = cut(now.groupBy("key").agg(F.count("*").alias("m")))
+        if sizes.where(F.col("m") > hot).isEmpty():
             break
-        many = up_to(many, BROADCAST)
-        done.append(now.join(many, "key", "left_anti").select("key", "id", "filed"))
-        whole = now.join(many, "key").join(own.select("id", "line"), "id").withColumn("rest", F.coalesce("rest", "line")).drop("line")
+        sized = cut(spread_join(now, sizes, "key", "id"))
+        done.append(sized.where(F.col("m") <= hot).select("key", "id", "filed"))
+        whole = sized.where(F.col("m") > hot).drop("m").join(own.select("id", "line"), "id").withColumn("rest", F.coalesce("rest", "line")).drop("line")
         whole = whole.withColumn("len", F.length("rest")).withColumn("least", length_class(F.col("len") + F.when(F.col("j") >= KINDS, EDITS).otherwise(0)))
         place = lambda part: F.element_at(F.array(*[x[part] for x in segments(F.col("len"), F.col("least"))]), F.pmod("j", F.lit(KINDS)) + 1)
         whole = whole.withColumns({"at": place(0), "size": place(1)})
@@ -202,9 +200,9 @@ def split_hot(shared: DataFrame, own: DataFrame, hot: int) -> DataFrame:
         done.append(left.where(F.length("rest") < LEAST_REST + EDITS).select("key", "id", "filed"))
         longer = left.where(F.length("rest") >= LEAST_REST).withColumn("len", F.length("rest"))
         finer = longer.withColumn("finer", keys(F.col("rest"), F.col("len"), F.col("key"))).select("id", "rest", "filed", F.posexplode("finer").alias("j", "key"))
-        finer = finer.select("key", "j", "id", (F.col("filed") & filed(F.col("j"))).alias("filed"), "rest")
+        finer = cut(finer.select("key", "j", "id", (F.col("filed") & filed(F.col("j"))).alias("filed"), "rest"))
         met = cut(finer.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("filed").alias("filed")).where("filed AND lo != hi").select("key"))
-        now = cut(finer.join(up_to(met, BROADCAST), "key"))
+        now = cut(spread_join(finer, met, "key", "id"))
     return reduce(DataFrame.unionByName, done, now.select("key", "id", "filed"))
 
 
@@ -218,7 +216,7 @@ def line_links(shared: DataFrame, own: DataFrame) -> DataFrame:
     roots = cut(components(links)).toDF("id", "root")
     rooted = sketched.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-    left = cut(rooted.join(up_to(cut(several), BROADCAST), "key"))
+    left = cut(rooted.join(several, "key"))
     x, y = left.select("key", F.col("id").alias("ida"), "root", "sketch"), left.where("filed").select("key", F.col("id").alias("idb"), F.col("root").alias("rb"), F.col("sketch").alias("sb"))
     across = (F.col("root") != F.col("rb")) & alike("sketch", "sb")
     more = spread_join(x, y, "key", "ida", least=HOT).where(across).select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()
@@ -226,35 +224,48 @@ def line_links(shared: DataFrame, own: DataFrame) -> DataFrame:
 
 
 def lines_at(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """The ``line`` at each of ``places(id, g, place)``, with its letter counts and their sketch."""
+    """The ``line`` at each of ``places(id, hash, g, place)``, with its letter counts and their sketch."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    wanted = cut(places.groupBy(F.col("place.doc").alias("pdoc"), F.col("place.th").alias("pth")).agg(F.collect_list(F.struct("id", "g", "place")).alias("wanted")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
-    met = rows.join(up_to(wanted, BROADCAST), F.col("doc").eqNullSafe(F.col("pdoc")) & (F.col("th") == F.col("pth")))
+    at = lambda doc, th: F.concat_ws(":", F.coalesce(doc.cast("string"), F.lit("")), th).alias("at")
+    wanted = cut(places.groupBy(at(F.col("place.doc"), F.col("place.th"))).agg(F.collect_list(F.struct("id", "hash", "g", "place")).alias("wanted")))
+    met = matched(docs.select(at(F.col("doc_id").cast("long"), F.xxhash64(text)), text.alias("text")), wanted, "at")
     each = met.select(F.split("text", "\n", -1).alias("lines"), F.explode("wanted").alias("w")).select("w.*", F.get("lines", F.col("w.place.n")).alias("line"))
     counted = each.dropDuplicates(["id"]).withColumn("counts", letter_counts(F.col("line")))
     return counted.withColumn("sketch", sketch(F.col("counts")))
 
 
+def line_hash(line: Column) -> Column:
+    """Half of what a line is known by, and by what it goes while no other line has it."""
+    return F.xxhash64(line)
+
+
+def apart(met: DataFrame) -> DataFrame:
+    """``met(key, j, id, hash, g, place)`` (written) in which different lines with one ``id`` go by the other half of what they are known by."""
+    both = cut(met.groupBy("id").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo != hi").select("id"))
+    return met if both.isEmpty() else cut(met.join(both.withColumn("both", F.lit(True)), "id", "left").withColumn("id", F.when(F.col("both"), F.col("g")).otherwise(F.col("id"))).drop("both"))
+
+
 def decisions(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """Occurrences that go: document key (``doc``, ``th``), line number ``n`` and whether it is a ``near`` copy.
     Keys of more than ``hot`` lines are split."""
     spark = docs.sparkSession
     own_keys = F.when(F.col("len") >= LEAST, keys(F.col("line"), F.col("len")))
     path = scratch(spark, "lines")
-    occurrences(docs).select("doc", "th", "n", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("g"), own_keys.alias("keys")).write.parquet(path)
+    hash_ = line_hash(F.col("line"))
+    occurrences(docs).select("doc", "th", "n", hash_.alias("id"), F.xxhash64(F.lit(1), "line").alias("g"), own_keys.alias("keys")).write.parquet(path)
     rows, place = spark.read.parquet(path), F.struct("doc", "th", "n").alias("place")
 
     keyed = rows.select("id", "g", place, F.posexplode("keys").alias("j", "key"))
-    open_keys = cut(keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("key"))
-    met = cut(keyed.join(up_to(open_keys, BROADCAST), "key").groupBy("key", "j", "id").agg(F.min(F.struct("g", "place")).alias("p")))
-    own = cut(lines_at(docs, met.groupBy("id").agg(F.min("p").alias("p")).select("id", "p.g", "p.place")))
+    open_keys = cut(keyed.groupBy("key").agg(F.min(F.struct("id", "g")).alias("lo"), F.max(F.struct("id", "g")).alias("hi")).where("lo != hi").select("key"))
+    met = cut(thinned(keyed, open_keys, "key").groupBy("key", "j", "id", "g").agg(F.min("place").alias("place")))
+    met = apart(cut(spread_join(met, open_keys, "key", "id").withColumn("hash", F.col("id"))))
+    own = cut(lines_at(docs, met.groupBy("id").agg(F.min(F.struct("hash", "g", "place")).alias("p")).select("id", "p.*")))
     links = cut(line_links(split_hot(met.select("key", "j", "id"), own, hot), own))
-    roots = components(links).toDF("id", "root").join(own.select("id", "g", "place"), "id")
-    roots = cut(roots.select(F.struct("id", "g").alias("line"), "root", "place"))
+    roots = components(links).toDF("id", "root").join(own.select("id", "hash", "g", "place"), "id")
+    roots = cut(roots.select(F.struct(F.col("hash").alias("id"), "g").alias("line"), "root", "place"))
 
-    repeated = cut(rows.groupBy("id", "g").agg(F.count("*").alias("c")).where("c > 1").drop("c"))
-    copies = rows.join(up_to(repeated, BROADCAST), ["id", "g"]).select(F.struct("id", "g").alias("line"), place)
+    repeated = cut(rows.groupBy("id", "g").agg(F.count("*").alias("c")).where("c > 1").select(F.struct("id", "g").alias("line")))
+    copies = thinned(rows.select(F.struct("id", "g").alias("line"), place), repeated, "line")  # others stand alone and stay
     places = cut(copies.union(roots.select("line", "place")).distinct())
     drop_path(spark, path)
     unique = places.groupBy("line").agg(F.min("place").alias("first"))

@@ -69,3 +69,16 @@ def test_contaminated_rows_without_id_go(spark):
     assert left.columns == table.columns
     assert sorted((str(r["doc_id"]), r["text"]) for r in left.collect()) == [("1", "clean"), ("None", "nothing here")]
     assert sorted(str(r["doc_id"]) for r in decontaminate.contaminated(table, bench).collect()) == ["1", "2", "None"]
+
+
+def test_lines_that_share_half_of_what_they_are_known_by(spark, monkeypatch):
+    rng = random.Random(21)
+    words = ["order", "number", "was", "sent", "today", "to", "the", "house", "of", "a", "client"]
+    texts = []
+    for _ in range(40):
+        line = " ".join(rng.choice(words) for _ in range(7))
+        at = rng.randrange(len(line))
+        texts.append("\n".join([line, line[:at] + "x" + line[at:], " ".join(rng.choice(words) for _ in range(7))]))
+    want = lines_by_force(dict(enumerate(texts)))
+    monkeypatch.setattr(lines, "line_hash", lambda line: F.pmod(F.xxhash64(line), F.lit(5)))
+    assert {i: r["dropped"] for i, r in by_id(lines.line_report(docs(spark, texts))).items()} == want
