@@ -8,7 +8,7 @@ from pyspark.sql import Window, functions as F
 
 from gleaner.functions import text as T
 from gleaner.operators import coverage, grouping, matching, reconcile, release, reports, snapshots, temporal
-from gleaner.plans.catalogue import _JOBS, events, matches, now, query, read
+from gleaner.plans.catalogue import _JOBS, _jobs, events, matches, now, query, read
 from gleaner.plans.shared import scratch
 from gleaner.sources import boards, journal
 from gleaner.streaming import outcomes
@@ -361,3 +361,26 @@ def payload_refresh(spark, sf):
     incoming = F.concat(F.lit('{"p": '), "props", F.when(F.col("event_id") % 3 == 0, "}").otherwise(', "new": true}'))
     kept = reports.refreshed(stored, incoming, ["last_seen_at"])
     return e.select("event_id", F.get_json_object(kept, "$.p.k").alias("k"), F.get_json_object(kept, "$.new").isNull().alias("kept"))
+
+
+@query(f"""WITH {_JOBS} SELECT job_id, client_id, CASE WHEN decision <> 'reject' AND client_id IN ('c1', 'c4') AND CAST(job_id AS BIGINT) % 3 = 1 THEN 'reject' ELSE decision END AS decision,
+ CASE WHEN NOT (client_id IN ('c1', 'c4') AND CAST(job_id AS BIGINT) % 3 = 1) THEN score END AS score FROM r""")
+def strict_profiles(spark, sf):
+    """Matches of two strict profiles lose the parts whose own location names another country."""
+    k = F.col("id").cast("long") % 3
+    places = F.when(k == 0, F.array(F.lit("Canada"), F.lit("United States"))).when(k == 1, F.array(F.lit("Spain")))
+    jobs = _jobs(spark, sf).withColumn("location_countries", places)
+    strict = spark.createDataFrame([("c1", "Lagos"), ("c4", None)], "client_id string, residence string")
+    return matching.strict(matches(spark, sf), jobs, strict).select("job_id", "client_id", "decision", "score")
+
+
+@query(f"""WITH {_BRIEFS}, t AS (SELECT DISTINCT p_partkey AS k FROM w JOIN q ON contains(t, role) AND NOT contains(t, other)),
+i AS (SELECT p_partkey AS k, p_brand, CASE WHEN CAST(regexp_extract(p_brand, '[0-9]+') AS INT) % 4 = 0 THEN 'full_collection' WHEN p_size > 30 THEN 'stale_skipped' WHEN p_partkey % 13 = 0 THEN 'uncertain_title' WHEN t.k IS NOT NULL THEN 'candidate' ELSE 'title_skipped' END AS a FROM part LEFT JOIN t ON t.k = p_partkey)
+SELECT p_brand AS target, bool_or(a = 'full_collection') AS fallback_full_collection, count(*) FILTER (WHERE a = 'stale_skipped') AS stale_skipped, count(*) FILTER (WHERE a = 'title_skipped') AS title_skipped, count(*) FILTER (WHERE a = 'uncertain_title') AS uncertain_title,
+ count(*) FILTER (WHERE a IN ('candidate', 'uncertain_title')) AS candidate_paths, count(*) AS index_postings FROM i GROUP BY 1""")
+def index_first_plan(spark, sf):
+    """Brands as targets of a list-only scan, a quarter of which wasn't complete; sizes are ages in days."""
+    postings = part_postings(spark, sf).join(read(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("id"), "p_size"), "id")
+    index = postings.select(F.col("source_board_id").alias("target"), F.col("id").alias("path"), F.when(F.col("id").cast("long") % 13 != 0, F.col("title")).alias("title"), F.when(F.col("p_size") > 30, 30).otherwise(1).alias("age_days"))
+    coverage = index.select("target").distinct().withColumn("status", F.when(F.regexp_extract("target", "[0-9]+", 0).cast("int") % 4 == 0, "partial").otherwise("success"))
+    return boards.index_first_counts(boards.index_first(index, coverage, customer_briefs(spark, sf)))

@@ -7,6 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from gleaner.functions.values import older_than_72h
+from gleaner.operators.matching import may_match
+from gleaner.plans.shared import cut
+
 # Postings of a full page, and the total at which a provider's list is cut off.
 PAGE, CAP = 50, 2000
 
@@ -91,3 +95,37 @@ def index_coverage(pages: DataFrame, facets: DataFrame) -> DataFrame:
     paths = each.join(met.select("target", asked.alias("asked")), "target").where("path IS NOT NULL AND (scope IS NULL OR asked)").groupBy("target").agg(F.count_distinct("path").alias("postings"))
     out = met.withColumns({"coverage_mode": mode, "errors": errors.cast("long"), "rows_seen": F.col("broad_rows") + F.when(asked, F.col("part_rows")).otherwise(0)}).join(paths, "target", "left")
     return out.select("target", "broad_total", "rows_seen", F.coalesce("postings", F.lit(0)).alias("postings"), "coverage_mode", "errors", F.when(F.col("errors") > 0, "partial").otherwise("success").alias("status"))
+
+
+def index_first(index: DataFrame, coverage: DataFrame, briefs: DataFrame) -> DataFrame:
+    """What to do with each posting of a list-only scan: ``index`` with ``action``.
+
+    ``index`` has target, path, title and age_days as the list states it; ``coverage`` target and status (``index_coverage``).  Where the scan of
+    a target isn't a success, what the list doesn't show can't be ruled out, and the whole target is collected (``full_collection``).
+    Else a posting stated as older than 72 hours is left (``stale_skipped``), one without a title is read (``uncertain_title``), and of the others those
+    whose title some brief could take (``candidate``); the rest is ``title_skipped``.
+    """
+    rows = cut(index.join(coverage.select("target", "status"), "target", "left").withColumn("__row", F.monotonically_increasing_id()))
+    taken = may_match(rows, briefs).select("__row", F.lit(True).alias("__taken"))
+    none = briefs.isEmpty()
+    action = (
+        F.when(F.coalesce(F.col("status"), F.lit("")) != "success", "full_collection").when(F.coalesce(older_than_72h(F.col("age_days")), F.lit(False)), "stale_skipped")
+        .when(F.lit(none), "title_skipped").when(F.col("title").isNull(), "uncertain_title").when(F.col("__taken"), "candidate").otherwise("title_skipped")
+    )
+    return rows.join(taken, "__row", "left").withColumn("action", action).select(*index.columns, "action")
+
+
+def index_first_counts(planned: DataFrame) -> DataFrame:
+    """A row per target of ``index_first``: postings by action, and ``candidate_paths`` to read one by one."""
+    named = ["stale_skipped", "title_skipped", "uncertain_title"]
+    return planned.groupBy("target").agg(
+        F.bool_or(F.col("action") == "full_collection").alias("fallback_full_collection"), *[F.count_if(F.col("action") == a).alias(a) for a in named],
+        F.count_if(F.col("action").isin("candidate", "uncertain_title")).alias("candidate_paths"), F.count("*").alias("index_postings"),
+    )
+
+
+def hydrated(details: DataFrame, planned: DataFrame) -> DataFrame:
+    """Of ``details(target, path, ...)`` those that were asked for: whole targets that are collected in full, and single candidates."""
+    whole = planned.where("action = 'full_collection'").select("target").distinct()
+    single = planned.where(F.col("action").isin("candidate", "uncertain_title")).select("target", "path").distinct()
+    return details.join(whole, "target", "left_semi").unionByName(details.join(whole, "target", "left_anti").join(single, ["target", "path"], "left_semi"))

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.operators import release
+from gleaner.operators import matching, release
 from gleaner.sources import boards
 
 NOW = datetime.datetime(2024, 1, 31, tzinfo=datetime.UTC)
@@ -168,3 +168,18 @@ def test_recovery(spark):
     discard, want = resolved(rows)
     assert {r["batch_id"] for r in gone.collect()} == discard and discard
     assert {(r["client_id"], r["destination"]): (r["batch_id"], r["action"]) for r in following.collect()} == want
+
+
+def test_index_first(spark):
+    rows = [("ok", "p1", "Data Engineer", 1), ("ok", "p2", "Data Engineer", 30), ("ok", "p3", None, None), ("ok", "p4", "Cook", 1), ("ok", "p5", "Lead Data Engineer", None), ("part", "p1", "Cook", 30), ("lost", "p1", "Data Engineer", 1)]
+    index = spark.createDataFrame(rows, "target string, path string, title string, age_days int")
+    coverage = spark.createDataFrame([("ok", "success"), ("part", "partial")], "target string, status string")
+    brief = ("c", ["data engineer"], "ignore", ["lead"], [], ([], "ignore", "review"), ([], "ignore", "review"), ([], "ignore", "review"), ([], "ignore", "review"), None, [], [], [])
+    planned = boards.index_first(index, coverage, spark.createDataFrame([brief], matching.BRIEF))
+    got = {(r["target"], r["path"]): r["action"] for r in planned.collect()}
+    assert got == {("ok", "p1"): "candidate", ("ok", "p2"): "stale_skipped", ("ok", "p3"): "uncertain_title", ("ok", "p4"): "title_skipped", ("ok", "p5"): "title_skipped", ("part", "p1"): "full_collection", ("lost", "p1"): "full_collection"}
+    assert {r["target"]: tuple(r)[1:] for r in boards.index_first_counts(planned).collect()} == {"ok": (False, 1, 2, 1, 2, 5), "part": (True, 0, 0, 0, 0, 1), "lost": (True, 0, 0, 0, 0, 1)}
+    details = spark.createDataFrame([(t, f"p{i}") for t in ("ok", "part") for i in range(1, 8)], "target string, path string")
+    assert sorted(tuple(r) for r in boards.hydrated(details, planned).collect()) == [("ok", "p1"), ("ok", "p3")] + [("part", f"p{i}") for i in range(1, 8)]
+    none = boards.index_first(index, coverage, spark.createDataFrame([], matching.BRIEF))
+    assert {r["action"] for r in none.where("target = 'ok'").collect()} == {"stale_skipped", "title_skipped"}
