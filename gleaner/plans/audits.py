@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from gleaner.functions import places, values as V
-from gleaner.operators import read_api, schedule, state
+from gleaner.operators import evidence, read_api, schedule, state
 from gleaner.plans.catalogue import _AT, _DIGEST, _JOBS, events, matches, micros, now, query, read
 from gleaner.sources import replay
 
@@ -102,11 +102,10 @@ WITH i AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'R
 SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN i.k IS NOT NULL THEN 'identity' WHEN u.k IS NOT NULL THEN 'url' WHEN o_orderstatus = 'F' THEN 'delivered' WHEN n > 1 THEN 'duplicate' ELSE 'fresh' END AS outcome
  FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) o LEFT JOIN i ON i.k = o_orderkey LEFT JOIN u ON u.k = o_orderkey) GROUP BY 1""")
 def delivery_projection(spark, sf):
-    flag = lambda d, c, name: d.select(F.col(c).alias("o_orderkey"), F.lit(True).alias(name)).distinct()
-    o = read(spark, sf, "orders").withColumn("n", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
-    o = o.join(flag(read(spark, sf, "lineitem").where("l_returnflag = 'R'"), "l_orderkey", "i"), "o_orderkey", "left").withColumn("u", F.col("o_orderpriority") == "1-URGENT")
-    outcome = F.when(F.col("i"), "identity").when(F.col("u"), "url").when(F.col("o_orderstatus") == "F", "delivered").when(F.col("n") > 1, "duplicate").otherwise("fresh")
-    return o.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+    back = read(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"), F.lit("identity").alias("i")).distinct()
+    o = read(spark, sf, "orders").join(back, "o_orderkey", "left")
+    o = o.withColumns({"history": F.coalesce("i", F.when(F.col("o_orderpriority") == "1-URGENT", "url")), "delivered": F.col("o_orderstatus") == "F"})
+    return evidence.projected(o, "o_custkey", ["o_orderkey"]).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -138,16 +137,16 @@ def url_validity(spark, sf):
 WITH f AS (SELECT o_custkey, count(*) AS n, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS again FROM orders GROUP BY 1)
 SELECT count(*) AS targets, sum(n)::BIGINT AS first_pass, sum(again)::BIGINT AS second_pass, count(*) FILTER (WHERE again > 0) AS not_idle FROM f""")
 def two_pass_totals(spark, sf):
-    f = read(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("again"))
-    return f.agg(F.count("*").alias("targets"), F.sum("n").alias("first_pass"), F.sum("again").alias("second_pass"), F.count_if(F.col("again") > 0).alias("not_idle"))
+    first = read(spark, sf, "orders").select("o_custkey", "o_orderstatus")
+    totals = evidence.two_passes(first, first.where("o_orderstatus = 'F'"), "o_custkey")
+    return totals.where("o_custkey IS NULL").drop("o_custkey")
 
 
 @query("""
 SELECT c_custkey, CASE WHEN s.n IS NULL THEN 'not_started' WHEN s.open > 0 THEN 'running' ELSE 'done' END AS disposition FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'O') AS open FROM orders GROUP BY 1) s ON s.o_custkey = c_custkey""")
 def hand_off(spark, sf):
-    s = read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "O").alias("open"))
-    met = read(spark, sf, "customer").select("c_custkey").join(s, "c_custkey", "left")
-    return met.select("c_custkey", F.when(F.col("n").isNull(), "not_started").when(F.col("open") > 0, "running").otherwise("done").alias("disposition"))
+    runs = read(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    return evidence.hand_off(read(spark, sf, "customer"), runs, "c_custkey", F.col("o_orderstatus") == "O")
 
 
 @query("""
@@ -155,22 +154,20 @@ WITH e AS (SELECT l_orderkey, count(*) AS declared, count(DISTINCT l_linenumber)
 SELECT l_orderkey, there = declared AND lo = 1 AND hi = declared AS complete, declared - there AS repeated FROM e""")
 def complete_sets(spark, sf):
     """Whether a set's parts are exactly those from 1 to their number."""
-    e = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("d"), F.count_distinct("l_linenumber").alias("t"), F.min("l_linenumber").alias("lo"), F.max("l_linenumber").alias("hi"))
-    return e.select("l_orderkey", ((F.col("t") == F.col("d")) & (F.col("lo") == 1) & (F.col("hi") == F.col("d"))).alias("complete"), (F.col("d") - F.col("t")).alias("repeated"))
+    return evidence.complete_sets(read(spark, sf, "lineitem"), ["l_orderkey"], "l_linenumber").select("l_orderkey", "complete", "repeated")
 
 
 @query("SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P'")
 def retained_identities(spark, sf):
     """Identities in nested lists, exploded and distinct."""
     lists = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set("l_partkey").alias("ids"))
-    o = read(spark, sf, "orders").where("o_orderstatus = 'P'").join(lists, "o_orderkey")
-    return o.select("o_custkey", F.explode("ids").alias("l_partkey")).distinct()
+    return evidence.exploded_identities(read(spark, sf, "orders").join(lists, "o_orderkey"), F.col("o_orderstatus") == "P", "ids", "o_custkey", "l_partkey")
 
 
 @query("SELECT o_custkey, count(*) = 1 AS bound, min(o_orderkey) AS brief FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1")
 def exactly_one_binding(spark, sf):
-    o = read(spark, sf, "orders").where("o_orderpriority = '1-URGENT'")
-    return o.groupBy("o_custkey").agg((F.count("*") == 1).alias("bound"), F.min("o_orderkey").alias("brief"))
+    o = read(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").withColumnRenamed("o_orderkey", "brief")
+    return evidence.exactly_one(o, "o_custkey", "brief")
 
 
 @query(f"""
@@ -186,8 +183,8 @@ def operator_snapshot(spark, sf):
 @query("""
 SELECT o_orderkey, epoch_us(o_orderdate) AS at, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders""")
 def event_history(spark, sf):
-    own = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return read(spark, sf, "orders").select("o_orderkey", micros("o_orderdate").alias("at"), F.row_number().over(own).cast("long").alias("version"), F.lag("o_orderstatus").over(own).alias("before"))
+    known = evidence.history(read(spark, sf, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderstatus")
+    return known.select("o_orderkey", micros("o_orderdate").alias("at"), "version", "before")
 
 
 @query("SELECT o_orderkey, substr(o_orderpriority, 1, 1) AS id FROM orders WHERE o_custkey = 7 AND o_orderstatus = 'F'")
@@ -237,8 +234,7 @@ def frozen_batches(spark, sf):
     """The frozen items of each batch by ordinal, and whether none is missing."""
     own = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     o = read(spark, sf, "orders").where("o_orderstatus = 'F'").withColumn("rn", F.row_number().over(own))
-    items = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", "o_orderkey"))), lambda x: x["o_orderkey"].cast("string")), ",")
-    return o.groupBy("o_custkey").agg(F.count("*").alias("items"), (F.count("*") == F.max("rn")).alias("whole"), items.alias("frozen"))
+    return evidence.frozen(o, "o_custkey", "rn", "o_orderkey")
 
 
 @query("""SELECT u.s_suppkey IS NULL AS only_health, h.l_suppkey IS NULL AS only_universe, count(*) AS n FROM (SELECT DISTINCT s_suppkey FROM supplier) u FULL JOIN (SELECT DISTINCT l_suppkey FROM lineitem) h ON h.l_suppkey = u.s_suppkey GROUP BY 1, 2""")

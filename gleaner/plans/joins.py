@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import Window, functions as F
 
 from gleaner.functions import text as T
-from gleaner.operators import coverage, grouping, matching, reconcile, release, reports, snapshots, temporal
+from gleaner.operators import coverage, evidence, grouping, matching, reconcile, release, reports, snapshots, temporal
 from gleaner.plans.catalogue import _JOBS, _jobs, events, matches, now, query, read
 from gleaner.plans.shared import scratch
 from gleaner.sources import boards, journal
@@ -384,3 +384,32 @@ def index_first_plan(spark, sf):
     index = postings.select(F.col("source_board_id").alias("target"), F.col("id").alias("path"), F.when(F.col("id").cast("long") % 13 != 0, F.col("title")).alias("title"), F.when(F.col("p_size") > 30, 30).otherwise(1).alias("age_days"))
     coverage = index.select("target").distinct().withColumn("status", F.when(F.regexp_extract("target", "[0-9]+", 0).cast("int") % 4 == 0, "partial").otherwise("success"))
     return boards.index_first_counts(boards.index_first(index, coverage, customer_briefs(spark, sf)))
+
+
+@query("""WITH h AS (SELECT l_suppkey % 3 AS client, l_orderkey AS k FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1), o AS (SELECT l_suppkey % 3 AS client, l_orderkey AS k FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber <= 2)
+SELECT o_orderkey, CASE WHEN EXISTS (SELECT 1 FROM h WHERE k = o_orderkey AND client = o_custkey % 3) THEN CASE WHEN o_orderkey % 2 = 0 THEN 'identity' ELSE 'url' END
+ WHEN EXISTS (SELECT 1 FROM o WHERE k = o_orderkey AND client = o_custkey % 3) THEN CASE WHEN o_orderkey % 2 = 0 THEN 'observed_identity' ELSE 'observed_url' END END AS basis FROM orders""")
+def surfaced_basis(spark, sf):
+    """By which evidence an order was surfaced for its client: links of even orders have an identity, those of odd ones a URL."""
+    def links(name, key, client):
+        even, text = F.col(key) % 2 == 0, F.col(key).cast("string")
+        return [(F.col(client) % 3).cast("string").alias("client_id"), F.lit("d").alias("destination"), F.when(even, "s").alias("source"), F.lit("b").alias("source_board_id"), text.alias("source_job_id"), F.when(~even, text).alias(name)]
+
+    lines = read(spark, sf, "lineitem")
+    old = lines.where("l_returnflag = 'R' AND l_linenumber = 1").select(*links("normalized_url", "l_orderkey", "l_suppkey"))
+    seen = lines.where("l_returnflag = 'A' AND l_linenumber <= 2").select(*links("normalized_url", "l_orderkey", "l_suppkey"))
+    postings = read(spark, sf, "orders").select("o_orderkey", *links("canonical_url", "o_orderkey", "o_custkey"))
+    return evidence.surfaced_basis(postings, old, seen).select("o_orderkey", "basis")
+
+
+@query("""SELECT o_orderkey, greatest(0, 5 - o_custkey % 7) AS remaining, CASE WHEN o_orderkey % 11 = 0 THEN 'not_owned' WHEN o_orderstatus = 'F' THEN 'already_delivered' WHEN o_orderkey % 13 = 0 THEN 'recover_journal' WHEN o_orderkey % 3 = 0 AND o_orderpriority = '5-LOW' THEN 'mode_changed'
+ WHEN o_custkey % 5 = 0 THEN 'paused' WHEN o_orderkey % 4 > greatest(0, 5 - o_custkey % 7) THEN 'quota_exceeded' ELSE 'ready' END AS guard FROM orders""")
+def release_guards(spark, sf):
+    """Orders as batches at their release, by the first check that holds."""
+    k, c, name = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_custkey").cast("string")
+    batches = read(spark, sf, "orders").select(
+        "o_orderkey", name.alias("client_id"), F.lit("d").alias("destination_id"), F.when(k % 11 == 0, "x").otherwise(name).alias("profile_client_id"), F.lit("d").alias("profile_destination_id"),
+        F.when(F.col("o_orderstatus") == "F", "delivered").otherwise("prepared").alias("status"), F.when(k % 13 == 0, "h").alias("export_after"), F.lit("h").alias("observed_digest"), F.when(k % 3 == 0, "auto").otherwise("review").alias("delivery_mode"),
+        (F.col("o_orderpriority") == "5-LOW").alias("include_review"), F.when(c % 5 == 0, "paused").otherwise("active").alias("profile_status"), (k % 4).alias("selected"), F.lit(5).alias("daily_quota"), (c % 7).alias("delivered_today"),
+    )
+    return evidence.release_guard(batches).select("o_orderkey", "remaining", "guard")

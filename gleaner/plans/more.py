@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from gleaner.functions import places, text as T, values as V
-from gleaner.operators import lifecycle, read_api, selection, state
+from gleaner.operators import evidence, lifecycle, read_api, selection, state
 from gleaner.plans.catalogue import _AT, _DIGEST, events, micros, now, query, read
 
 # -- lifecycles --------------------------------------------------------------------------------------------------------
@@ -244,9 +244,8 @@ def delivery_basis(spark, sf):
 WITH m AS (SELECT o_custkey, count(*) AS ids, min(o_orderkey) AS id FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)
 SELECT c_custkey, CASE WHEN ids = 1 THEN id END AS resolved, CASE WHEN ids IS NULL THEN 'missing' WHEN ids > 1 THEN 'ambiguous' ELSE 'resolved' END AS outcome FROM customer LEFT JOIN m ON o_custkey = c_custkey""")
 def import_resolution(spark, sf):
-    m = read(spark, sf, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("ids"), F.min("o_orderkey").alias("id"))
-    met = read(spark, sf, "customer").select("c_custkey").join(m, "c_custkey", "left")
-    return met.select("c_custkey", F.when(F.col("ids") == 1, F.col("id")).alias("resolved"), F.when(F.col("ids").isNull(), "missing").when(F.col("ids") > 1, "ambiguous").otherwise("resolved").alias("outcome"))
+    known = read(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    return evidence.resolved(read(spark, sf, "customer"), known, "c_custkey", "o_orderkey")
 
 
 @query("""
@@ -264,10 +263,9 @@ WITH h AS (SELECT conv_id, turn, role, sha256(text) AS h FROM conversations)
 SELECT conv_id, sha256(string_agg(CAST(turn AS VARCHAR) || ':' || role || ':' || h, ',' ORDER BY turn, role, h)) AS digest, count(*) AS parts FROM h GROUP BY 1""")
 def ordered_set_digest(spark, sf):
     """A digest of each conversation's turns in their order."""
-    part = F.struct("turn", "role", F.sha2("text", 256).alias("h"))
-    rows = read(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(part)).alias("p"))
-    said = F.array_join(F.transform("p", lambda x: F.concat_ws(":", x["turn"].cast("string"), x["role"], x["h"])), ",")
-    return rows.select("conv_id", F.sha2(said, 256).alias("digest"), F.size("p").cast("long").alias("parts"))
+    hashed = read(spark, sf, "conversations").withColumn("h", F.sha2("text", 256))
+    said = F.concat_ws(":", F.col("turn").cast("string"), "role", "h")
+    return evidence.ordered_digest(hashed, ["conv_id"], ["turn", "role", "h"], said)
 
 
 @query("""
@@ -275,14 +273,13 @@ WITH g AS (SELECT l_orderkey, list(struct_pack(f := l_returnflag, n := l_linenum
 SELECT l_orderkey, members, CASE WHEN list_contains(list_transform(m, lambda x: x.f), 'R') THEN m[1].n END AS representative FROM g""")
 def group_page(spark, sf):
     """Groups with their number of members, and a representative only where a delivery is recorded."""
-    g = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("members"), F.min("l_linenumber").alias("first"), F.bool_or(F.col("l_returnflag") == "R").alias("delivered"))
-    return g.select("l_orderkey", "members", F.when(F.col("delivered"), F.col("first")).alias("representative"))
+    return evidence.group_pages(read(spark, sf, "lineitem"), "l_orderkey", "l_linenumber", F.col("l_returnflag") == "R", ["l_linenumber"])
 
 
 @query("SELECT o_custkey, max_by(o_orderpriority, o_orderkey) AS brief, epoch_us(max_by(o_orderdate, o_orderkey)) AS registered FROM orders GROUP BY 1")
 def latest_brief(spark, sf):
-    last = F.max_by(F.struct("o_orderpriority", "o_orderdate"), "o_orderkey").alias("b")
-    return read(spark, sf, "orders").groupBy("o_custkey").agg(last).select("o_custkey", F.col("b.o_orderpriority").alias("brief"), micros("b.o_orderdate").alias("registered"))
+    last = evidence.latest(read(spark, sf, "orders"), "o_custkey", "o_orderkey", ["o_orderpriority", "o_orderdate"])
+    return last.select("o_custkey", F.col("o_orderpriority").alias("brief"), micros("o_orderdate").alias("registered"))
 
 
 @query("""
@@ -299,13 +296,13 @@ WITH o AS (SELECT event_id, user_id, CASE WHEN value <= 5 THEN 'reject' WHEN use
 k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS place FROM o WHERE early IS NULL)
 SELECT outcome, count(*) AS n, count(DISTINCT user_id) AS targets FROM (SELECT user_id, early AS outcome FROM o WHERE early IS NOT NULL UNION ALL SELECT user_id, CASE WHEN place > 3 THEN 'company_cap' ELSE 'deliverable' END FROM k) GROUP BY 1""")
 def outcome_ladder(spark, sf):
-    done = read(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("user_id"), F.lit(True).alias("done")).distinct()
-    e = events(spark, sf).join(done, "user_id", "left")
-    early = F.when(F.col("value") <= 5, "reject").when(F.col("done"), "historical").when(F.col("ts") < F.lit("2024-01-28").cast("timestamp"), "stale")
-    e = e.withColumn("early", early)
-    place = F.row_number().over(Window.partitionBy("user_id", F.col("early").isNull()).orderBy(F.desc("value"), "event_id"))
-    outcome = F.coalesce("early", F.when(F.col("place") > 3, "company_cap").otherwise("deliverable"))
-    return e.withColumn("place", place).groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("targets"))
+    done = read(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("user_id"), F.lit(True).alias("historical")).distinct()
+    e = events(spark, sf).join(done, "user_id", "left").withColumns({
+        "decision": F.when(F.col("value") <= 5, "reject").otherwise("strong_match"), "stale": F.when(F.col("ts") < F.lit("2024-01-28").cast("timestamp"), "stale"), "delivered": F.lit(False),
+        "eligible": F.lit(True), "group_id": F.lit(None).cast("string"), "employer": F.col("user_id"),
+    })
+    found = evidence.outcome_ladder(e, [F.desc("value"), F.col("event_id")], 3)
+    return found.groupBy("outcome").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("targets"))
 
 
 @query("""
@@ -319,17 +316,16 @@ def yield_lookback(spark, sf):
 
 @query("""SELECT l_returnflag AS class, count(*) AS n, sum(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END)::BIGINT AS admitted, count(DISTINCT l_suppkey) AS targets FROM lineitem GROUP BY 1""")
 def discovery_summary(spark, sf):
-    return read(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("class")).agg(F.count("*").alias("n"), F.count_if(F.col("l_quantity") > 25).alias("admitted"), F.count_distinct("l_suppkey").alias("targets"))
+    return evidence.class_summary(read(spark, sf, "lineitem").withColumnRenamed("l_returnflag", "class"), "class", F.col("l_quantity") > 25, "l_suppkey")
 
 
 @query("""
 WITH a AS (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R')
 SELECT count(*) FILTER (WHERE l_orderkey IS NULL) AS first_only, count(*) FILTER (WHERE o_orderkey IS NULL) AS replay_only, count(*) FILTER (WHERE o_orderkey = l_orderkey) AS both FROM a FULL JOIN b ON o_orderkey = l_orderkey""")
 def supply_replay(spark, sf):
-    a = read(spark, sf, "orders").where("o_orderstatus = 'F'").select("o_orderkey").distinct()
-    b = read(spark, sf, "lineitem").where("l_returnflag = 'R'").select("l_orderkey").distinct()
-    return a.join(b, F.col("o_orderkey") == F.col("l_orderkey"), "full").agg(
-        F.count_if(F.col("l_orderkey").isNull()).alias("first_only"), F.count_if(F.col("o_orderkey").isNull()).alias("replay_only"), F.count_if(F.col("o_orderkey") == F.col("l_orderkey")).alias("both"))
+    a = read(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k"))
+    b = read(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("k"))
+    return evidence.compared_sets(a, b, "k").withColumnRenamed("second_only", "replay_only")
 
 
 @query("""SELECT page_id, CASE code WHEN 200 THEN 'success' WHEN 404 THEN 'missing' WHEN 429 THEN 'rate_limited' WHEN 503 THEN 'unavailable' ELSE 'failed' END AS class FROM (SELECT page_id, [200, 404, 410, 429, 503, 500][page_id % 6 + 1] AS c, CASE c WHEN 410 THEN 404 ELSE c END AS code FROM pages)""")
