@@ -113,7 +113,7 @@ def projected(postings: DataFrame, group: str, order: list[str]) -> DataFrame:
 
 def outcome_ladder(candidates: DataFrame, order: list, cap: int) -> DataFrame:
     """``candidates`` with their ``outcome``, the first rung that holds: ``reject``, ``historical``, ``delivered``, a freshness disposition (``stale``), ``not_eligible``, ``duplicate`` (not the first
-    of its group), ``company_cap`` (beyond the employer's ``cap``), else ``deliverable``.
+    of its group in the ascending ``order``), ``company_cap`` (beyond the employer's ``cap``), else ``deliverable``.
 
     Needs decision, historical, delivered, stale (NULL if fresh), eligible, group_id (NULL: alone) and employer.  Each rung only counts those that passed the ones before.
     """

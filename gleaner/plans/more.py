@@ -301,7 +301,7 @@ def outcome_ladder(spark, sf):
         "decision": F.when(F.col("value") <= 5, "reject").otherwise("strong_match"), "stale": F.when(F.col("ts") < F.lit("2024-01-28").cast("timestamp"), "stale"), "delivered": F.lit(False),
         "eligible": F.lit(True), "group_id": F.lit(None).cast("string"), "employer": F.col("user_id"),
     })
-    found = evidence.outcome_ladder(e, [F.desc("value"), F.col("event_id")], 3)
+    found = evidence.outcome_ladder(e, [-F.col("value"), F.col("event_id")], 3)
     return found.groupBy("outcome").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("targets"))
 
 
