@@ -256,7 +256,8 @@ def decisions(docs: DataFrame, hot: int = HOT) -> DataFrame:
     rows, place = spark.read.parquet(path), F.struct("doc", "th", "n").alias("place")
 
     keyed = rows.select("id", "g", place, F.posexplode("keys").alias("j", "key"))
-    open_keys = cut(keyed.groupBy("key").agg(F.min(F.struct("id", "g")).alias("lo"), F.max(F.struct("id", "g")).alias("hi")).where("lo != hi").select("key"))
+    ends = [f(c).alias(f"{n}_{c}") for c in ("id", "g") for n, f in (("lo", F.min), ("hi", F.max))]  # four numbers, so that they are hashed and not sorted
+    open_keys = cut(keyed.groupBy("key").agg(*ends).where("lo_id != hi_id OR lo_g != hi_g").select("key"))
     met = cut(thinned(keyed, open_keys, "key").groupBy("key", "j", "id", "g").agg(F.min("place").alias("place")))
     met = apart(cut(spread_join(met, open_keys, "key", "id").withColumn("hash", F.col("id"))))
     own = cut(lines_at(docs, met.groupBy("id").agg(F.min(F.struct("hash", "g", "place")).alias("p")).select("id", "p.*")))
