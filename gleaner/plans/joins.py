@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import Window, functions as F
 
 from gleaner.functions import text as T
-from gleaner.operators import coverage, evidence, grouping, matching, reconcile, release, reports, snapshots, temporal
+from gleaner.operators import coverage, destinations, evidence, grouping, matching, reconcile, release, reports, snapshots, temporal
 from gleaner.plans.catalogue import _JOBS, _jobs, events, matches, now, query, read
 from gleaner.plans.shared import scratch
 from gleaner.sources import boards, journal
@@ -413,3 +413,33 @@ def release_guards(spark, sf):
         (F.col("o_orderpriority") == "5-LOW").alias("include_review"), F.when(c % 5 == 0, "paused").otherwise("active").alias("profile_status"), (k % 4).alias("selected"), F.lit(5).alias("daily_quota"), (c % 7).alias("delivered_today"),
     )
     return evidence.release_guard(batches).select("o_orderkey", "remaining", "guard")
+
+
+# -- destinations and runs ------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH m AS (SELECT DISTINCT l_linenumber AS run_id, l_orderkey AS k FROM lineitem), j AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate WHEN o_orderkey % 2 = 0 THEN o_orderdate - INTERVAL 400 DAY END AS at FROM orders WHERE o_orderstatus <> 'P')
+SELECT run_id, count(*) AS jobs, count(*) FILTER (WHERE at IS NULL OR at >= TIMESTAMP '2001-08-02' - INTERVAL 1095 DAY) AS active FROM m JOIN j USING (k) GROUP BY 1""")
+def run_inventories(spark, sf):
+    """Orders of each line number as postings of a run; of every fifth only retention remembers a time, if any."""
+    o, fifth = read(spark, sf, "orders"), F.col("o_orderkey") % 5 == 0
+    jobs = o.select(F.col("o_orderkey").alias("job_id"), F.when(F.col("o_orderstatus") == "P", "closed").otherwise("seen").alias("lifecycle"), F.when(~fifth, F.col("o_orderdate").cast("timestamp")).alias("posted_at"))
+    known = o.where(fifth & (F.col("o_orderkey") % 2 == 0)).select(F.col("o_orderkey").alias("job_id"), (F.col("o_orderdate") - F.expr("INTERVAL 400 DAYS")).cast("timestamp").alias("posted_at"))
+    members = read(spark, sf, "lineitem").select(F.col("l_linenumber").alias("run_id"), F.col("l_orderkey").alias("job_id"))
+    found = destinations.run_inventory(members, jobs, known, F.lit("2001-08-02").cast("timestamp"), 24 * 1095)
+    return found.groupBy("run_id").agg(F.count("*").alias("jobs"), F.count_if("active").alias("active"))
+
+
+@query("""WITH l AS (SELECT DISTINCT c_nationkey, c_custkey % 40 AS n FROM customer WHERE c_acctbal > 0), s AS (SELECT DISTINCT s_nationkey, s_suppkey % 40 AS n FROM supplier)
+SELECT 'sheet:' || l.c_nationkey AS destination, count(*) AS observed_links, count(*) FILTER (WHERE s.n IS NULL) AS newly_recorded_links FROM l LEFT JOIN s ON s_nationkey = c_nationkey AND s.n = l.n GROUP BY 1""")
+def observed_sheet_links(spark, sf):
+    """A sheet for each nation with its customers' links, of which its suppliers' were seen before."""
+    nation = F.col("c_nationkey").cast("string")
+    link = lambda k: F.concat(F.lit("https://shop.example/"), (F.col(k) % 40).cast("string"))
+    head = F.array(F.lit("Name"), F.lit("Address"))
+    rows = read(spark, sf, "customer").select(nation.alias("destination_id"), F.when(F.col("c_acctbal") > 0, F.array("c_name", link("c_custkey"))).otherwise(F.array("c_name")).alias("r"))
+    sheets = rows.groupBy("destination_id").agg(F.collect_list("r").alias("rows")).select("destination_id", F.concat(F.array(head), "rows").alias("rows"))
+    known = sheets.select("destination_id", F.lit("c").alias("client_id"), head.alias("header"), F.create_map(F.lit("Job Link"), F.lit("Address")).alias("column_mapping"), F.concat(F.lit("sheet:"), "destination_id").alias("logical_uri"))
+    seen = read(spark, sf, "supplier").select(F.lit("c").alias("client_id"), F.concat(F.lit("sheet:"), F.col("s_nationkey").cast("string")).alias("destination"), link("s_suppkey").alias("normalized_url"), F.lit(0).alias("first_observed_at")).distinct()
+    _, counts = destinations.observe_links(destinations.sheet_links(sheets, known), seen, F.lit(1))
+    return counts.drop("client_id")
