@@ -418,8 +418,8 @@ def release_guards(spark, sf):
 # -- destinations and runs ------------------------------------------------------------------------------------------------------
 
 
-@query("""WITH m AS (SELECT DISTINCT l_linenumber AS run_id, l_orderkey AS k FROM lineitem), j AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate WHEN o_orderkey % 2 = 0 THEN o_orderdate - INTERVAL 400 DAY END AS at FROM orders WHERE o_orderstatus <> 'P')
-SELECT run_id, count(*) AS jobs, count(*) FILTER (WHERE at IS NULL OR at >= TIMESTAMP '2001-08-02' - INTERVAL 1095 DAY) AS active FROM m JOIN j USING (k) GROUP BY 1""")
+@query("""WITH m AS (SELECT DISTINCT l_linenumber AS run_id, l_orderkey AS k FROM lineitem), j AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate WHEN o_orderkey % 2 = 0 THEN o_orderdate - INTERVAL 400 DAY END AS d FROM orders WHERE o_orderstatus <> 'P')
+SELECT run_id, count(*) AS jobs, count(*) FILTER (WHERE d IS NULL OR d >= TIMESTAMP '2001-08-02' - INTERVAL 1095 DAY) AS active FROM m JOIN j USING (k) GROUP BY 1""")
 def run_inventories(spark, sf):
     """Orders of each line number as postings of a run; of every fifth only retention remembers a time, if any."""
     o, fifth = read(spark, sf, "orders"), F.col("o_orderkey") % 5 == 0
