@@ -1,7 +1,8 @@
 """Secret scans: patterns propose candidates, a random forest removes the false positives.
 
 A candidate is a run of token characters that is long and holds a digit, a key with an issuer's prefix, or any value of
-four characters or more, quoted or without spaces, that is assigned to a word like ``password``.  Its features are its length, how its characters change (classes, letters that follow each other,
+four characters or more, quoted or without spaces, that is assigned to a word like ``password`` or to a name that ends with one; a JSON web
+token or a private key is one candidate as a whole, and so is the password of an address with credentials.  Its features are its length, how its characters change (classes, letters that follow each other,
 distinct ones, vowels), how much of it dictionary words cover, where the document comes from, and the words around it.
 The forest is trained on labelled findings: rows of the same features with a label.  All of it is DataFrame functions
 and the JVM's own forest.
@@ -20,20 +21,26 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from gleaner.llm.common import cut, table
+from gleaner.llm.common import cut, spread_join, table
 
-_NAMES = r"(?:pass(?:word|wd|phrase)|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?"
+#: Words that secrets are assigned to; a longer name may end with one after a character that is no letter or digit.
+_NAMES = r"(?<![A-Za-z0-9])(?:pass(?:wor[dt]|wd|phrase)|kennwort|contraseña|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?"
 _TOKEN = r"A-Za-z0-9+/_-"
 #: What is assigned to one of the names: a quoted value up to its quote, or what has no space or quote, less the punctuation that ends it.
-_QUOTED = "|".join(rf"(?<=\b{_NAMES}[\"']? ?[=:] ?{q})[^{q}\r\n]{{4,512}}+(?={q})" for q in "\"'")
-_ASSIGNED = rf"(?<=\b{_NAMES}[\"']? ?[=:] ?[\"']?)[^\s\"']{{3,}}[^\s\"'.,;:)\]}}>]"
+_QUOTED = "|".join(rf"(?<={_NAMES}[\"']? ?[=:] ?{q})[^{q}\r\n]{{4,512}}+(?={q})" for q in "\"'")
+_ASSIGNED = rf"(?<={_NAMES}[\"']? ?[=:] ?[\"']?)[^\s\"']{{3,}}[^\s\"'.,;:)\]}}>]"
+#: A JSON web token, and a private key from its head to its end, whole.
+_WHOLE = r"(?-i:eyJ[A-Za-z0-9_-]{6,}+[.][A-Za-z0-9_-]{6,}+[.][A-Za-z0-9_-]{6,}+|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=:,\s-]{16,8192}?-----END [A-Z ]{0,20}PRIVATE KEY-----)"
+#: The password of an address with credentials; what stands before it is tested apart, as it may be long.
+_CREDENTIAL = r"(?<=:)[^\s:/@\"']{4,128}+(?=@)"
 #: What the issuer's prefix tells, with or without a digit.
 _PREFIXED = rf"(?<![{_TOKEN}])(?-i:A[KS]IA[A-Z0-9]{{16}}|(?:gh[opsu]_|glpat-|xox[abprs]-|sk_live_|sk-)[{_TOKEN}]{{16,}}+)(?![{_TOKEN}])"
-#: A candidate: one of these, or a run of 16 token characters or more with a digit.
-CANDIDATE = rf"(?i){_QUOTED}|{_ASSIGNED}|{_PREFIXED}|(?<![{_TOKEN}])(?=[A-Za-z+/_-]*+[0-9])[{_TOKEN}]{{16,}}+"
+#: A candidate: one of these, or a run of 16 token characters or more with a digit, whichever comes first.
+_RUN = rf"(?<![{_TOKEN}])(?=[A-Za-z+/_-]*+[0-9])[{_TOKEN}]{{16,}}+"
+CANDIDATE = rf"(?i){_WHOLE}|{_QUOTED}|{_ASSIGNED}|{_PREFIXED}|{_RUN}|{_CREDENTIAL}"
 #: Characters kept around a candidate, and their words that hint at a secret or at a harmless id.
 NEAR = 40
-SECRET_WORDS = r"pass(word|wd|phrase)|pwd|secret|token|api[_-]?key|access|auth|credential|private|bearer|aws|key"
+SECRET_WORDS = r"pass(wor[dt]|wd|phrase)|kennwort|contraseña|pwd|secret|token|api[_-]?key|access|auth|credential|private|bearer|aws|key"
 HARMLESS_WORDS = r"sha1|sha256|md5|commit|checksum|hash|uuid|guid|version|revision|order|invoice|card|phone|isbn|doi|example"
 #: Documents that make a word a dictionary word, and the least letters of one.
 WORD_DOCS, WORD_LETTERS = 5, 3
@@ -51,7 +58,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     pieces, matches = F.split(text, CANDIDATE, -1), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
     path = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
     rows = docs.select("doc_id", path.alias("path"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
-    rows = rows.where(F.col("text").rlike("[0-9=:]|A[KS]IA|gh[opsu]_|glpat-|xox|sk[-_]"))  # every candidate holds a digit, follows one of = : or has a prefix
+    rows = rows.where(F.col("text").rlike("[0-9=:]|A[KS]IA|gh[opsu]_|glpat-|xox|sk[-_]|eyJ|-----BEGIN"))  # every candidate holds a digit, follows one of = : or has a prefix
 
     def one(match: Column, i: Column) -> Column:
         before, after = F.get(pieces, i), F.get(pieces, i + 1)
@@ -60,7 +67,9 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     each = rows.select("doc_id", "path", "row", F.explode(F.transform(matches, one)).alias("m")).select("doc_id", "path", "row", "m.*")
     stop = F.sum(F.col("gap") + F.length("candidate")).over(Window.partitionBy("row").orderBy("i"))
-    return each.withColumn("stop", stop).select("doc_id", "path", (F.col("stop") - F.length("candidate")).alias("start"), "stop", "candidate", "before", "after")
+    # between ":" and "@" stands a password only behind the user of an address
+    between = F.endswith("before", F.lit(":")) & F.startswith("after", F.lit("@")) & ~F.col("before").rlike(r"//[^\s:/@]*:$") & ~F.col("candidate").rlike(f"^(?i){_RUN}$")
+    return each.withColumn("stop", stop).where(~between).select("doc_id", "path", (F.col("stop") - F.length("candidate")).alias("start"), "stop", "candidate", "before", "after")
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
@@ -92,7 +101,7 @@ def featured(found: DataFrame, words: DataFrame, likely: Column) -> DataFrame:
     rows = found.withColumn("__row", F.monotonically_increasing_id())
     parts = cut(rows.withColumn("__part", F.regexp_extract_all(F.lower("candidate"), F.lit(rf"\p{{L}}{{{WORD_LETTERS},}}"), F.lit(0))))
     covered = (
-        parts.select("__row", F.explode("__part").alias("word")).join(words.hint("shuffle_merge"), "word")
+        spread_join(cut(parts.select("__row", F.explode("__part").alias("word"))), words, "word", "__row")
         .groupBy("__row").agg(F.sum(F.length("word")).alias("__covered"))
     )
     return parts.join(covered, "__row", "left").withColumns({
@@ -104,7 +113,7 @@ def featured(found: DataFrame, words: DataFrame, likely: Column) -> DataFrame:
         "covered": F.coalesce("__covered", F.lit(0)) / n,
         "assigned": number(F.col("before").rlike(r"[=:] ?[\"']?$")), "quoted": number(F.col("before").rlike(r"[\"']$")),
         "secret_near": number(near.rlike(SECRET_WORDS)), "harmless_near": number(near.rlike(HARMLESS_WORDS)),
-        "prefix": number(c.rlike(r"^(AKIA|ASIA|ghp_|gho_|xox[bp]-|sk-|sk_live|glpat-|eyJ)")),
+        "prefix": number(c.rlike(r"^(AKIA|ASIA|ghp_|gho_|xox[bp]-|sk-|sk_live|glpat-|eyJ|-----BEGIN )")),
         "path_config": number(F.lower("path").rlike(r"[.](env|ya?ml|json|ini|cfg|conf|properties|toml)$")),
         "path_docs": number(F.lower("path").rlike("doc|readme|test|example|fixture")),
     }).drop("__row", "__part", "__covered")
@@ -121,8 +130,10 @@ def made_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     word = lambda k: pick(k, "the", "and", "value", "note", "from", "data", "page", "line", "with", "list", "report", "total")
     name = pick("name", "password", "passwd", "token", "secret", "api_key", "access_key", "auth")
     gives = pick("gives", " = \"", "=", ": ", ": '", " = ", "\": \"")
-    one = lambda c, g, n: F.struct(c.alias("c"), g.alias("g"), n.alias("n"))
-    secret = F.array(
+    one = lambda c, g, n, a=F.lit(" "): F.struct(c.alias("c"), g.alias("g"), n.alias("n"), a.alias("a"))
+    web = F.translate(base64, "+/", "-_")
+    user = F.concat(F.lit("://"), word("u"), F.lit(":"))
+    secret = [
         one(F.concat(F.lit("AKIA"), letters), F.lit(" "), F.lit("")),
         one(F.substring(hexes, 1, 18), gives, name), one(hexes, gives, name),
         one(F.substring(base64, 1, 40), gives, name), one(F.concat(F.lit("ghp_"), F.substring(base64, 1, 36)), F.lit(" "), F.lit("")),
@@ -131,8 +142,11 @@ def made_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         one(F.concat(F.substring(base64, 3, 3), pick("s3", "!", "#", "", "$"), F.substring(digits, 1, 2)), gives, name),
         one(F.concat(F.lit("AKIA"), F.translate(letters, "0123456789", "QRSTUVWXYZ")), F.lit(" "), F.lit("")),
         one(F.concat(word("s4"), F.substring(digits, 5, 1), F.translate(F.substring(more, 1, 6), "0123456789", "ghijklmnop")), gives, name),
-    )
-    harmless = F.array(
+        one(F.concat_ws(".", F.concat(F.lit("eyJ"), F.substring(web, 1, 18)), F.concat(F.lit("eyJ"), F.substring(web, 5, 30)), F.substring(web, 9, 36)), pick("s5", " ", "Bearer ", ": "), F.lit("")),
+        one(F.concat(F.lit("-----BEGIN "), pick("s6", "", "RSA ", "EC "), F.lit("PRIVATE KEY-----\n"), base64, F.lit("\n"), F.reverse(base64), F.lit("\n-----END PRIVATE KEY-----")), F.lit("\n"), F.lit("")),
+        one(F.concat(F.substring(base64, 2, 5), F.substring(digits, 3, 2), F.substring(base64, 9, 4)), user, F.lit(""), F.lit("@")),
+    ]
+    harmless = [
         one(F.substring(digits, 1, 16), F.lit(" "), pick("n1", "card", "order", "invoice", "", "", "")),
         one(hexes, F.lit(" "), pick("n2", "commit", "sha1", "checksum", "revision")), one(F.concat_ws("-", word("w1"), word("w2"), word("w3"), F.substring(digits, 1, 2)), F.lit(" "), F.lit("")),
         one(F.concat_ws("-", F.substring(hexes, 1, 8), F.substring(hexes, 9, 4), F.substring(hexes, 13, 4), F.substring(hexes, 17, 4), F.substring(hexes, 21, 12)), F.lit(": "), F.lit("uuid")),
@@ -142,13 +156,14 @@ def made_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         one(F.concat_ws(".", word("v2"), F.concat(word("v3"), F.lit("()"))), gives, pick("n5", "token", "password", "auth")),
         one(F.concat(F.lit("<your-"), word("v6"), F.lit(">")), gives, pick("n7", "token", "password", "api_key", "secret")),
         one(F.concat(F.lit("${"), F.upper(word("v4")), F.lit("_"), F.upper(word("v5")), F.lit("}")), gives, pick("n6", "token", "password", "api_key")),
-    )
-    at = lambda a: F.element_at(a, (F.pmod(F.xxhash64("id", F.lit("kind")), F.lit(10)) + 1).cast("int"))
+        one(pick("v7", "password", "passwd", "secret", "pass", "<password>", "xxxxx"), user, F.lit(""), F.lit("@")),
+    ]
+    at = lambda kinds: F.element_at(F.array(*kinds), (F.pmod(F.xxhash64("id", F.lit("kind")), F.lit(len(kinds))) + 1).cast("int"))
     label = F.col("id") % 2
     found = F.when(label == 1, at(secret)).otherwise(at(harmless))
     return spark.range(0, rows, 1, 4).select(
         found["c"].alias("candidate"), F.concat(word("b1"), F.lit(" "), word("b2"), F.lit(" "), found["n"], found["g"]).alias("before"),
-        F.concat(F.lit(" "), word("b3")).alias("after"), pick("path", "app.env", "config.yaml", "src3", "src7", "notes", "README").alias("path"), label.cast("double").alias("label"),
+        F.concat(found["a"], word("b3")).alias("after"), pick("path", "app.env", "config.yaml", "src3", "src7", "notes", "README").alias("path"), label.cast("double").alias("label"),
     )
 
 
