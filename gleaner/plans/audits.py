@@ -43,11 +43,13 @@ def crawl_index_targets(spark, sf):
     return replay.cdx_rows(lines.union(spark.createDataFrame([("<html>no page</html>",)], "value string"))).groupBy(F.col("target.class").alias("class")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT c_custkey, CAST(('0x' || substr(sha256(c_name), 1, 12))::BIGINT % 40 AS BIGINT) AS start, gcd(1, 40) = 1 AS coprime FROM customer")
+@query("""WITH d AS (SELECT c_custkey, c_nationkey + 9 AS pages, ('0x' || substr(sha256(c_name), 1, 12))::BIGINT AS a, ('0x' || substr(sha256('stride:' || c_name), 1, 12))::BIGINT AS b FROM customer),
+t AS (SELECT *, unnest(range(0, 64)) AS i FROM d)
+SELECT c_custkey, any_value(a % pages) AS start, min_by((b % pages + i) % pages + 1, i) FILTER (WHERE gcd((b % pages + i) % pages + 1, pages) = 1) AS stride FROM t GROUP BY 1""")
 def crawl_cursor(spark, sf):
-    name, pages = F.col("c_name"), F.lit(40).cast("long")
-    stride = replay.page_stride(name, pages)
-    return read(spark, sf, "customer").select("c_custkey", replay.start_page(name, pages).alias("start"), ((stride % 2 != 0) & (stride % 5 != 0)).alias("coprime"))
+    """Where each customer's cursor over a board of 9 pages or more begins, and its stride; the SQL tries strides one by one."""
+    name, pages = F.col("c_name"), (F.col("c_nationkey") + 9).cast("long")
+    return read(spark, sf, "customer").select("c_custkey", replay.start_page(name, pages).alias("start"), replay.page_stride(name, pages).alias("stride"))
 
 
 @query("SELECT o_orderkey, lower(o_orderstatus) AS value, CASE WHEN contains(lower(o_orderpriority), 'urgent') THEN 'note' ELSE 'url' END AS kind FROM orders")
