@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import Window, functions as F
 
 from gleaner.functions import text as T
-from gleaner.operators import coverage, destinations, evidence, grouping, matching, reconcile, release, reports, snapshots, temporal
+from gleaner.operators import coverage, destinations, evidence, grouping, matching, reconcile, release, reports, snapshots, temporal, universe
 from gleaner.plans.catalogue import _JOBS, _jobs, events, matches, now, query, read
 from gleaner.plans.shared import scratch
 from gleaner.sources import boards, journal
@@ -443,3 +443,40 @@ def observed_sheet_links(spark, sf):
     seen = read(spark, sf, "supplier").select(F.lit("c").alias("client_id"), F.concat(F.lit("sheet:"), F.col("s_nationkey").cast("string")).alias("destination"), link("s_suppkey").alias("normalized_url"), F.lit(0).alias("first_observed_at")).distinct()
     _, counts = destinations.observe_links(destinations.sheet_links(sheets, known), seen, F.lit(1))
     return counts.drop("client_id")
+
+
+# -- the universe of targets ------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH l AS (SELECT o_custkey AS t, o_orderpriority AS company, o_orderkey AS k, CAST(o_orderkey % 7 AS VARCHAR) AS url FROM orders WHERE o_orderstatus <> 'P'), n AS (SELECT t, company, count(*) AS c FROM l GROUP BY 1, 2)
+SELECT l.t AS target, count(*) AS occurrences, count(DISTINCT url) AS distinct_urls, min(k) AS first, max(k) AS last, (SELECT company FROM n WHERE n.t = l.t ORDER BY c DESC, lower(company), company LIMIT 1) AS company FROM l GROUP BY 1""")
+def target_universe(spark, sf):
+    """Customers as targets that their orders link to."""
+    k = F.col("o_orderkey")
+    links = read(spark, sf, "orders").where("o_orderstatus != 'P'").select(F.col("o_custkey").alias("identity"), F.lit("orders").alias("source"), (k % 7).cast("string").alias("url"), F.col("o_orderpriority").alias("company"), k)
+    known = universe.targets(links, ["o_orderkey"])
+    return known.select(F.col("identity").alias("target"), "occurrences", "distinct_urls", F.col("first.o_orderkey").alias("first"), F.col("last.o_orderkey").alias("last"), "company")
+
+
+_HEALTH = "(SELECT c_custkey AS k, c_mktsegment AS source, CASE c_custkey % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'valid_empty' ELSE 'active' END AS class, CASE WHEN c_custkey % 7 > 0 THEN c_nationkey * (c_custkey % 31) END AS n, c_custkey % 30 AS times FROM customer)"
+
+
+def _health(spark, sf):
+    k = F.col("c_custkey")
+    return read(spark, sf, "customer").select(
+        k.alias("target_identity"), F.col("c_mktsegment").alias("source"), F.when(k % 5 == 0, "missing").when(k % 5 == 1, "valid_empty").otherwise("active").alias("classification"),
+        F.when(k % 7 > 0, F.col("c_nationkey") * (k % 31)).alias("current_postings"), (k % 3 != 0).alias("inventory_exact"), (k % 30).alias("historical_occurrence_count"),
+    )
+
+
+@query(f"""SELECT source, count(*) AS targets, count(*) FILTER (WHERE class = 'active') AS active, count(*) FILTER (WHERE class = 'missing') AS missing, coalesce(sum(n) FILTER (WHERE class <> 'missing'), 0)::BIGINT AS postings,
+ median(n) FILTER (WHERE class = 'active') AS median_postings, max(n) FILTER (WHERE class <> 'missing') AS maximum_postings, count(*) FILTER (WHERE class <> 'missing' AND n BETWEEN 100 AND 499) AS inventory_100_499, count(*) FILTER (WHERE k % 3 = 0) AS potentially_capped FROM {_HEALTH} GROUP BY 1""")
+def target_health_summary(spark, sf):
+    """Customers as checked targets, by segment."""
+    return universe.health_summary(_health(spark, sf), ["active", "missing"]).select("source", "targets", "active", "missing", "postings", "median_postings", "maximum_postings", "inventory_100_499", "potentially_capped")
+
+
+@query(f"""SELECT CASE WHEN times = 1 THEN '1' WHEN times <= 4 THEN '2-4' WHEN times <= 9 THEN '5-9' WHEN times <= 24 THEN '10-24' ELSE '25+' END AS band, count(*) AS targets, count(*) FILTER (WHERE class = 'active') AS active,
+ median(n) FILTER (WHERE class <> 'missing') AS median_postings FROM {_HEALTH} WHERE times > 0 GROUP BY 1""")
+def occurrence_health(spark, sf):
+    return universe.occurrence_health(_health(spark, sf)).select("band", "targets", "active", "median_postings")
