@@ -82,3 +82,37 @@ def assemble(candidates: DataFrame, quota: int, cap: int | None, max_hours: int,
     )
     chosen = F.col("taken") & (F.col("rep") == F.col("job_id")) & F.col("eligible")
     return out.select(*candidates.columns, said.alias("disposition"), F.when(chosen, F.col("rn")).alias("ordinal"))
+
+
+# Why a group without a fresh member is held back, the gravest first.
+HELD_BACK = ["posting_time_invalid", "posting_age_unknown", "stale_posting"]
+
+
+def counts(assembled: DataFrame, include_review: bool = False) -> DataFrame:
+    """The counters of an assembled batch (``assemble``), one row: postings by decision, groups by what became of them.
+
+    A group is counted as historical, delivered or cooling as a whole; one without a fresh member under the gravest reason of its members.
+    """
+    good = ["strong_match", "possible_match"]
+    d, disposition = F.col("decision"), F.col("disposition")
+    eligible = d.isin(good + ["needs_review"] * include_review)
+    flag = lambda c: F.max(F.coalesce(c, F.lit(False)).cast("int")) == 1
+    grave = F.min(F.when(eligible, F.array_position(F.array(*map(F.lit, HELD_BACK)), disposition)).cast("int"))
+    groups = assembled.groupBy("group_id").agg(
+        flag(d.isin(good)).alias("matched"), flag(eligible).alias("eligible"), flag(eligible & (disposition == "historical")).alias("historical"), flag(eligible & (disposition == "prior_delivery")).alias("delivered"),
+        flag(eligible & disposition.isin("employer_cooldown", "company_duplicate_in_batch", "selected_representative", "practical_duplicate", "outside_quota")).alias("fresh"), flag(eligible & (disposition == "employer_cooldown")).alias("cooling"),
+        flag(eligible & (disposition == "company_duplicate_in_batch")).alias("capped"), flag(disposition == "selected_representative").alias("selected"), grave.alias("grave"),
+        F.min(F.when(eligible & disposition.isin("company_duplicate_in_batch", "selected_representative", "practical_duplicate", "outside_quota"), F.col("employer"))).alias("employer"),
+    )
+    open_ = F.col("fresh") & ~F.col("cooling")
+    held = lambda i: F.count_if(F.col("eligible") & ~F.col("fresh") & ~F.col("historical") & ~F.col("delivered") & (F.col("grave") == i))
+    whole = groups.agg(
+        F.count_if("matched").alias("match_eligible_groups"), F.count_if("eligible").alias("selection_eligible_groups"), F.count_if("historical").alias("historically_suppressed_groups"), F.count_if("delivered").alias("previously_delivered_groups"),
+        F.count_if("fresh").alias("fresh_eligible_groups"), F.count_distinct(F.when(open_, F.col("employer"))).alias("fresh_eligible_employers"), F.count_if("cooling").alias("employer_cooldown_suppressed_groups"),
+        held(3).alias("stale_posting_suppressed_groups"), held(2).alias("unknown_age_suppressed_groups"), held(1).alias("invalid_time_suppressed_groups"), F.count_if(F.col("capped") & ~F.col("selected")).alias("company_cap_suppressed_groups"), F.count_if("selected").alias("selected_groups"),
+    )
+    each = assembled.agg(
+        F.count("*").alias("candidate_postings"), F.count_if(d.isin(good)).alias("match_eligible_postings"), F.count_if(d == "needs_review").alias("needs_review_postings"), F.count_if(d == "reject").alias("rejected_postings"),
+        F.count_if(eligible).alias("selection_eligible_postings"),
+    )
+    return each.crossJoin(F.broadcast(whole)).withColumn("duplicate_postings_collapsed", F.col("selection_eligible_postings") - F.col("selection_eligible_groups"))

@@ -122,6 +122,15 @@ def assigned(batch: DataFrame, members: DataFrame, keys: DataFrame) -> tuple[Dat
     return cut(moved.select("id", F.coalesce("to_group", "group_id").alias("group_id")).union(found)), cut(kept.union(new_keys)), merged
 
 
+def merged_history(deliveries: DataFrame, merged: DataFrame) -> DataFrame:
+    """``deliveries(group_id, client_id, destination, job_id, exported_at)`` after groups were ``merged(from_group, to_group)``: of the records that meet for one client and destination that of
+    the group that stays wins, else that of the first losing group."""
+    met = deliveries.join(merged.withColumnRenamed("from_group", "group_id"), "group_id", "left")
+    kept = F.coalesce("to_group", "group_id")
+    best = F.min_by(F.struct("job_id", "exported_at"), F.struct(F.col("to_group").isNotNull(), "group_id"))
+    return met.groupBy(kept.alias("__group"), "client_id", "destination").agg(best.alias("b")).select(F.col("__group").alias("group_id"), "client_id", "destination", "b.job_id", "b.exported_at")
+
+
 def representative_order() -> list[Column]:
     """The order in which a group's postings represent it: direct application, longest description, richest, newest, then names."""
     rich = sum((F.coalesce((x if isinstance(x, Column) else (F.col(x) != "")).cast("int"), F.lit(0)) for x in (F.size("eligible_countries") > 0, "department", "employment_type", "city", "region")), F.lit(0))

@@ -57,7 +57,23 @@ def within_budget(rows: DataFrame, order: list, cost: str, budget: float) -> Dat
 
 def even_sample(rows: DataFrame, group: str, order: list, n: int) -> DataFrame:
     """``n`` evenly spaced ranks of each group, its first and last among them."""
-    placed = ranked(rows, [group], order, "rank", "__n")
-    step = lambda i: F.floor(i * (F.col("__n") - 1) / (n - 1)) + 1
+    placed = ranked(rows, [group], order, "rank", "__size")
+    step = lambda i: F.floor(i * (F.col("__size") - 1) / (n - 1)) + 1
     chosen = F.exists(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: step(i) == F.col("rank"))
-    return placed.where((F.col("__n") <= n) | chosen).withColumn("rank", F.col("rank").cast("int")).drop("__n")
+    return placed.where((F.col("__size") <= n) | chosen).withColumn("rank", F.col("rank").cast("int")).drop("__size")
+
+
+def pilot(rows: DataFrame, group: str, order: list, key: str, controls: DataFrame, n: int, first: int = 5) -> DataFrame:
+    """``n`` rows of each group, with the ``turn`` in which they were taken: its control (of ``controls(group, key)``), the ``first`` in order, evenly spaced ranks from the first to the last, and then whatever comes next.
+
+    A group without its control, or with fewer than ``n`` rows, is an error.
+    """
+    marked = rows.join(controls.select(group, key).withColumn("__control", F.lit(True)), [group, key], "left")
+    placed = ranked(marked, [group], order, "__rank", "__size").withColumn("__r", F.col("__rank") - 1)
+    spaced = F.array_position(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.bround(i * (F.col("__size") - 1) / (n - 1)).cast("long")), F.col("__r"))
+    turn = F.when(F.col("__control"), 0).when(F.col("__r") < first, 1 + F.col("__r")).when(spaced > 0, first + spaced).otherwise(first + n + 1 + F.col("__r"))
+    taken = ranked(placed.withColumn("__turn", turn), [group], [F.col("__turn")], "turn").where(F.col("turn") <= n)
+    sound = taken.groupBy(group).agg((F.count("*") == n).alias("__full"), F.bool_or(F.coalesce("__control", F.lit(False))).alias("__held"))
+    checked = taken.join(sound, group)
+    wrong = F.when(~F.col("__held"), "a group has no control").when(~F.col("__full"), "a group has too few rows")
+    return checked.withColumn("turn", F.when(wrong.isNotNull(), F.raise_error(wrong).cast("long")).otherwise(F.col("turn"))).select(*rows.columns, "turn")

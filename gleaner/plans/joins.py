@@ -7,8 +7,8 @@ import datetime
 from pyspark.sql import Window, functions as F
 
 from gleaner.functions import text as T
-from gleaner.operators import coverage, destinations, evidence, grouping, matching, reconcile, release, reports, snapshots, temporal, universe
-from gleaner.plans.catalogue import _JOBS, _jobs, events, matches, now, query, read
+from gleaner.operators import batch, coverage, destinations, evidence, grouping, matching, reconcile, release, reports, schedule, snapshots, temporal, universe
+from gleaner.plans.catalogue import _BATCH, _JOBS, _batch, _jobs, events, matches, now, query, read
 from gleaner.plans.shared import scratch
 from gleaner.sources import boards, journal
 from gleaner.streaming import outcomes
@@ -480,3 +480,31 @@ def target_health_summary(spark, sf):
  median(n) FILTER (WHERE class <> 'missing') AS median_postings FROM {_HEALTH} WHERE times > 0 GROUP BY 1""")
 def occurrence_health(spark, sf):
     return universe.occurrence_health(_health(spark, sf)).select("band", "targets", "active", "median_postings")
+
+
+# -- batches and samples ----------------------------------------------------------------------------------------------------------
+
+_GRAVE = "min(CASE stale WHEN 'posting_time_invalid' THEN 1 WHEN 'posting_age_unknown' THEN 2 WHEN 'stale_posting' THEN 3 END) FILTER (WHERE eligible)"
+
+
+@query(f"""WITH {_BATCH}, g AS (SELECT group_id, bool_or(decision IN ('strong_match', 'possible_match')) AS m, bool_or(eligible) AS e, coalesce(bool_or(h), false) AS h, coalesce(bool_or(d), false) AND NOT coalesce(bool_or(h), false) AS d,
+ coalesce(bool_or(eligible AND stale IS NULL), false) AND NOT coalesce(bool_or(h OR d), false) AS f, bool_or(disposition = 'employer_cooldown') AS cool, bool_or(disposition = 'company_duplicate_in_batch') AS cap, bool_or(disposition = 'selected_representative') AS sel, {_GRAVE} AS grave FROM z GROUP BY 1)
+SELECT (SELECT count(*) FROM z) AS candidate_postings, (SELECT count(*) FROM z WHERE decision = 'needs_review') AS needs_review_postings, (SELECT count(*) FROM z WHERE eligible) AS selection_eligible_postings, count(*) FILTER (WHERE e) AS selection_eligible_groups,
+ count(*) FILTER (WHERE h) AS historically_suppressed_groups, count(*) FILTER (WHERE d) AS previously_delivered_groups, (SELECT count(*) FROM z WHERE eligible) - count(*) FILTER (WHERE e) AS duplicate_postings_collapsed, count(*) FILTER (WHERE f) AS fresh_eligible_groups,
+ count(*) FILTER (WHERE cool) AS employer_cooldown_suppressed_groups, count(*) FILTER (WHERE e AND NOT f AND NOT h AND NOT d AND grave = 3) AS stale_posting_suppressed_groups, count(*) FILTER (WHERE e AND NOT f AND NOT h AND NOT d AND grave = 2) AS unknown_age_suppressed_groups,
+ count(*) FILTER (WHERE cap) AS company_cap_suppressed_groups, count(*) FILTER (WHERE sel) AS selected_groups FROM g""")
+def batch_counters(spark, sf):
+    """The counters of the catalogue's batch."""
+    c = batch.counts(_batch(spark, sf))
+    return c.drop("match_eligible_postings", "rejected_postings", "match_eligible_groups", "fresh_eligible_employers", "invalid_time_suppressed_groups")
+
+
+@query("""WITH r AS (SELECT c_custkey, c_nationkey, row_number() OVER w - 1 AS r, count(*) OVER (PARTITION BY c_nationkey) AS n, max(c_custkey) OVER (PARTITION BY c_nationkey) AS control FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey)),
+s AS (SELECT *, (SELECT min(i) FROM range(0, 3) AS t(i) WHERE round_even(i * (n - 1) / 2.0, 0) = r) AS i FROM r),
+t AS (SELECT *, CASE WHEN c_custkey = control THEN 0 WHEN r < 1 THEN 1 + r WHEN i IS NOT NULL THEN 2 + i ELSE 5 + r END AS turn FROM s)
+SELECT c_nationkey, c_custkey, turn FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY turn) AS k FROM (SELECT c_nationkey, c_custkey, turn FROM t)) WHERE k <= 3""".replace("c_custkey, turn FROM (SELECT *", "c_custkey, k AS turn FROM (SELECT *"))
+def pilot_targets(spark, sf):
+    """Three customers of each nation: the newest as control, the richest, and evenly spaced ones."""
+    c = read(spark, sf, "customer").select("c_nationkey", "c_custkey", "c_acctbal")
+    newest = c.groupBy("c_nationkey").agg(F.max("c_custkey").alias("c_custkey"))
+    return schedule.pilot(c, "c_nationkey", [-F.col("c_acctbal"), F.col("c_custkey")], "c_custkey", newest, 3, 1).select("c_nationkey", "c_custkey", "turn")
