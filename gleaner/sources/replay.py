@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -103,16 +105,24 @@ def start_page(name: Column, pages: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.sha2(name, 256), 1, 12), 16, 10).cast("long"), pages)
 
 
+#: Numbers that are tried for a stride, more than any long needs.
+STRIDES = 64
+
+
+def _coprime(first: pd.Series, pages: pd.Series) -> pd.Series:
+    n, stride = pages.to_numpy(), first.to_numpy().copy()
+    for _ in range(STRIDES - 1):
+        again = np.flatnonzero(np.gcd(stride, n) != 1)  # fewer from time to time
+        if not len(again):
+            break
+        stride[again] = stride[again] % n[again] + 1
+    return pd.Series(np.where(np.gcd(stride, n) == 1, stride, 1))
+
+
 def page_stride(name: Column, pages: Column) -> Column:
     """A stride without a common divisor with ``pages``, so that a cursor comes to every page: the first from the digest on."""
     first = F.pmod(F.conv(F.substring(F.sha2(F.concat(F.lit("stride:"), name), 256), 1, 12), 16, 10).cast("long"), pages) + 1
-
-    def divisor(a: Column, b: Column) -> Column:  # 64 steps are more than any long needs
-        pair = F.aggregate(F.sequence(F.lit(1), F.lit(92)), F.struct(a.alias("a"), b.alias("b")), lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % F.when(s["b"] == 0, 1).otherwise(s["b"])).alias("b"))))
-        return pair["a"]
-
-    tried = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")), lambda i: F.pmod(first + i - 1, pages) + 1)
-    return F.coalesce(F.get(F.filter(tried, lambda x: divisor(x, pages) == 1), F.lit(0)), F.lit(1).cast("long"))
+    return F.pandas_udf(_coprime, "long")(F.coalesce(first, F.lit(1).cast("long")), F.coalesce(pages, F.lit(1)).cast("long"))
 
 
 def bounded(rows: DataFrame, most_rows: int, most_bytes: int, text: str) -> DataFrame:

@@ -244,3 +244,20 @@ def test_page_strides_come_to_every_page(spark):
     names = spark.range(200).select(F.concat(F.lit("n"), "id").alias("name"), (F.col("id") % 60 + 1).alias("pages"))
     for r in names.select("pages", replay.page_stride(F.col("name"), F.col("pages")).alias("s"), replay.start_page(F.col("name"), F.col("pages")).alias("p")).collect():
         assert math.gcd(r["s"], r["pages"]) == 1 and 0 <= r["p"] < r["pages"]
+
+
+def test_page_stride_is_the_first_without_a_common_divisor(spark, capsys):
+    import hashlib
+    import math
+
+    names = spark.range(500).select(F.concat(F.lit("n"), "id").alias("name"), F.when(F.col("id") % 7 == 0, 30030 * (F.col("id") + 1)).otherwise(F.col("id") % 60 + 1).alias("pages"))
+    found = names.select("name", "pages", replay.page_stride(F.col("name"), F.col("pages")).alias("s"))
+    for name, pages, s in found.collect():
+        want = int(hashlib.sha256(f"stride:{name}".encode()).hexdigest()[:12], 16) % pages + 1
+        while math.gcd(want, pages) != 1:
+            want = want % pages + 1
+        assert s == want
+    found.explain()
+    assert "sequence(" not in capsys.readouterr().out  # not every number of a list is tried for every row
+    none = spark.createDataFrame([(None, 9), ("a", None)], "name string, pages long")
+    assert [r[0] for r in none.select(replay.page_stride(F.col("name"), F.col("pages"))).collect()] == [1, 1]
