@@ -11,7 +11,7 @@ def _large_star(links: DataFrame) -> DataFrame:
     """Every node's larger neighbours get linked to its smallest neighbour."""
     both = links.union(links.select("b", "a")).toDF("u", "v")
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b")
 
 
 def _small_star(links: DataFrame) -> DataFrame:
@@ -22,6 +22,12 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a != b").distinct()
 
 
+def _stars(links: DataFrame) -> bool:
+    """Whether every ``a`` is linked to one ``b``, which is linked to none itself: all roots are found, and another round would change nothing."""
+    nodes = links.select(F.col("a").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(links.select("b", F.lit(0), F.lit(1)))
+    return nodes.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 AND up > 0").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``root`` (smallest node reachable) of every node in ``links(a, b)``; roots included.
 
@@ -29,13 +35,6 @@ def components(links: DataFrame) -> DataFrame:
     the longest path; no group of links is ever collected.  Links to a hot node are pre-aggregated.
     """
     now = cut(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    size = now.count()
-    while size:
-        after = cut(_small_star(_large_star(now)))
-        then, before = after.count(), now
-        # as distinct links, as many as before and none but them is the same
-        done = then == size and after.join(before, ["a", "b"], "left_anti").isEmpty()
-        now, size = after, then
-        if done:
-            break
+    while not _stars(now):
+        now = cut(_small_star(_large_star(now)))
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())

@@ -261,3 +261,9 @@ def test_page_stride_is_the_first_without_a_common_divisor(spark, capsys):
     assert "sequence(" not in capsys.readouterr().out  # not every number of a list is tried for every row
     none = spark.createDataFrame([(None, 9), ("a", None)], "name string, pages long")
     assert [r[0] for r in none.select(replay.page_stride(F.col("name"), F.col("pages"))).collect()] == [1, 1]
+
+
+def test_links_to_roots_need_no_round(spark, monkeypatch):
+    monkeypatch.setattr(components, "_large_star", lambda links: 1 / 0)
+    links = spark.createDataFrame([(i, i % 3) for i in range(30)] + [(5, 2), (2, 5)], "a long, b long")
+    assert {r["node"]: r["root"] for r in components.components(links).collect()} == {i: i % 3 for i in range(30)}
