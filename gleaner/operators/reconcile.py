@@ -7,7 +7,6 @@ import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gleaner.functions import text as T
-from gleaner.operators.bloom import BITS_A_KEY, MOST_BITS, filter_words, might_hold
 from gleaner.operators.grouping import identity_conflicts
 from gleaner.plans.shared import cut
 from gleaner.sources import journal
@@ -89,18 +88,12 @@ def url_digest() -> Column:
 def not_surfaced(postings: DataFrame, identities: DataFrame, urls: DataFrame) -> DataFrame:
     """Postings that a ledger of digests (one column each) knows neither by provider identity nor by URL.
 
-    Bloom filters of the ledger let most postings pass in their scan; only those that may be known are shuffled, and confirmed exactly.
+    A posting's digests are made once, before two shuffles by them; as a filter's condition they would be made for every use of it.
     """
     rows = postings.withColumn("__i", identity_digest()).withColumn("__u", url_digest())
-    maybe = F.lit(False)
     for key, ledger in (("__i", identities), ("__u", urls)):
-        bits = min(MOST_BITS, 1 << max(10, (ledger.count() * BITS_A_KEY).bit_length()))
-        maybe = maybe | might_hold(filter_words(ledger, bits).scalar(), F.col(key), bits)
-    rows = rows.withColumn("__maybe", maybe)
-    asked = rows.where("__maybe")
-    for key, ledger in (("__i", identities), ("__u", urls)):
-        asked = asked.join(ledger.toDF(key), key, "left_anti")
-    return rows.where("NOT __maybe").unionByName(asked).select(*postings.columns)
+        rows = rows.join(ledger.toDF(key), key, "left_anti")
+    return rows.select(*postings.columns)
 
 
 def fan_in(rows: DataFrame, shards: DataFrame, folder: str, batch: str, now: datetime.datetime, retention_hours: int | None = None, invalidated: DataFrame | None = None) -> None:

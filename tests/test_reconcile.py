@@ -126,3 +126,11 @@ def test_coverage_equals_enumeration(spark):
     assert got == {p: enumerated(*p)[5] for p in some}
     with pytest.raises(Exception, match="within the registry"):
         coverage.coverage_proof(spark.createDataFrame([(3, 4)], "registry_targets int, targets_per_cohort int")).collect()
+
+
+def test_suppression_makes_digests_in_no_filter(spark, capsys):
+    rows = spark.createDataFrame([(1, "s", "b", "j", "https://x.org/1")] * 2, "id int, source string, source_board_id string, source_job_id string, canonical_url string")
+    kept = reconcile.not_surfaced(rows, spark.createDataFrame([("0" * 64,)], "d string"), spark.createDataFrame([("1" * 64,)], "d string"))
+    kept.explain()
+    assert not [x for x in capsys.readouterr().out.splitlines() if "Filter" in x and "sha2" in x]
+    assert kept.count() == 2
