@@ -88,8 +88,8 @@ def assign(batch: DataFrame, members: DataFrame, keys: DataFrame) -> tuple[DataF
     and those of the postings that hold one of its keys when it arrives: a stored posting of the same batch holds its old keys until its own
     position and its new ones from then on.  Joined groups are one from then on, under the smallest id.
 
-    Returns ``id, group_id`` of the batch, and ``from_group, to_group`` of stored groups that go.  The graph has the batch's postings, their
-    keys and the groups that hold these keys; what is stored is only scanned, and a Bloom filter keeps all else out of the shuffle.
+    Returns ``id, group_id`` of the batch, and ``from_group, to_group`` of stored groups that go.  The graph has the batch's groups and
+    those that hold its keys; what is stored is only scanned, and a Bloom filter keeps all else out of the shuffle.
     """
     arriving = cut(batch.select("id", "position", "own_group", "keys"))
     said = arriving.select("id", "position", "own_group", F.explode("keys").alias("k")).select("id", "position", "own_group", "k.kind", "k.value")
@@ -100,14 +100,11 @@ def assign(batch: DataFrame, members: DataFrame, keys: DataFrame) -> tuple[DataF
     held = cut(before.select("id", "kind", "value"))
     known = cut(held.select("id").union(arriving.select("id")).distinct())
     stored = cut(thinned(members.select("id", "group_id"), F.col("id"), known).join(known, "id"))
-    node = F.concat(F.lit("k:"), F.sha2(key, 256))
-    group = lambda c: F.concat(F.lit("g:"), c)
-    links = (
-        said.select(node.alias("a"), group(F.col("own_group")).alias("b"))
-        .union(held.join(stored, "id").select(node, group(F.col("group_id"))))
-        .union(arriving.join(stored, "id").select(group(F.col("own_group")), group(F.col("group_id"))))
-    )
-    roots = cut(components(links).where(F.startswith("node", F.lit("g:"))).select(F.substring("node", 3, 1 << 30).alias("group"), F.substring("root", 3, 1 << 30).alias("root")))
+    # the groups of a key are linked to the smallest of them: as many links as groups of it, and none for a key of one group
+    by_key = cut(said.select(key.alias("key"), F.col("own_group").alias("group")).union(held.join(stored, "id").select(key, "group_id")).distinct())
+    least = by_key.groupBy("key").agg(F.min("group").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
+    links = by_key.join(least, "key").select(F.col("group").alias("a"), F.col("least").alias("b")).union(arriving.join(stored, "id").select("own_group", "group_id"))
+    roots = cut(components(links).toDF("group", "root"))
     found = arriving.join(roots.withColumnRenamed("group", "own_group"), "own_group", "left").select("id", F.coalesce("root", "own_group").alias("group_id"))
     merged = stored.select(F.col("group_id").alias("group")).distinct().join(roots, "group").where("group != root")
     return cut(found), cut(merged.select(F.col("group").alias("from_group"), F.col("root").alias("to_group")))

@@ -60,3 +60,11 @@ def test_bloom_filters_lose_no_key(spark):
     assert bloom.thinned(rows, F.col("x"), keys.limit(0)).collect() == []
     few = {r["id"] for r in bloom.thinned(rows, F.col("x"), keys, n=1).collect()}  # too small a filter only lets more through
     assert set(range(0, 30_000, 3)) <= few
+
+
+def test_groups_without_a_common_key_have_no_links(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(grouping, "components", lambda links: seen.append(links.where("a != b").count()) or links.limit(0))
+    rows = [(str(i), i, f"g{i}", [("url", str(i)), ("url", str(i))]) for i in range(20)]
+    found, _ = grouping.assign(spark.createDataFrame(rows, BATCH), spark.createDataFrame([], "id string, group_id string"), spark.createDataFrame([], "id string, kind string, value string"))
+    assert seen == [0] and {tuple(r) for r in found.collect()} == {(r[0], r[2]) for r in rows}
