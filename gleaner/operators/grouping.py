@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gleaner.functions import places, text as T, values as V
 from gleaner.operators.bloom import thinned
 from gleaner.operators.components import components
-from gleaner.plans.shared import cut
+from gleaner.plans.shared import cut, small_batches
 
 # The label of content keys, paths that are no vacancy's, and the words that content needs.
 CONTENT = "dedupe-v1"
@@ -54,6 +54,7 @@ def content_key() -> Column:
 
 def delivery_keys(postings: DataFrame) -> DataFrame:
     """``id``, ``kind`` and ``value`` of each posting's keys, without repeats."""
+    small_batches(postings.sparkSession)
     one = lambda kind, value: F.when(value.isNotNull(), F.struct(F.lit(kind).alias("kind"), value.alias("value")))
     found = F.array(*[one("url", url_key(F.col(c))) for c in ("canonical_url", "job_url", "apply_url")], one(CONTENT, content_key()))
     return postings.select("id", F.explode(F.array_compact(found)).alias("k")).select("id", "k.kind", "k.value").distinct()
@@ -137,6 +138,7 @@ def representative_order() -> list[Column]:
 
 def representatives(postings: DataFrame, groups: DataFrame) -> DataFrame:
     """Each group's ``representative`` and number of ``members``, by a minimum that is combined before the shuffle."""
+    small_batches(postings.sparkSession)
     order = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(representative_order())])
     return postings.join(groups, "id").groupBy("group_id").agg(F.min(F.struct(order.alias("order"), "id")).alias("r"), F.count("*").alias("members")).select("group_id", F.col("r.id").alias("representative"), "members")
 

@@ -68,3 +68,12 @@ def test_groups_without_a_common_key_have_no_links(spark, monkeypatch):
     rows = [(str(i), i, f"g{i}", [("url", str(i)), ("url", str(i))]) for i in range(20)]
     found, _ = grouping.assign(spark.createDataFrame(rows, BATCH), spark.createDataFrame([], "id string, group_id string"), spark.createDataFrame([], "id string, kind string, value string"))
     assert seen == [0] and {tuple(r) for r in found.collect()} == {(r[0], r[2]) for r in rows}
+
+
+def test_texts_go_to_workers_in_small_batches(spark):
+    from gleaner.plans import catalogue
+
+    for make in (lambda v: grouping.delivery_keys(v), lambda v: grouping.representatives(v, v.select("id", F.col("id").alias("group_id")))):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        make(catalogue.vacancies(spark, "/root/testdata/sf0.001"))
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "128"
