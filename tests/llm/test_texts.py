@@ -336,3 +336,14 @@ def test_near_stage_compares_every_text_of_an_id(spark):
     heads = collections.Counter(k[1] for k in got if k[0] is not None)
     assert heads[a.split()[0]] == heads[b.split()[0]] == heads[c.split()[0]] == 1
     assert (4, "near") in got and (None, a.split()[0]) in got and sum(got.values()) == 5
+
+
+def test_results_do_not_depend_on_how_rare_words_seem(spark, monkeypatch):
+    from collections import Counter
+
+    table, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    found = lambda: sorted((r["doc_id"], r["item_id"], r["score"]) for r in decontaminate.contaminated(table, bench).collect())
+    want, counts = found(), decontaminate.usual(table)
+    for other in (Counter(), Counter({w: 10**6 - n for w, n in counts.items()})):
+        monkeypatch.setattr(decontaminate, "usual", lambda docs, other=other: other)
+        assert found() == want and want
