@@ -238,11 +238,10 @@ def near_components(docs: DataFrame, similarity: int = SIMILARITY, chunk: int =
     several = cut(every.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("th").alias("least"), F.max("th").alias("most")).where("least != most").select("doc_id", "least"))
     chosen = lambda rows: rows.join(several, "doc_id", "left").where("least IS NULL OR least = th").drop("least")
     sets = chosen(sets) if not several.isEmpty() else sets
-    # equal sets: one representative, the others are linked to it
+    # equal sets: one representative, the one with the smallest id; the others get its class in the end
     rep = F.min("doc_id").alias("rep")
     reps = cut(sets.groupBy("same").agg(rep))
     members = cut(sets.select("same", "doc_id").distinct())
-    copies = spread_join(members, reps, "same", "doc_id").where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     one = sets.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     keyed = one.select("doc_id", F.posexplode("keys").alias("place", "key"))
     full = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -270,9 +269,17 @@ def near_components(docs: DataFrame, similarity: int = SIMILARITY, chunk: int =
     first_key = few & ((F.get(wrong, at) == 1) | (place == 0))
     across = (F.col("ra") < F.col("rb")) & (100 * F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
     more = spread_join(x, y, "key", "a", least=ROWS_OF_A_KEY).where(across & first_key & similar).select("a", "b").distinct()
-    links = links.union(cut(confirmed(cut(more), docs, similarity))).union(copies)
-    roots = components(links).withColumnRenamed("node", "doc_id")
-    return every.select("doc_id", "n_shingles").join(roots, "doc_id", "left").select(
+    # such links merge components that are known by their roots
+    links = cut(confirmed(cut(more), docs, similarity))
+    if not links.isEmpty():
+        ends = links.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
+        tops = cut(components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))).toDF("root", "top")
+        # a representative without links so far is a root that roots doesn't have
+        alone = tops.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select("root", "top")
+        roots = roots.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root")).union(alone)
+    classes = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("root", "rep").alias("root"))
+    of = spread_join(members, classes, "same", "doc_id").select("doc_id", "root")
+    return every.select("doc_id", "n_shingles").join(of, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"),
         F.coalesce(F.col("root") == F.col("doc_id"), F.lit(True)).alias("kept"),
     )

@@ -7,9 +7,15 @@ from pyspark.sql import DataFrame, functions as F
 from gleaner.plans.shared import cut
 
 
+def _each(links: DataFrame, *pairs: tuple[str, str], names: tuple[str, str]) -> DataFrame:
+    """A row for each of the pairs of columns, in one scan; a union would read and shuffle in a set of tasks for each."""
+    one = [F.struct(F.col(x).alias(names[0]), F.col(y).alias(names[1])) for x, y in pairs]
+    return links.select(F.inline(F.array(*one)))
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     """Every node's larger neighbours get linked to its smallest neighbour."""
-    both = links.union(links.select("b", "a")).toDF("u", "v")
+    both = _each(links, ("a", "b"), ("b", "a"), names=("u", "v"))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b")
 
@@ -18,13 +24,12 @@ def _small_star(links: DataFrame) -> DataFrame:
     """Every node's smaller neighbours, and itself, get linked to the smallest of them."""
     down = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a != b").distinct()
+    return _each(down.join(least, "u"), ("v", "m"), ("u", "m"), names=("a", "b")).where("a != b").distinct()
 
 
 def _stars(links: DataFrame) -> bool:
     """Whether every ``a`` is linked to one ``b``, which is linked to none itself: all roots are found, and another round would change nothing."""
-    nodes = links.select(F.col("a").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(links.select("b", F.lit(0), F.lit(1)))
+    nodes = _each(links.select("a", "b", F.lit(1).alias("up"), F.lit(0).alias("down")), ("a", "up"), ("b", "down"), names=("u", "up")).withColumn("down", 1 - F.col("up"))
     return nodes.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 AND up > 0").isEmpty()
 
 

@@ -129,6 +129,27 @@ def test_near(spark):
     assert all(r["kept"] == (r["component_id"] == i) for i, r in got.items())
 
 
+@pytest.mark.parametrize("found_first", [lambda p: p.where("false"), lambda p: p.where("(a + b) % 3 = 0")])
+def test_near_links_that_the_first_pass_leaves_are_found_by_roots(spark, monkeypatch, found_first):
+    rng, known, calls, graphs = random.Random(6), minhash.confirmed, [], []
+    base = [f"w{rng.randrange(400)}" for _ in range(120)]
+    texts = [" ".join(base[:i] + [f"x{i % 9}"] + base[i + 1 :]) for i in range(0, 120, 4)] * 2
+
+    def confirmed(pairs, *rest):
+        calls.append(1)
+        return found_first(known(pairs, *rest)) if len(calls) == 1 else known(pairs, *rest)
+
+    def linked(links, known=minhash.components):
+        graphs.append(links.count())
+        return known(links)
+
+    monkeypatch.setattr(minhash, "confirmed", confirmed)
+    monkeypatch.setattr(minhash, "components", linked)
+    got = by_id(minhash.near_components(docs(spark, texts)))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == near_by_force(dict(enumerate(texts)))
+    assert len(graphs) == 2 and {r["component_id"] for r in got.values()} == {0}
+
+
 def test_near_stage_links_pairs_from_80_percent(spark):
     rng = random.Random(8)
     texts = []

@@ -3,12 +3,13 @@
 import datetime
 import hashlib
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from gleaner.operators import batch, components, grouping, lifecycle, matching, state, telemetry
-from gleaner.plans import catalogue
+from gleaner.plans import catalogue, shared
 from gleaner.sources import exports, postings, replay
 from gleaner.streaming import changes
 
@@ -267,3 +268,22 @@ def test_links_to_roots_need_no_round(spark, monkeypatch):
     monkeypatch.setattr(components, "_large_star", lambda links: 1 / 0)
     links = spark.createDataFrame([(i, i % 3) for i in range(30)] + [(5, 2), (2, 5)], "a long, b long")
     assert {r["node"]: r["root"] for r in components.components(links).collect()} == {i: i % 3 for i in range(30)}
+
+
+def test_cut_leaves_no_shuffle_files(spark, monkeypatch):
+    monkeypatch.setattr(shared, "_due", [float("inf")])  # no garbage is collected meanwhile
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {n for f in str(disk.getAllFiles().mkString("\n")).split("\n") if (n := f.rsplit("/", 1)[-1]).startswith("shuffle_")}
+    before, frame = shuffles(), spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().join(spark.range(50).withColumnRenamed("id", "k"), "k")
+    kept = shared.cut(frame)
+    end = time.monotonic() + 20
+    while shuffles() - before and time.monotonic() < end:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert kept.count() == frame.count() == 7 and shared.cut(frame).count() == 7
+
+
+def test_a_round_reads_its_links_once(spark):
+    links = shared.cut(spark.createDataFrame([(2, 1), (3, 2), (5, 4)], "a long, b long"))
+    for star in (components._large_star, components._small_star):
+        assert "Union" not in star(links)._jdf.queryExecution().optimizedPlan().toString()
