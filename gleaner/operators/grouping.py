@@ -143,11 +143,15 @@ def representatives(postings: DataFrame, groups: DataFrame) -> DataFrame:
     return postings.join(groups, "id").groupBy("group_id").agg(F.min(F.struct(order.alias("order"), "id")).alias("r"), F.count("*").alias("members")).select("group_id", F.col("r.id").alias("representative"), "members")
 
 
+def provider_identity() -> Column:
+    """What fan-in knows a posting by: its provider identity, or its URL where the provider gives no id."""
+    provider = F.concat_ws("\x1f", F.lit("provider"), "source", "source_board_id", "source_job_id")
+    return F.when(F.coalesce("source_job_id", F.lit("")) != "", provider).otherwise(F.concat_ws("\x1f", F.lit("url"), "canonical_url"))
+
+
 def identity_conflicts(rows: DataFrame, shard: str = "shard") -> DataFrame:
     """Identities that fan-in must refuse: postings whose provider identity has several ids, or whose id comes with several
     fingerprints from different shards: ``identity``, ``ids``, ``fingerprints``, ``shards``."""
-    provider = F.concat_ws("\x1f", F.lit("provider"), "source", "source_board_id", "source_job_id")
-    identity = F.when(F.coalesce("source_job_id", F.lit("")) != "", provider).otherwise(F.concat_ws("\x1f", F.lit("url"), "canonical_url"))
-    each = rows.groupBy(identity.alias("identity"), "id", "fingerprint", shard).agg(F.lit(1).alias("one"))
+    each = rows.groupBy(provider_identity().alias("identity"), "id", "fingerprint", shard).agg(F.lit(1).alias("one"))
     found = each.groupBy("identity").agg(F.count_distinct("id").alias("ids"), F.count_distinct("fingerprint").alias("fingerprints"), F.count_distinct(shard).alias("shards"))
     return found.where("ids > 1 OR fingerprints > 1")

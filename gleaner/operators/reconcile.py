@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gleaner.functions import text as T
-from gleaner.operators.grouping import identity_conflicts
+from gleaner.operators.grouping import provider_identity
 from gleaner.plans.shared import cut
 from gleaner.sources import journal
 
@@ -103,23 +103,29 @@ def fan_in(rows: DataFrame, shards: DataFrame, folder: str, batch: str, now: dat
     that have to be there.  A missing or unknown shard and identities that don't agree (``identity_conflicts``) refuse the set.  A posting
     that several shards bring counts once.  Those older than the retention go to the ledger, without membership; ``invalidated`` identities
     are recorded.  The same ``batch`` again changes nothing.
+
+    ``rows`` are computed three times: for the shards, for one row of each id and identity, which tells conflicts and postings, and for memberships.
     """
     spark = rows.sparkSession
     journal.register(spark)
     if batch in journal.latest(folder).batches:
         return
-    there = rows.select("shard").distinct()
-    for problem, odd in (("without rows", shards.select("shard").join(there, "shard", "left_anti")), ("unknown", there.join(shards.select("shard"), "shard", "left_anti"))):
-        if names := [str(r["shard"]) for r in odd.limit(5).collect()]:
+    there, known = (t.select("shard").distinct().withColumn(mark, F.lit(True)) for t, mark in ((rows, "there"), (shards, "known")))
+    odd = cut(there.join(known, "shard", "full").where("there IS NULL OR known IS NULL"))
+    for problem, mark in (("without rows", "there"), ("unknown", "known")):
+        if names := [str(r["shard"]) for r in odd.where(F.col(mark).isNull()).limit(5).collect()]:
             raise journal.Conflict(f"shards {problem}: {', '.join(names)}")
-    if not identity_conflicts(rows).isEmpty():
-        raise journal.Conflict("shards disagree about identities")
     identity = ["source", "source_board_id", "source_job_id"]
+    first = F.min(F.struct("shard", "target_identity", *identity, "canonical_url", "fingerprint", "posted_at"))
+    cells = cut(rows.groupBy("id", provider_identity().alias("identity")).agg(first.alias("j"), F.min("fingerprint").alias("low"), F.max("fingerprint").alias("high")))
+    apart = cells.groupBy("identity").agg(F.count("id").alias("ids"), F.min("low").alias("low"), F.max("high").alias("high"))
+    if not apart.where("ids > 1 OR low < high").isEmpty():
+        raise journal.Conflict("shards disagree about identities")
     text = lambda t, *cols: t.select(*[F.col(c).cast("string") for c in cols])
-    jobs = rows.groupBy("id").agg(F.min_by(F.struct(*identity, "canonical_url", "fingerprint", "posted_at"), F.struct("shard", "target_identity")).alias("j")).select("id", "j.*")
+    jobs = cells.groupBy("id").agg(F.min("j").alias("j")).select("id", "j.*")
     old = F.lit(False) if retention_hours is None else F.coalesce(F.col("posted_at") < F.lit(now - datetime.timedelta(hours=retention_hours)), F.lit(False))
-    jobs = cut(jobs.withColumn("table", F.when(old, "ledger").otherwise("posting")))
-    members = rows.select("id", "target_identity").distinct().join(jobs.where("table = 'posting'").select("id"), "id", "left_semi").withColumn("table", F.lit("membership"))
+    jobs = jobs.withColumn("table", F.when(old, "ledger").otherwise("posting"))
+    members = rows.select("id", "target_identity").join(jobs.where("table = 'posting'").select("id"), "id", "left_semi").distinct().withColumn("table", F.lit("membership"))
     tables = [text(jobs, "table", "id", *identity, "canonical_url", "fingerprint", "posted_at"), text(members, "table", "id", "target_identity")]
     if invalidated is not None:
         tables.append(text(invalidated.distinct().withColumn("table", F.lit("invalidated")), "table", *identity))

@@ -2,8 +2,10 @@
 
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSourceArrowWriter
 
 from gleaner.sources import journal
 
@@ -78,6 +80,21 @@ def test_tables_of_one_commit(spark, folder):
     assert ids(spark, folder, "ledger") == list(range(0, 20, 4)) and len(ids(spark, folder, "posting")) == 15 and len(ids(spark, folder)) == 20
 
 
+def test_rows_of_strings_come_in_batches(spark, folder):
+    texts = ['a "b"', "c\\d", "é\u2028", "x\x7f", "", None, "new\nline", "plain", " #[]~/"]
+    values = [(str(i), t, "b" if i % 3 else "a") for i, t in enumerate(texts)]
+    assert isinstance(journal.Journal({"path": folder}).writer(spark.createDataFrame(values, "id string, text string, kind string").schema, False), DataSourceArrowWriter)
+    whole = sum(journal.row_digest([v or "" for v in row]) for row in values)
+    for shape, made in (("id string, text string, kind string", values), ("id int, text string, kind string", [(int(i), *more) for i, *more in values])):  # the second goes row by row
+        save(spark.createDataFrame(made, shape).repartition(2), folder, "overwrite", table="kind")
+        now = journal.latest(folder)
+        assert now.digest == f"{len(values)}:{whole % (1 << 256):064x}" and {f["table"] for f in now.files} == {"a", "b"}
+        assert sorted(map(tuple, journal.read(spark, folder).collect())) == [(i, t or "", kind) for i, t, kind in values]
+    many = pa.record_batch([pa.array(texts[:5] * 300), pa.array([str(i) for i in range(1500)])], names=["a", "b"])
+    for some in (many, many.slice(701), many.slice(0, 0)):
+        assert journal.digest_sum(some) == sum(journal.row_digest(list(v)) for v in zip(*[c.to_pylist() for c in some.columns]))
+
+
 def test_stream_replays_its_batches(spark, folder, tmp_path):
     source = str(tmp_path / "in")
     rows(spark, 0, 8).write.parquet(source)

@@ -9,7 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.operators import coverage, reconcile
+from gleaner.operators import coverage, grouping, reconcile
 from gleaner.sources import journal
 
 NOW = datetime.datetime(2024, 1, 31, tzinfo=datetime.UTC)
@@ -95,6 +95,37 @@ def test_fan_in(spark, tmp_path):
     assert [r["source_job_id"] for r in journal.read(spark, folder, "invalidated").collect()] == ["9"] and journal.latest(folder).number == 1
 
 
+def test_fan_in_computes_its_rows_three_times(spark, tmp_path):
+    seen, rows = spark.sparkContext.accumulator(0), [posting(i % 3, i // 3, f"t{i % 2}") for i in range(60)]
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    frame = spark.createDataFrame(rows, POST)
+    reconcile.fan_in(frame.mapInArrow(counted, frame.schema), spark.createDataFrame([(0,), (1,), (2,)], "shard int"), f"file://{tmp_path}/out", "run 1", NOW, 72)
+    assert seen.value == 3 * len(rows) and len(journal.read(spark, f"file://{tmp_path}/out", "membership").collect()) == 40
+
+
+def test_fan_in_refuses_what_identity_conflicts_finds(spark, tmp_path):
+    shards, found = spark.createDataFrame([(1,), (2,)], "shard int"), []
+    one, url = posting(1, 1), {"source_job_id": None, "canonical_url": "u"}
+    sets = [
+        [one, posting(2, 1, fingerprint="g")], [one, posting(2, 1, fingerprint=None)], [one, posting(2, 1, id=None)], [one, posting(2, 1, id=None, fingerprint="g")], [one, posting(2, 1, id="other")],
+        [one, posting(2, 2, id="i1", fingerprint="g")], [posting(1, 1, **url), posting(2, 2, **url)], [posting(1, 1, **url), posting(2, 1, **url, source="t")], [one, posting(1, 1, hours=2), posting(2, 1, "a")],
+    ]
+    for i, rows in enumerate(sets):
+        frame, folder = spark.createDataFrame(rows, POST), f"file://{tmp_path}/{i}"
+        found.append(not grouping.identity_conflicts(frame).isEmpty())
+        try:
+            reconcile.fan_in(frame, shards, folder, "run 1", NOW)
+            assert not found[-1]
+        except journal.Conflict as e:
+            assert found[-1] and "disagree" in str(e) and journal.latest(folder).number == 0
+    assert found == [True, False, False, True, True, False, True, False, False]
+
+
 def enumerated(n, m):
     period = n // math.gcd(n, m)
     chosen = [[(c * m + o) % n for o in range(m)] for c in range(period)]
