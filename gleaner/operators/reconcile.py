@@ -104,7 +104,8 @@ def fan_in(rows: DataFrame, shards: DataFrame, folder: str, batch: str, now: dat
     that several shards bring counts once.  Those older than the retention go to the ledger, without membership; ``invalidated`` identities
     are recorded.  The same ``batch`` again changes nothing.
 
-    ``rows`` are computed three times: for the shards, for one row of each id and identity, which tells conflicts and postings, and for memberships.
+    ``rows`` are computed three times: for the shards, for what they say of each id, which tells conflicts and postings, and for memberships.  Only
+    where different things are said of an id (and allowed), they are computed once more, and the first shard and target have their way.
     """
     spark = rows.sparkSession
     journal.register(spark)
@@ -116,13 +117,18 @@ def fan_in(rows: DataFrame, shards: DataFrame, folder: str, batch: str, now: dat
         if names := [str(r["shard"]) for r in odd.where(F.col(mark).isNull()).limit(5).collect()]:
             raise journal.Conflict(f"shards {problem}: {', '.join(names)}")
     identity = ["source", "source_board_id", "source_job_id"]
-    first = F.min(F.struct("shard", "target_identity", *identity, "canonical_url", "fingerprint", "posted_at"))
-    cells = cut(rows.groupBy("id", provider_identity().alias("identity")).agg(first.alias("j"), F.min("fingerprint").alias("low"), F.max("fingerprint").alias("high")))
-    apart = cells.groupBy("identity").agg(F.count("id").alias("ids"), F.min("low").alias("low"), F.max("high").alias("high"))
-    if not apart.where("ids > 1 OR low < high").isEmpty():
+    said = [*identity, "canonical_url", "fingerprint", "posted_at"]
+    facts = cut(rows.select("id", *said).distinct())
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("id", "fingerprint") for f in (F.min, F.max)]
+    by_identity = facts.withColumn("identity", provider_identity()).groupBy("identity")
+    if not by_identity.count().where("count > 1").isEmpty() and not by_identity.agg(*ends).where("min_id < max_id OR min_fingerprint < max_fingerprint").isEmpty():
         raise journal.Conflict("shards disagree about identities")
     text = lambda t, *cols: t.select(*[F.col(c).cast("string") for c in cols])
-    jobs = cells.groupBy("id").agg(F.min("j").alias("j")).select("id", "j.*")
+    jobs, several = facts, cut(facts.groupBy("id").count().where("count > 1").select(F.col("id").alias("several")))
+    if not several.isEmpty():
+        among = F.col("id").eqNullSafe(F.col("several"))
+        first = rows.join(several, among, "left_semi").groupBy("id").agg(F.min(F.struct("shard", "target_identity", *said)).alias("j"))
+        jobs = facts.join(several, among, "left_anti").unionByName(cut(first.select("id", *[f"j.{c}" for c in said])))
     old = F.lit(False) if retention_hours is None else F.coalesce(F.col("posted_at") < F.lit(now - datetime.timedelta(hours=retention_hours)), F.lit(False))
     jobs = jobs.withColumn("table", F.when(old, "ledger").otherwise("posting"))
     members = rows.select("id", "target_identity").join(jobs.where("table = 'posting'").select("id"), "id", "left_semi").distinct().withColumn("table", F.lit("membership"))

@@ -108,6 +108,18 @@ def test_fan_in_computes_its_rows_three_times(spark, tmp_path):
     assert seen.value == 3 * len(rows) and len(journal.read(spark, f"file://{tmp_path}/out", "membership").collect()) == 40
 
 
+def test_fan_in_keeps_what_the_first_shard_says(spark, tmp_path):
+    rows = [posting(s, i, t, s + i + len(t), id=None if i == 3 else f"i{i}") for s in (2, 1) for i in range(5) for t in ("b", "aa") if (s, t) != (1, "aa") or i % 2]
+    rows += [posting(1, 7), posting(2, 7), posting(2, 8, hours=None)]
+    reconcile.fan_in(spark.createDataFrame(rows, POST), spark.createDataFrame([(1,), (2,)], "shard int"), f"file://{tmp_path}/out", "run 1", NOW)
+    expected = {}
+    for r in sorted(rows, key=lambda r: r[:2]):
+        expected.setdefault(r[2] or "", r)
+    read = lambda table: journal.read(spark, f"file://{tmp_path}/out", table).collect()
+    assert sorted((r["id"], r["posted_at"]) for r in read("posting")) == sorted((k, r[8].strftime("%Y-%m-%d %H:%M:%S") if r[8] else "") for k, r in expected.items())
+    assert sorted((r["id"], r["target_identity"]) for r in read("membership")) == sorted({(r[2], r[1]) for r in rows if r[2] is not None})
+
+
 def test_fan_in_refuses_what_identity_conflicts_finds(spark, tmp_path):
     shards, found = spark.createDataFrame([(1,), (2,)], "shard int"), []
     one, url = posting(1, 1), {"source_job_id": None, "canonical_url": "u"}
