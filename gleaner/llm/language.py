@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 import sys
 
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -94,8 +94,8 @@ def predictor(spark: SparkSession, dictionaries: dict[str, bytes]):
         blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
         return [sum(len(p.compress(b)) for b in blocks) for p in packers]
 
-    @F.pandas_udf(PREDICTION)
-    def predict(batches: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(PREDICTION)  # pandas would stay in the workers' memory
+    def predict(texts: pa.Array) -> pa.Array:
         packers = []
         for k in langs:
             d = zstandard.ZstdCompressionDict(shared.value[k], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -103,7 +103,7 @@ def predictor(spark: SparkSession, dictionaries: dict[str, bytes]):
             d.precompute_compress(compression_params=own)
             packers.append(zstandard.ZstdCompressor(compression_params=own, dict_data=d))
         out = []
-        for text in batches:
+        for text in texts.to_pylist():
             data = letters(text) if langs and text is not None else b""
             if not data:
                 out.append(("und", 0.0))
@@ -111,7 +111,8 @@ def predictor(spark: SparkSession, dictionaries: dict[str, bytes]):
             ranked = sorted(zip(sizes(data, packers), range(len(langs))))
             gap = 1.0 if len(ranked) == 1 else 1 - ranked[0][0] / ranked[1][0]
             out.append((langs[ranked[0][1]], float(gap)))
-        return pd.DataFrame(out, columns=["lang_pred", "score"])
+        preds, scores = zip(*out) if out else ((), ())
+        return pa.StructArray.from_arrays([pa.array(preds, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     return predict
 

@@ -59,7 +59,7 @@ class WordHashes(dict):
     """128-bit hashes of words, as bytes; emptied when it gets large."""
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) > 200_000:
+        if len(self) > 50_000:
             self.clear()
         self[word] = h = xxhash.xxh3_128_digest(word)
         return h

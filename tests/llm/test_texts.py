@@ -3,6 +3,9 @@
 import collections
 import itertools
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -368,3 +371,19 @@ def test_results_do_not_depend_on_how_rare_words_seem(spark, monkeypatch):
     for other in (Counter(), Counter({w: 10**6 - n for w, n in counts.items()})):
         monkeypatch.setattr(decontaminate, "usual", lambda docs, other=other: other)
         assert found() == want and want
+
+
+def test_stages_leave_little_in_python_workers(spark):
+    """No workers of a second kind beside those of Arrow functions, no pandas in any, and few words remembered."""
+    benchmark = spark.createDataFrame([(1, ENGLISH)], "item_id long, text string")
+    written = spark.range(4).selectExpr("id AS doc_id", "'some words' AS text")  # made in the JVM
+    plan = decontaminate.copies_found(written, benchmark)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "ExistingRDD" not in plan and "LogicalRDD" not in plan
+    code = "import sys; import gleaner.llm.language; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[2]).returncode == 0
+    found = spark.range(1).select(language.predictor(spark, {})(F.lit("a")).alias("x"))
+    assert "pandas" not in found._jdf.queryExecution().toString().lower() and found.first()["x"] == ("und", 0.0)
+    hashes = minhash.WordHashes()
+    for i in range(300_000):
+        hashes[b"%d" % i]
+    assert len(hashes) <= 60_000 and hashes[b"7"] == minhash.WordHashes()[b"7"]
