@@ -387,3 +387,22 @@ def test_stages_leave_little_in_python_workers(spark):
     for i in range(300_000):
         hashes[b"%d" % i]
     assert len(hashes) <= 60_000 and hashes[b"7"] == minhash.WordHashes()[b"7"]
+
+
+@pytest.mark.parametrize("query", ["op2", "pipeline"])
+def test_what_the_sample_leaves_unread_is_searched(spark, monkeypatch, query):
+    """A copy behind the sample's texts and characters is found with its score, by op2 and by the pipeline's stage."""
+    item = "seven quiet otters carried a brass lantern across the frozen river before dawn".split()
+    texts = [f"plain text {i}" for i in range(decontaminate.SAMPLE_TEXTS + 50)]
+    texts[-1] = "word " * decontaminate.SAMPLE_CHARS + " ".join(w if i % 5 else "other" for i, w in enumerate(item)) + " end"
+    table, bench = docs(spark, texts), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    for limits in ((decontaminate.SAMPLE_TEXTS, decontaminate.SAMPLE_CHARS), (1, 1)):
+        monkeypatch.setattr(decontaminate, "SAMPLE_TEXTS", limits[0])
+        monkeypatch.setattr(decontaminate, "SAMPLE_CHARS", limits[1])
+        if query == "op2":
+            found = [(r["doc_id"], r["item_id"], round(r["score"], 9)) for r in decontaminate.contaminated(table, bench).collect()]
+            last = table.agg({"doc_id": "max"}).first()[0]
+            assert found == [(last, 7, round(float(decontaminate.align([(item, decontaminate.words(texts[-1]))])[0]), 9))]
+        else:
+            left = decontaminate.drop_contaminated(table, bench)
+            assert sorted(r["text"] for r in left.collect()) == sorted(texts[:-1])
